@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import toxicity
 from .packing import pack_documents
 from .scratch import Scratch
 from .token_files import read_token_files, write_token_files
@@ -24,10 +26,19 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores all documents with a classifier of the training folds."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    score = F.col("toxicity_score")
+    return toxicity.score(docs, model).select("doc_id", (~toxicity.in_training_folds(F.col("doc_id"))).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
         "op4_packing": op4_packing,
+        "op10_toxicity": op10_toxicity,
     }
 
 
