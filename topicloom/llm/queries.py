@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import toxicity
 from .packing import pack_documents
 from .scratch import Scratch
+from .sharding import shard_documents
 from .token_files import read_token_files, write_token_files
 
 
@@ -26,6 +27,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Puts all documents into 8 shards of nearly equal bytes, equal texts together."""
+    placed = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores all documents with a classifier of the training folds."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -38,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
         "op4_packing": op4_packing,
+        "op9_sharding": op9_sharding,
         "op10_toxicity": op10_toxicity,
     }
 
