@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import toxicity
+from .bpe import round_trip_digests
 from .packing import pack_documents
 from .scratch import Scratch
 from .sharding import shard_documents
@@ -27,6 +28,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes all documents by speculative BPE, decodes the ids, and returns digests of both."""
+    return round_trip_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Puts all documents into 8 shards of nearly equal bytes, equal texts together."""
     placed = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=8)
@@ -45,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
         "op4_packing": op4_packing,
+        "op7_bpe": op7_bpe,
         "op9_sharding": op9_sharding,
         "op10_toxicity": op10_toxicity,
     }
