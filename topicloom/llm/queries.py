@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import toxicity
 from .bpe import round_trip_digests
+from .minhash import near_duplicates
 from .packing import pack_documents
 from .scratch import Scratch
 from .sharding import shard_documents
@@ -28,6 +29,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all documents, linked from a similarity of 0.85."""
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes all documents by speculative BPE, decodes the ids, and returns digests of both."""
     return round_trip_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -51,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
         "op4_packing": op4_packing,
+        "op5_minhash": op5_minhash,
         "op7_bpe": op7_bpe,
         "op9_sharding": op9_sharding,
         "op10_toxicity": op10_toxicity,
