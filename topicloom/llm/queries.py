@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import toxicity
 from .bpe import round_trip_digests
+from .line_dedup import deduplicated
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .scratch import Scratch
@@ -24,6 +25,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, ids=False)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes from all documents the lines that an earlier line repeats."""
+    return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of 2048 ids."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), 2048)
@@ -56,6 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
+        "op3_line_dedup": op3_line_dedup,
         "op4_packing": op4_packing,
         "op5_minhash": op5_minhash,
         "op7_bpe": op7_bpe,
