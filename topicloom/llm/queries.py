@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import toxicity
+from .ann import nearest
 from .bpe import round_trip_digests
 from .line_dedup import deduplicated
 from .minhash import near_duplicates
@@ -25,6 +26,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, ids=False)
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every row for the rows whose vec_id is divisible by 50."""
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removes from all documents the lines that an earlier line repeats."""
     return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -62,6 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
+        "op2_ann": op2_ann,
         "op3_line_dedup": op3_line_dedup,
         "op4_packing": op4_packing,
         "op5_minhash": op5_minhash,
