@@ -19,8 +19,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _ODD = re.compile("[^\x09-\x0d\x20-\x7e\xa1-į]|<\\|")
 _LOWER = "a-zªµºß-öø-įà-ö"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LOWER}]+|[0-9²³¹¼½¾]|[^\s{_LOWER}0-9²³¹¼½¾]+")
-#: Entries a worker keeps in each of its two maps (about 100 MB each); a full map starts anew.
-CACHE_ENTRIES = 500_000
+#: Chunks and pre-tokens that a worker keeps (about 200 MB); a full map starts anew.
+CACHE_ENTRIES = 1_000_000
+#: Characters of the texts that are looked up together.
+_AT_ONCE = 2_000_000
 
 _encoders: dict[str, "CachedEncoder"] = {}
 
@@ -34,16 +36,19 @@ def encoder(path: str) -> "CachedEncoder":
 
 class CachedEncoder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same model for pre-tokens: these need no normaliser and no pattern any more, only a cut at spaces.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.ends = np.zeros(self.size, dtype=bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.ends[i] = token.endswith("</w>")
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _pack(self, ids) -> bytes:
         return np.asarray(ids, dtype=self.dtype).tobytes()
@@ -52,44 +57,54 @@ class CachedEncoder:
         """Encodes unseen pre-tokens, many in one text; each ends with a token that is marked as a word's end."""
         for at in range(0, len(new), 400):
             part = new[at : at + 400]
-            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
+            ids = np.asarray(self.bare.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
             stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.zeros(0, dtype=int)
             if len(stops) == len(part) and stops[-1] == len(ids):
                 start = 0
                 for piece, stop in zip(part, stops.tolist()):
-                    self.pieces[piece] = ids[start:stop].tobytes()
+                    self.known[piece] = ids[start:stop].tobytes()
                     start = stop
             else:
                 for piece in part:
-                    self.pieces[piece] = self._pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-
-    def _learn_chunks(self, new: set[str]) -> None:
-        if len(self.chunks) + len(new) > CACHE_ENTRIES:
-            self.chunks.clear()
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-        split = {chunk: _PIECE.findall(chunk) for chunk in new}
-        self._learn_pieces(list({p for parts in split.values() for p in parts if p not in self.pieces}))
-        for chunk, parts in split.items():
-            self.chunks[chunk] = b"".join([self.pieces[p] for p in parts])
+                    self.known[piece] = self._pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+
+    def _learn(self, new: set[str]) -> None:
+        """Encodes unseen chunks; one of letters alone is a pre-token, the others are cut into pre-tokens."""
+        mixed = {chunk: _PIECE.findall(chunk) for chunk in new if not chunk.isalpha()}
+        pieces = {chunk for chunk in new if chunk not in mixed}
+        for parts in mixed.values():
+            pieces.update(parts)
+        self._learn_pieces(list(pieces.difference(self.known)))
+        known = self.known
+        for chunk, parts in mixed.items():
+            known[chunk] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; null counts as empty."""
         out: list[np.ndarray] = []
+        held: list[str | None] = []
+        size = 0
         for text in texts:
-            if not text:
-                out.append(np.zeros(0, dtype=self.dtype))
-            elif _ODD.search(text):
-                out.append(np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype))
+            held.append(text)
+            size += len(text or "")
+            if size > _AT_ONCE:
+                out += self._encode(held)
+                held, size = [], 0
+        return out + self._encode(held)
+
+    def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        plain = [text.lower().split() if text and not _ODD.search(text) else None for text in texts]
+        seen: set[str] = set()
+        for chunks in plain:
+            if chunks:
+                seen.update(chunks)
+        if len(self.known) > CACHE_ENTRIES:
+            self.known.clear()
+        self._learn(seen.difference(self.known))
+        known, out = self.known.__getitem__, []
+        for text, chunks in zip(texts, plain):
+            if chunks is not None:
+                out.append(np.frombuffer(b"".join(map(known, chunks)), dtype=self.dtype))
             else:
-                chunks = text.lower().split()
-                try:
-                    packed = b"".join([self.chunks[c] for c in chunks])
-                except KeyError:
-                    self._learn_chunks({c for c in chunks if c not in self.chunks})
-                    # a full map starts anew, so chunks known a moment ago may be unknown
-                    if missing := {c for c in chunks if c not in self.chunks}:
-                        self._learn_chunks(missing)
-                    packed = b"".join([self.chunks[c] for c in chunks])
-                out.append(np.frombuffer(packed, dtype=self.dtype))
+                out.append(np.asarray(self.tokenizer.encode(text or "", add_special_tokens=False).ids, dtype=self.dtype))
         return out

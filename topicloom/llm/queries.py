@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import embedding_dedup, toxicity
 from .ann import nearest
 from .bpe import round_trip_digests
 from .line_dedup import deduplicated
@@ -51,6 +51,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all vectors, linked from a cosine of 0.95."""
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.95)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Puts all documents into 8 shards of nearly equal bytes, equal texts together."""
     placed = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=8)
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_minhash": op5_minhash,
         "op7_bpe": op7_bpe,
+        "op8_embedding_dedup": op8_embedding_dedup,
         "op9_sharding": op9_sharding,
         "op10_toxicity": op10_toxicity,
     }
