@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import embedding_dedup, toxicity
 from .ann import nearest
 from .bpe import round_trip_digests
+from .html_text import extract_text
 from .line_dedup import deduplicated
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -46,6 +47,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of all pages."""
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes all documents by speculative BPE, decodes the ids, and returns digests of both."""
     return round_trip_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -77,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_packing": op4_packing,
         "op5_minhash": op5_minhash,
+        "op6_html": op6_html,
         "op7_bpe": op7_bpe,
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_sharding": op9_sharding,
