@@ -30,9 +30,13 @@ _LAST = 2**63 - 1
 _WHITE = " \t\r\x0b\x0c"
 
 
+def _key() -> list[F.Column]:
+    """d, th: doc_id with null last, and 32 bits of the text's hash, which tell rows of one doc_id apart."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.expr("xxhash64(text) & 4294967295").alias("th")]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(d, th, text): doc_id with null last, and 32 bits of the text's hash, which tell rows of one doc_id apart."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.expr("xxhash64(text) & 4294967295").alias("th"), "text")
+    return docs.select(*_key(), "text")
 
 
 def _words(line) -> F.Column:
@@ -121,20 +125,33 @@ def _near(lines: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
     return met.where(less("w", F.col("out")) == less("e_w", F.col("e_out"))).select("d", "q")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_kept, text) of each row of docs (doc_id, text): lines that aren't blank, those of them that
-    are kept, and the text of the lines kept."""
+def _kept_lines(docs: DataFrame) -> DataFrame:
+    """(d, th, kept, n_kept) of each row's key in docs: places of the lines kept, and how many of them aren't blank."""
     scratch = Scratch(docs.sparkSession, "lines")
-    keyed = _keyed(docs)
-    lines = _lines(keyed)
+    lines = _lines(_keyed(docs))
     first = scratch.stage(_first_lines(lines), "first")
     near = scratch.stage(_near(lines, first, scratch), "near")
     kept = first.select("d", "q").join(near, ["d", "q"], "left_anti").select("d", "q", F.lit(1).alias("full"))
     kept = kept.union(lines.where("n IS NULL").select("d", "q", F.lit(0)))
-    kept = kept.select("d", F.expr("q & 4294967295").alias("th"), F.shiftright("q", 32).cast("int").alias("pos"), "full").groupBy("d", "th").agg(F.sort_array(F.collect_list("pos")).alias("kept"), F.sum("full").alias("n_kept"))
-    split = F.split("text", "\n", -1)
-    rows = keyed.join(kept, ["d", "th"], "left").withColumn("l", split).withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
-    text = F.when(F.col("text").isNotNull(), F.array_join(F.transform("kept", lambda p: F.element_at("l", p + 1)), "\n"))
-    full = F.size(F.filter("l", lambda x: F.btrim(x, F.lit(_WHITE)) != ""))
+    kept = kept.select("d", F.expr("q & 4294967295").alias("th"), F.shiftright("q", 32).cast("int").alias("pos"), "full")
+    return kept.groupBy("d", "th").agg(F.sort_array(F.collect_set("pos")).alias("kept"), F.sum("full").alias("n_kept"))
+
+
+def _text_of_kept(text: str) -> F.Column:
+    lines, kept = F.split(text, "\n", -1), F.coalesce("kept", F.array().cast("array<int>"))
+    return F.when(F.col(text).isNotNull(), F.array_join(F.transform(kept, lambda p: F.element_at(lines, p + 1)), "\n"))
+
+
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text and any others) with all their columns; ``text`` loses the lines that go."""
+    rows = docs.select(*_key(), F.struct("*").alias("row")).join(_kept_lines(docs), ["d", "th"], "left")
+    return rows.select(*[(_text_of_kept("row.text") if name == "text" else F.col("row")[name]).alias(name) for name in docs.columns])
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_kept, text) of each row of docs (doc_id, text): lines that aren't blank, those of them that
+    are kept, and the text of the lines kept."""
+    rows = docs.select(*_key(), "doc_id", "text").join(_kept_lines(docs), ["d", "th"], "left")
+    full = F.size(F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(_WHITE)) != ""))
     n_lines = F.when(F.col("text").isNotNull(), full).otherwise(0)
-    return rows.select(F.when(F.col("d") != _LAST, F.col("d")).alias("doc_id"), n_lines.cast("long").alias("n_lines"), F.coalesce("n_kept", F.lit(0)).cast("long").alias("n_kept"), text.alias("text"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), n_lines.cast("long").alias("n_lines"), F.coalesce("n_kept", F.lit(0)).cast("long").alias("n_kept"), _text_of_kept("text").alias("text"))

@@ -20,8 +20,8 @@ with a probability of (1 - T**ROWS)**BANDS, which is 1 in 100,000 at T = 0.85, a
 
 Texts are lower-cased in A to Z; words are what ASCII white space parts. Fewer than five words make one shingle. Null
 and empty texts, and texts without words, have an empty set and link with nothing. Rows without a doc_id link with
-nothing and are kept. Rows with one doc_id count as one document in links. Other columns are not read by ``near_
-duplicates``; ``drop_near_duplicates`` keeps them. An empty table gives no rows.
+nothing and are kept. Rows with one doc_id count as one document in links. Other columns are not read by
+``near_duplicates``; ``drop_near_duplicates`` keeps them. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -300,3 +300,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     out = sketches.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of docs (doc_id, text and any others) that are kept, with all their columns: of each group of linked
+    documents that with the least doc_id. Rows of one doc_id stay or go together."""
+    gone = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
