@@ -34,8 +34,8 @@ IDS_PER_FILE, IDS_PER_BLOCK = 8_000_000, 250_000
 _LENGTHS = np.stack([((np.arange(256) >> (2 * k)) & 3) + 1 for k in range(4)], axis=1)  # [control byte, rank] -> bytes
 _TOTAL = _LENGTHS.sum(axis=1)
 _FROM = np.cumsum(_LENGTHS, axis=1) - _LENGTHS
-#: [control byte, output byte] -> offset in the group's data; 16 stands for a zero byte.
-_GATHER = np.where(np.arange(4)[None, None, :] < _LENGTHS[:, :, None], _FROM[:, :, None] + np.arange(4)[None, None, :], 16).reshape(256, 16)
+#: [control byte, output byte] -> offset in the group's data; those of zero bytes are beyond any data.
+_GATHER = np.where(np.arange(4)[None, None, :] < _LENGTHS[:, :, None], _FROM[:, :, None] + np.arange(4)[None, None, :], 1 << 30).reshape(256, 16).astype(np.int32)
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -46,7 +46,8 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     codes[: len(ranks)] = extra
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4)[None, :] <= extra[:, None]]
+    width = int(extra.max(initial=0)) + 1
+    data = ranks.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width, dtype=np.uint8)[None, :] <= extra[:, None]]
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
@@ -54,45 +55,60 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n ranks that ``encode_ranks`` took."""
     c = np.frombuffer(control, dtype=np.uint8)
     total = _TOTAL[c]
-    start = np.cumsum(total) - total
-    padded = np.zeros(len(data) + 32, dtype=np.uint8)  # the last group is padded with ranks that have no data
+    start = (np.cumsum(total) - total).astype(np.int32)
+    padded = np.zeros(len(data) + 16, dtype=np.uint8)  # the last group is padded with ranks that have no data
     padded[: len(data)] = np.frombuffer(data, dtype=np.uint8)
-    at = _GATHER[c]
-    out = padded[np.where(at == 16, len(padded) - 1, np.minimum(start[:, None] + at, len(padded) - 1))]
-    return np.ascontiguousarray(out).view("<u4").reshape(-1)[:n]
+    return padded.take(_GATHER[c] + start[:, None], mode="clip").view("<u4").reshape(-1)[:n]
 
 
 # --- writing ---------------------------------------------------------------------------------------------------------
 
 _STAGED = "doc_id long, n_tokens long, tie long, packed binary"
+#: Ids whose counts are added up at once.
+_COUNTED_AT_ONCE = 4_000_000
 
 
 def _tokenize(path: str, end_id: int):
+    """A row for each document, and at the end of a task one with the counts of all its ids."""
+
     def run(batches):
-        enc, zstd = encoder(path), zstandard.ZstdCompressor(level=3)
+        enc, zstd = encoder(path), zstandard.ZstdCompressor(level=1)
+        end = np.asarray(end_id, dtype=enc.dtype).tobytes()
+        counts = np.zeros(enc.size, dtype=np.int64)
+        waiting, size = [], 0
+
+        def count():
+            nonlocal waiting, size
+            counts[:] += np.bincount(np.frombuffer(b"".join(waiting), dtype=enc.dtype), minlength=enc.size)
+            waiting, size = [], 0
+
+        def rows(ids, n, tie, packed, counts):
+            return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(tie, pa.int64()), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "n_tokens", "tie", "packed", "counts"])
+
         for batch in batches:
-            ids, n, tie, packed = batch.column(0), [], [], []
+            n, tie, packed = [], [], []
             for tokens in enc.encode(batch.column(1).to_pylist()):
-                raw = np.append(tokens, np.asarray(end_id, dtype=enc.dtype)).tobytes()
+                raw = tokens.tobytes() + end
                 n.append(len(tokens) + 1)
                 tie.append(zlib.crc32(raw))
                 packed.append(zstd.compress(raw))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(tie, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "tie", "packed"])
+                waiting.append(raw)
+                size += len(tokens)
+                if size > _COUNTED_AT_ONCE:
+                    count()
+            yield rows(batch.column(0), n, tie, packed, [None] * len(n))
+        count()
+        yield rows(pa.nulls(1), [None], [None], [None], [counts.tobytes()])
 
     return run
 
 
-def _counted(path: str):
-    def run(batches):
-        enc, unpack = encoder(path), zstandard.ZstdDecompressor()
-        counts = np.zeros(enc.size, dtype=np.int64)
-        for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                counts += np.bincount(np.frombuffer(unpack.decompress(packed), dtype=enc.dtype), minlength=enc.size)
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found], pa.int64())], names=["token_id", "n"])
-
-    return run
+def _counted(batches):
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            counts = np.frombuffer(raw, dtype=np.int64)
+            found = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found], pa.int64())], names=["token_id", "n"])
 
 
 def _range_of(bounds: list[int]):
@@ -160,8 +176,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-files")
-    staged = scratch.stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenize(tokenizer, end_id), _STAGED), "staged", "none")
-    counts = staged.select("packed").mapInArrow(_counted(tokenizer), "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
+    staged = scratch.stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenize(tokenizer, end_id), f"{_STAGED}, counts binary"), "staged", "none")
+    counts = staged.where("counts IS NOT NULL").select("counts").mapInArrow(_counted, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
+    staged = staged.where("n_tokens IS NOT NULL").drop("counts")
     counts = sorted(counts.collect(), key=lambda r: (-r.n, r.token_id))  # one row a token of the vocabulary
     size = encoder(tokenizer).size
     rank_of = np.zeros(size, dtype="<u4")
