@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
@@ -19,10 +20,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _ODD = re.compile("[^\x09-\x0d\x20-\x7e\xa1-į]|<\\|")
 _LOWER = "a-zªµºß-öø-įà-ö"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LOWER}]+|[0-9²³¹¼½¾]|[^\s{_LOWER}0-9²³¹¼½¾]+")
-#: Chunks and pre-tokens that a worker keeps (about 200 MB); a full map starts anew.
+#: Chunks and pre-tokens that a worker keeps (about 200 MB); a full map loses the half that came last.
 CACHE_ENTRIES = 1_000_000
 #: Characters of the texts that are looked up together.
-_AT_ONCE = 2_000_000
+_AT_ONCE = 4_000_000
 
 _encoders: dict[str, "CachedEncoder"] = {}
 
@@ -98,8 +99,8 @@ class CachedEncoder:
         for chunks in plain:
             if chunks:
                 seen.update(chunks)
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
+        if len(self.known) > CACHE_ENTRIES:  # frequent chunks are among those that were met first
+            self.known = dict(islice(self.known.items(), CACHE_ENTRIES // 2))
         self._learn(seen.difference(self.known))
         known, out = self.known.__getitem__, []
         for text, chunks in zip(texts, plain):

@@ -198,7 +198,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
         at += sizes.get(part, 0)
     ordered = dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie")
     blocks = ordered.select("part", "doc_id", "packed").mapInArrow(_blocks(tokenizer, rank_of.tobytes(), starts, ids_per_block), _BLOCKS)
-    blocks.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks")
+    blocks.write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
     ranked = [(rank, int(r.token_id), int(r.n)) for rank, r in enumerate(counts)]
     spark.createDataFrame(ranked, "rank long, token_id long, n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/ranks")
     scratch.drop()
@@ -216,7 +216,7 @@ def _decoded(id_of: bytes, ids: bool):
                 tokens = table[decode_ranks(control, data, int(n.sum()))]
                 stops = np.cumsum(n)
                 each = [tokens[a:b] for a, b in zip((stops - n).tolist(), stops.tolist())]
-                last = pa.array([x.astype(np.int64) for x in each], pa.list_(pa.int64())) if ids else pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in each], pa.int64())
+                last = pa.array([x.astype(np.int64) for x in each], pa.list_(pa.int64())) if ids else pa.array([zlib.crc32(x) for x in each], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + stops - n, pa.int64()), pa.array(n, pa.int64()), last], names=["doc_id", "start", "n_tokens", "ids" if ids else "ids_crc32"])
 
     return run
