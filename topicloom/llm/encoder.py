@@ -2,8 +2,8 @@
 
 Every pre-token of the word tokenizer is encoded by itself, and white space always parts pre-tokens. So the ids of a
 text are those of its white-space chunks, one after another, and each worker keeps the ids of the chunks it has seen.
-That holds only where normalisation works character by character: texts with characters beyond Latin Extended-A,
-with control characters or with the opening of a special token are given to the library whole.
+That holds only where normalisation works character by character: texts with a chunk that has characters beyond Latin
+Extended-A, control characters or the opening of a special token are given to the library whole.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Beyond these, lower-casing, NFC or white space may not be what the plain path takes them for.
-_ODD = re.compile("[^\x09-\x0d\x20-\x7e\xa1-į]|<\\|")
+_ODD = re.compile("[^\x21-\x7e\xa1-į]|<\\|")
+#: Characters that part chunks here and not in the library.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _LOWER = "a-zªµºß-öø-įà-ö"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LOWER}]+|[0-9²³¹¼½¾]|[^\s{_LOWER}0-9²³¹¼½¾]+")
 #: Chunks and pre-tokens that a worker keeps (about 200 MB); a full map loses the half that came last.
@@ -49,7 +51,7 @@ class CachedEncoder:
         self.ends = np.zeros(self.size, dtype=bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.ends[i] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}  # None: a text with this chunk is given to the library
 
     def _pack(self, ids) -> bytes:
         return np.asarray(ids, dtype=self.dtype).tobytes()
@@ -71,6 +73,9 @@ class CachedEncoder:
 
     def _learn(self, new: set[str]) -> None:
         """Encodes unseen chunks; one of letters alone is a pre-token, the others are cut into pre-tokens."""
+        odd = {chunk for chunk in new if _ODD.search(chunk)}
+        self.known.update(dict.fromkeys(odd))
+        new -= odd
         mixed = {chunk: _PIECE.findall(chunk) for chunk in new if not chunk.isalpha()}
         pieces = {chunk for chunk in new if chunk not in mixed}
         for parts in mixed.values():
@@ -94,7 +99,7 @@ class CachedEncoder:
         return out + self._encode(held)
 
     def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        plain = [text.lower().split() if text and not _ODD.search(text) else None for text in texts]
+        plain = [text.lower().split() if text and not any(c in text for c in _SEPARATORS) else None for text in texts]
         seen: set[str] = set()
         for chunks in plain:
             if chunks:
@@ -104,8 +109,13 @@ class CachedEncoder:
         self._learn(seen.difference(self.known))
         known, out = self.known.__getitem__, []
         for text, chunks in zip(texts, plain):
+            ids = None
             if chunks is not None:
-                out.append(np.frombuffer(b"".join(map(known, chunks)), dtype=self.dtype))
-            else:
-                out.append(np.asarray(self.tokenizer.encode(text or "", add_special_tokens=False).ids, dtype=self.dtype))
+                try:
+                    ids = np.frombuffer(b"".join(map(known, chunks)), dtype=self.dtype)
+                except TypeError:  # a chunk without ids
+                    pass
+            if ids is None:
+                ids = np.asarray(self.tokenizer.encode(text or "", add_special_tokens=False).ids, dtype=self.dtype)
+            out.append(ids)
         return out
