@@ -206,6 +206,20 @@ def test_bpe_of_random_words():
     assert 0 < enc.exact < enc.proposed
 
 
+def test_long_words_and_small_maps(monkeypatch):
+    from topicloom.llm import bpe as module
+
+    enc, tokenizer, rng = module.BpeEncoder(BYTE), library(BYTE), random.Random(6)
+    monkeypatch.setattr(module, "CACHE_ENTRIES", 50)
+    monkeypatch.setattr(module, "_AT_ONCE", 2000)
+    texts = ["".join(rng.choices("abcdeinot", k=n)) for n in (1, 200, 256, 257, 3000, 100_000)]
+    texts += [" ".join("".join(rng.choices("etaoin shrdlu", k=9)) for _ in range(60)) for _ in range(40)] + [None, "", " ", "a  b", "\n"]
+    assert [x.tolist() for x in enc.encode_many(texts)] == [ids_of(tokenizer, t) for t in texts]
+    words = [t.encode() for t in texts[:4]]
+    flat, sizes = enc.merge_many(words)
+    assert flat.tolist() == [i for w in words for i in enc.merge_long(w)] and sizes.sum() == len(flat)
+
+
 def test_bpe_decodes_what_it_encodes(spark):
     docs = docs_of(spark, [(k, t) for k, t in enumerate(ODD_TEXTS)])
     back = {r.doc_id: r.text for r in decode_documents(encode_documents(docs, BYTE), BYTE).collect()}

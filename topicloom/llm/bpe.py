@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,15 @@ from pyspark.sql import functions as F
 #: White space as the library's pattern has it: Unicode's, without the separators U+001C to U+001F.
 _S = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-#: A text with none of these can be cut at its single spaces before the pattern is applied.
-_RUNS = regex.compile(rf"[{_S}](?=[{_S}])|^[{_S}]|[{_S}]$")
-#: Entries a worker keeps in each map of chunks and words; a full map starts anew.
-CACHE_ENTRIES = 400_000
-#: Words up to so many bytes are merged by scanning; longer ones with a heap.
-_SHORT = 48
+#: A text is cut at its single spaces before the pattern is applied, unless one of the parts is empty or has these.
+_RUNS = regex.compile(rf"[{_S}][{_S}]|^[{_S}]|[{_S}]$")
+#: Entries a worker keeps in its map of chunks and words (about 250 MB); a full map loses the half that came last, for
+#: frequent ones are among those that were met first.
+CACHE_ENTRIES = 1_000_000
+#: Words of more characters are rare, and are merged exactly without a proposal.
+_LONG = 256
+#: Characters of the texts that are encoded together.
+_AT_ONCE = 4_000_000
 
 _encoders: dict[str, "BpeEncoder"] = {}
 
@@ -82,37 +86,72 @@ class BpeEncoder:
         keys = np.array([a * self.size + b for a, b in self.merged], dtype=np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.array([r for r, _ in self.merged.values()], dtype=np.int64)[order]
-        self.longest: dict[bytes, int] = {}  # first two bytes -> length of the longest token that begins so
-        for token in self.id_of:
-            self.longest[token[:2]] = max(self.longest.get(token[:2], 1), len(token))
+        # a trie of the tokens: (node * 256 + byte), sorted, to node; and each node's token or -1
+        nodes: dict[bytes, int] = {b"": 0}
+        for token in sorted(self.id_of):
+            for k in range(1, len(token) + 1):
+                nodes.setdefault(token[:k], len(nodes))
+        steps = sorted((nodes[x[:-1]] * 256 + x[-1], n) for x, n in nodes.items() if x)
+        self.step_keys, self.step_nodes = (np.array(x, dtype=np.int64) for x in zip(*steps))
+        self.token_at = np.array([self.id_of.get(x, -1) for x in nodes], dtype=np.int64)
+        self.pair_tokens = np.array([c for _, c in self.merged.values()], dtype=np.int64)[order]
         self.sound = np.ones(self.size, dtype=bool)  # tokens that BPE makes of their own bytes
-        for token, i in self.id_of.items():
-            self.sound[i] = self.merge(token) == [i]
+        made, sizes = self.merge_many(list(self.id_of))
+        self.sound[list(self.id_of.values())] = sizes == 1
         self.specials = special
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.decimal = [str(i) for i in range(self.size)]
+        self.known: dict[str, bytes | None] = {}  # None: the text is cut by the pattern alone
+        # decimal ids, each with a comma, filled up with zero bytes
+        self.decimal = np.array([f"{i}," for i in range(self.size)], dtype="S").view(np.uint8).reshape(self.size, -1)
         self.exact = self.proposed = 0  # words merged exactly, and words seen
 
-    # --- one word ---
-
-    def merge(self, word: bytes) -> list[int]:
-        """BPE itself: the pair of least rank is merged, the leftmost first, until no pair has one."""
-        ids = [self.single[b] for b in word]
-        if len(ids) > _SHORT:
-            return self._merge_long(ids)
-        merged = self.merged
-        while len(ids) > 1:
-            found = [(merged[p][0], k) for k, p in enumerate(zip(ids, ids[1:])) if p in merged]
-            if not found:
+    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """BPE itself, on all words at once: in each round every word's pair of least rank is merged, the leftmost first,
+        until no pair has one. The tokens of all words, and their number in each."""
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        ids = np.asarray(self.single, dtype=np.int64)[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        word = np.repeat(np.arange(len(words)), lengths)
+        none = np.iinfo(np.int64).max
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def ranks(at):
+            inside = at[(at + 1 < len(ids)) & (at >= 0)]
+            inside = inside[word[inside] == word[inside + 1]]
+            return inside, self._rank_of_pairs(ids[inside], ids[inside + 1])
+
+        rank = np.full(len(ids), none)
+        inside, found = ranks(np.arange(len(ids)))
+        rank[inside] = found
+        while len(ids):
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            least = np.minimum.reduceat(rank, starts)
+            sizes = np.diff(np.append(starts, len(ids)))
+            ended = np.repeat(least == none, sizes)
+            done.append((word[ended], ids[ended]))
+            ids, word, rank = ids[~ended], word[~ended], rank[~ended]
+            if not len(ids):
                 break
-            _, k = min(found)
-            ids[k : k + 2] = [merged[ids[k], ids[k + 1]][1]]
-        return ids
-
-    def _merge_long(self, ids: list[int]) -> list[int]:
+            sizes, least = sizes[least != none], least[least != none]
+            starts = np.cumsum(sizes) - sizes
+            hit = np.flatnonzero(rank == np.repeat(least, sizes))
+            at = hit[np.unique(word[hit], return_index=True)[1]]  # the leftmost of each word
+            ids[at] = self._token_of_pairs(ids[at], ids[at + 1])
+            keep = np.ones(len(ids), dtype=bool)
+            keep[at + 1] = False
+            at = at - np.arange(len(at))  # one token fewer before each
+            ids, word, rank = ids[keep], word[keep], rank[keep]
+            rank[at] = none
+            for near in (at - 1, at):
+                inside, found = ranks(near)
+                rank[inside] = found
+        word, ids = (np.concatenate(x) for x in zip(*done)) if done else (word, ids)
+        order = np.argsort(word, kind="stable")
+        return ids[order], np.bincount(word, minlength=len(words))
+
+    def merge_long(self, word: bytes) -> list[int]:
+        """The same for one long word: pairs wait in a heap, so that the cost is n log n."""
+        ids = [self.single[b] for b in word]
         n, merged = len(ids), self.merged
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         heap = [(merged[p][0], k, p) for k, p in enumerate(zip(ids, ids[1:])) if p in merged]
@@ -131,15 +170,35 @@ class BpeEncoder:
                     heapq.heappush(heap, (merged[p][0], a, p))
         return [i for i in ids if i >= 0]
 
-    def _propose(self, word: bytes) -> list[int]:
-        out, at, n, id_of, longest = [], 0, len(word), self.id_of, self.longest
-        while at < n:
-            size = min(longest.get(word[at : at + 2], 1), n - at)
-            while (found := id_of.get(word[at : at + size])) is None:
-                size -= 1
-            out.append(found)
-            at += size
-        return out
+    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The longest-match tokens of all words, and their number in each. All words go down the trie side by side."""
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        raw = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int64)
+        stop = np.cumsum(lengths)
+        at = stop - lengths  # where each word's next token begins
+        word, found = np.flatnonzero(lengths), []
+        at, stop = at[word], stop[word]
+        node, place, best, best_end = np.zeros(len(word), np.int64), at.copy(), np.full(len(word), -1), at.copy()
+        while len(word):
+            key = node * 256 + raw[np.minimum(place, len(raw) - 1)]
+            k = np.minimum(np.searchsorted(self.step_keys, key), len(self.step_keys) - 1)
+            go = (self.step_keys[k] == key) & (place < stop)
+            node = np.where(go, self.step_nodes[k], 0)
+            place = np.where(go, place + 1, place)
+            token = np.where(go, self.token_at[node], -1)
+            better = token >= 0
+            best, best_end = np.where(better, token, best), np.where(better, place, best_end)
+            over = np.flatnonzero(~go)
+            found.append((word[over], at[over], best[over]))
+            at[over] = place[over] = best_end[over]
+            best[over] = -1
+            if (at[over] >= stop[over]).any():
+                left = at < stop
+                word, at, stop, node, place, best, best_end = (x[left] for x in (word, at, stop, node, place, best, best_end))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+        word, at, token = (np.concatenate(x) for x in zip(*found))
+        return token[np.argsort(at)], np.bincount(word, minlength=len(words))
 
     # --- many words ---
 
@@ -149,6 +208,9 @@ class BpeEncoder:
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], np.iinfo(np.int64).max)
 
+    def _token_of_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.pair_tokens[np.searchsorted(self.pair_keys, a * self.size + b)]
+
     def compatible(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Whether BPE keeps each two tokens apart.
 
@@ -171,13 +233,16 @@ class BpeEncoder:
         return fine
 
     def _learn_words(self, new: list[str]) -> None:
+        long = [w for w in new if len(w) > _LONG]
+        for w in long:
+            self.known[w] = np.asarray(self.merge_long(w.encode("utf-8", "surrogatepass")), dtype=self.dtype).tobytes()
+        new = [w for w in new if len(w) <= _LONG] if long else new
+        if not new:
+            return
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
-        ids = [self._propose(w) for w in raw]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter((i for x in ids for i in x), dtype=np.int64, count=int(sizes.sum()))
-        stops = np.cumsum(sizes)
-        word = np.repeat(np.arange(len(ids)), sizes)
-        fails = np.zeros(len(ids), dtype=bool)
+        flat, sizes = self.propose(raw)
+        word = np.repeat(np.arange(len(raw)), sizes)
+        fails = np.zeros(len(raw), dtype=bool)
         fails[word[~self.sound[flat]]] = True
         if len(flat) > 1:
             inner = np.flatnonzero(word[1:] == word[:-1])
@@ -185,46 +250,89 @@ class BpeEncoder:
             fails[word[inner[~self.compatible(pairs // self.size, pairs % self.size)[which]]]] = True
         self.proposed += len(new)
         self.exact += int(fails.sum())
-        packed = flat.astype(self.dtype)
-        for k, (w, a, b) in enumerate(zip(new, (stops - sizes).tolist(), stops.tolist())):
-            self.words[w] = np.asarray(self.merge(raw[k]), dtype=self.dtype).tobytes() if fails[k] else packed[a:b].tobytes()
-
-    def _learn_chunks(self, new: set[str]) -> None:
-        if len(self.chunks) + len(new) > CACHE_ENTRIES:
-            self.chunks.clear()
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
-        split = {chunk: _PATTERN.findall(chunk) for chunk in new}
-        self._learn_words(list({w for parts in split.values() for w in parts if w not in self.words}))
-        for chunk, parts in split.items():
-            self.chunks[chunk] = b"".join([self.words[w] for w in parts])
-
-    def _plain(self, text: str) -> bytes:
-        """Ids of a text without special tokens."""
-        if not text:
-            return b""
-        if _RUNS.search(text):
-            chunks = [text]
-            if len(text) > 4096:  # a long text is cut where one space stands between two other characters
-                chunks = regex.split(rf"(?<=[^{_S}])(?= [^{_S}])", text)
-        else:
-            first, *rest = text.split(" ")
-            chunks = [first, *[" " + c for c in rest]]
-        try:
-            return b"".join([self.chunks[c] for c in chunks])
-        except KeyError:
-            # a full map starts anew, so chunks known a moment ago may be unknown
-            while missing := {c for c in chunks if c not in self.chunks}:
-                self._learn_chunks(missing)
-            return b"".join([self.chunks[c] for c in chunks])
+        self._keep([w for w, f in zip(new, fails.tolist()) if not f], flat[~fails[word]], sizes[~fails])
+        self._keep([w for w, f in zip(new, fails.tolist()) if f], *self.merge_many([w for w, f in zip(raw, fails.tolist()) if f]))
+
+    def _keep(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        packed, width = flat.astype(self.dtype).tobytes(), self.dtype.itemsize
+        stops = np.cumsum(sizes) * width
+        for w, a, b in zip(words, (stops - sizes * width).tolist(), stops.tolist()):
+            self.known[w] = packed[a:b]
+
+    def _learn(self, new: set[str], whole: list[list[str]]) -> None:
+        """Encodes unseen chunks, and the pre-tokens of texts that aren't cut into chunks."""
+        mixed, words = {}, set()
+        for chunk in new:
+            bare = chunk[1:] if chunk[:1] == " " else chunk
+            if bare.isalpha():
+                words.add(chunk)
+            elif not bare or _RUNS.search(bare):
+                self.known[chunk] = None
+            else:
+                mixed[chunk] = parts = _PATTERN.findall(chunk)
+                words.update(parts)
+        for parts in whole:
+            words.update(parts)
+        self._learn_words([w for w in words if self.known.get(w) is None])
+        known = self.known
+        for chunk, parts in mixed.items():
+            known[chunk] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; null counts as empty."""
+        out: list[np.ndarray] = []
+        held: list[str | None] = []
+        size = 0
+        for text in texts:
+            held.append(text)
+            size += len(text or "")
+            if size > _AT_ONCE:
+                out += self._encode(held)
+                held, size = [], 0
+        return out + self._encode(held)
+
+    def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if len(self.known) > CACHE_ENTRIES:
+            self.known = dict(islice(self.known.items(), CACHE_ENTRIES // 2))
+        parts: list[str] = []  # what stands between special tokens, and these
+        counts = []
+        for text in texts:
+            split = self.special.split(text) if text and any(x in text for x in self.specials) else [text or ""]
+            parts += split
+            counts.append(len(split))
+        cut, seen = [], set()
+        for part in parts:
+            first, *rest = part.split(" ")
+            cut.append([first, *[" " + c for c in rest]] if part else [])
+            seen.update(cut[-1])
+        self._learn(seen.difference(self.known), [])
+        known, packed, late = self.known.__getitem__, [], []
+        for k, chunks in enumerate(cut):
+            try:
+                packed.append(b"".join(map(known, chunks)))
+            except TypeError:  # a chunk that can't be encoded by itself
+                packed.append(b"")
+                late.append(k)
+        whole = [_PATTERN.findall(parts[k]) for k in late]
+        self._learn(set(), whole)
+        for k, words in zip(late, whole):
+            packed[k] = b"".join(map(known, words))
+        out, at = [], 0
+        for n in counts:
+            raw = packed[at]
+            for k in range(at + 1, at + n):
+                raw += packed[k] if (k - at) % 2 == 0 else np.asarray([self.specials[parts[k]]], dtype=self.dtype).tobytes()
+            out.append(np.frombuffer(raw, dtype=self.dtype))
+            at += n
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, dtype=self.dtype)
-        if self.special is None or not self.special.search(text):
-            return np.frombuffer(self._plain(text), dtype=self.dtype)
-        parts = [np.asarray([self.specials[p]], dtype=self.dtype).tobytes() if k % 2 else self._plain(p) for k, p in enumerate(self.special.split(text))]
-        return np.frombuffer(b"".join(parts), dtype=self.dtype)
+        return self._encode([text])[0]
+
+    def decimals(self, ids: np.ndarray) -> bytes:
+        """Decimal ids joined by commas."""
+        digits = self.decimal[ids].reshape(-1)
+        return digits[digits != 0][:-1].tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -236,7 +344,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         enc = bpe(tokenizer)
         for batch in batches:
-            ids = [enc.encode(t) for t in batch.column(1).to_pylist()]
+            ids = enc.encode_many(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
@@ -262,10 +370,9 @@ def round_trip_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
         enc = bpe(tokenizer)
         for batch in batches:
             n, first, second = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = enc.encode(text)
+            for ids in enc.encode_many(batch.column(1).to_pylist()):
                 n.append(len(ids))
-                first.append(hashlib.sha256(",".join(map(enc.decimal.__getitem__, ids.tolist())).encode()).hexdigest())
+                first.append(hashlib.sha256(enc.decimals(ids)).hexdigest())
                 second.append(hashlib.sha256(enc.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
