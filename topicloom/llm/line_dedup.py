@@ -7,8 +7,7 @@ least ``MIN_WORDS`` words. Earlier means: of a smaller doc_id, or of the same an
 1. Lines are reduced to 128-bit hashes of their words; the earliest line of each hash stands for its copies.
 2. An edit leaves the first or the second half of a line as it was. Only lines that share a half with another one go on.
 3. These emit their neighbourhood: hashes of the words with the k-th left out, and of the words with a gap before the
-   k-th. Hashes of all words before and all after a place are running ones, so a line of n words costs n steps. Lines
-   that replace one word by another meet in the former, a line and one with a word more meet in both kinds. All lines
+   k-th, at n steps for a line of n words. Lines that replace one word by another meet in the former, a line and one with a word more meet in both kinds. All lines
    of one key are within the bound of each other, so the earliest of a key settles the others; no pairs are written out.
 4. Each line is compared with the earliest line it met, word by word, before it goes.
 
@@ -21,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .scratch import Scratch
 
@@ -35,20 +35,20 @@ def _key() -> list[F.Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.expr("xxhash64(text) & 4294967295").alias("th")]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(*_key(), "text")
+def _raw_lines(docs: DataFrame) -> DataFrame:
+    """A row for each line, in lower case: q is its number in the text, then th. odd: the text has other white space
+    than single spaces and line ends."""
+    text = F.col("text")
+    odd = text.contains("  ")
+    for c in _WHITE[1:]:
+        odd = odd | text.contains(c)
+    lines = docs.where("text IS NOT NULL").select(*_key(), odd.alias("odd"), F.posexplode(F.split(F.lower(text), "\n", -1)).alias("pos", "line"))
+    return lines.select("d", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("th")).alias("q"), "odd", "line")
 
 
-def _words(line) -> F.Column:
-    return F.split(F.lower(F.btrim(line, F.lit(_WHITE))), r"[ \t\r\x0B\x0C]+")
-
-
-def _lines(keyed: DataFrame) -> DataFrame:
-    """A row for each line: q is its number in the text, then th; blank lines have a null n."""
-    lines = keyed.where("text IS NOT NULL").select("d", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    q = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("th"))
-    lines = lines.select("d", q.alias("q"), _words(F.col("line")).alias("w"))
-    return lines.select("d", "q", F.when(F.col("w")[0] != "", F.size("w")).alias("n"), "w")
+def _normal() -> F.Column:
+    """A line's words, parted by single spaces."""
+    return F.btrim(F.when(F.col("odd"), F.regexp_replace("line", "[ \\t\\r\\x0B\\x0C]+", " ")).otherwise(F.col("line")))
 
 
 def _halves() -> list[F.Column]:
@@ -56,28 +56,21 @@ def _halves() -> list[F.Column]:
 
     Two lines of which the shorter has m words share the first m // 2 words or the last m - m // 2.
     """
-    part = lambda side, start, size: F.when(F.col("n") >= MIN_WORDS - 1, F.xxhash64(F.lit(side), size, F.slice("w", start, size)))
-    one, n = F.lit(1), F.col("n")
-    front, front_less = F.expr("n div 2").cast("int"), F.expr("(n - 1) div 2").cast("int")
-    back, back_less = n - front, n - 1 - front_less
-    other = lambda now, before, key: F.when(now != before, key)
-    return [
-        part("front", one, front).alias("f1"),
-        other(front, front_less, part("front", one, front_less)).alias("f2"),
-        part("back", n - back + 1, back).alias("b1"),
-        other(back, back_less, part("back", n - back_less + 1, back_less)).alias("b2"),
-    ]
+    front, front_less = "n div 2", "(n - 1) div 2"
+    back, back_less = f"n - {front}", f"n - 1 - {front_less}"
 
+    def part(side: str, size: str, other: str = "-1") -> F.Column:
+        sign = "" if side == "front" else "-"
+        return F.expr(f"CASE WHEN n >= {MIN_WORDS - 1} AND {size} != {other} THEN xxhash64('{side}', {size}, substring_index(line, ' ', {sign}cast({size} AS int))) END")
 
-def _running(words) -> F.Column:
-    """Hashes of the first 0, 1, ... n words."""
-    start = F.array(F.lit(42).cast("long"))
-    return F.aggregate(words, start, lambda acc, w: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), w))))
+    return [part("front", front).alias("f1"), part("front", front_less, front).alias("f2"), part("back", back).alias("b1"), part("back", back_less, back).alias("b2")]
 
 
 def _first_lines(lines: DataFrame) -> DataFrame:
     """The earliest line of each sequence of words, with the hashes of its halves."""
-    hashed = lines.where("n IS NOT NULL").select("d", "q", "n", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"), *_halves())
+    lines = lines.select("d", "q", _normal().alias("line")).where("line <> ''")
+    hashed = lines.select("d", "q", F.expr("octet_length(line) - octet_length(replace(line, ' ', '')) + 1").alias("n"), "line")
+    hashed = hashed.select("d", "q", "n", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), *_halves())
     found = hashed.groupBy("k1", "k2").agg(F.min(F.struct("d", "q")).alias("p"), *[F.first(c).alias(c) for c in ("n", "f1", "f2", "b1", "b2")])
     return found.select("p.d", "p.q", "k1", "n", "f1", "f2", "b1", "b2")
 
@@ -90,32 +83,51 @@ def _sharing(first: DataFrame) -> DataFrame:
     return keys.join(shared, "half", "left_semi").groupBy("d", "q").agg(F.max("front").alias("front"), F.max(~F.col("front")).alias("back"))
 
 
-#: Bits of the filter by which lines are picked out again: 1 MB, whatever the input.
+#: Bits of the filter by which lines are picked out again: 131,072 rows of 64, whatever the input.
 _FILTER_BITS = 23
 
 
-def _picked(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of lines that are in wanted (d, q), with its columns. A bitmap of fixed size goes to every task first and
-    passes all wanted lines and few others, so that hardly any text is shuffled."""
-    spot = F.pmod(F.xxhash64("d", "q"), F.lit(1 << _FILTER_BITS)) + 1
-    maps = wanted.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
-    marked = lines.withColumn("spot", spot).withColumn("bucket", F.bitmap_bucket_number("spot")).join(F.broadcast(maps), "bucket")
-    bit = F.expr("shiftright(cast(conv(hex(substring(bits, cast(bitmap_bit_position(spot) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(spot) % 8 as int)) & 1")
-    return marked.where(bit == 1).select(*lines.columns).join(wanted, ["d", "q"])
+def _picked(raw: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(d, q, n, front, back, w): the words of the lines that are in wanted (d, q, front, back). A filter of fixed size
+    goes to every task first and passes all wanted lines and few others, so that hardly any text is shuffled."""
+    spot = F.pmod(F.xxhash64("d", "q"), F.lit(1 << _FILTER_BITS))
+    bit = F.expr("shiftleft(1L, cast(spot & 63 AS int))")
+    bits = wanted.select(spot.alias("spot")).select(F.shiftright("spot", 6).alias("place"), bit.alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits"))
+    marked = raw.withColumn("spot", spot).withColumn("place", F.shiftright("spot", 6)).join(F.broadcast(bits), "place")
+    marked = marked.where(F.col("bits").bitwiseAND(bit) != 0)
+    words = marked.select("d", "q", F.split(_normal(), " ").alias("w")).join(wanted, ["d", "q"]).dropDuplicates(["d", "q"])  # of repeated rows
+    return words.select("d", "q", F.size("w").alias("n"), "front", "back", "w")
 
 
-def _near(lines: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
+def _neighbourhood(picked: DataFrame) -> DataFrame:
+    """(d, q, place, out, key): each line with a gap before its place-th word, and with that word left out.
+
+    Words before and after a place are hashed as exclusive ors of what each word and its distance from the line's
+    beginning or end give. Those add up along the line, so a line of n words costs n steps.
+    """
+    ends = F.aggregate(F.transform("w", lambda x, i: F.xxhash64(F.col("n") - i, x)), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(h))
+    words = picked.select("d", "q", "n", "front", "back", ends.alias("ends"), F.posexplode("w").alias("j", "word"))
+    before = Window.partitionBy("d", "q").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda h: F.coalesce(F.bit_xor(h).over(before), F.lit(0).cast("long"))
+    words = words.withColumn("hs", F.xxhash64(F.col("n") - F.col("j"), "word")).withColumn("pre", so_far(F.xxhash64("j", "word"))).withColumn("post", F.col("ends").bitwiseXOR(so_far(F.col("hs"))))
+    place, n = F.col("j") + 1, F.col("n")
+    # an equal front half leaves the edit behind it, an equal back half before it; places near the middle are in both
+    near = lambda i: (F.col("front") & (i >= F.expr("(n - 1) div 2"))) | (F.col("back") & (i <= F.expr("n div 2") + 2))
+    entry = lambda ok, i, out, pre, post: F.when(ok & near(i), F.struct(i.alias("place"), F.lit(out).alias("out"), F.xxhash64(i, pre, post).alias("key")))
+    less = F.col("post").bitwiseXOR(F.col("hs"))
+    entries = F.array(
+        entry(F.lit(True), place, False, F.col("pre"), F.col("post")),
+        entry(n >= MIN_WORDS, place, True, F.col("pre"), less),
+        entry(place == n, place + 1, False, F.col("pre").bitwiseXOR(F.xxhash64("j", "word")), F.lit(0).cast("long")),
+    )
+    return words.select("d", "q", F.explode(entries).alias("e")).where("e IS NOT NULL").select("d", "q", "e.place", "e.out", "e.key")
+
+
+def _near(raw: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
     """(d, q) of first lines that an earlier line is one edit away from."""
     sharing = scratch.stage(_sharing(first), "sharing")
-    picked = _picked(lines.where(F.col("n") >= MIN_WORDS - 1), sharing)
-    picked = scratch.stage(picked, "picked")
-    n = F.col("n")
-    ready = picked.select("d", "q", "n", "front", "back", _running(F.col("w")).alias("pre"), _running(F.reverse("w")).alias("post"))
-    # an equal front half leaves the edit behind it, an equal back half before it; places near the middle are in both
-    places = F.filter(F.sequence(F.lit(1), n + 1), lambda i: (F.col("front") & (i >= F.expr("(n - 1) div 2"))) | (F.col("back") & (i <= F.expr("n div 2") + 2)))
-    gap = F.transform(places, lambda i: F.struct(i.alias("place"), F.lit(False).alias("out"), F.xxhash64(i, F.element_at("pre", i), F.element_at("post", n - i + 2)).alias("key")))
-    out = F.transform(F.filter(places, lambda i: (i <= n) & (n >= MIN_WORDS)), lambda i: F.struct(i.alias("place"), F.lit(True).alias("out"), F.xxhash64(i, F.element_at("pre", i), F.element_at("post", n - i + 1)).alias("key")))
-    keys = ready.select("d", "q", F.explode(F.concat(gap, out)).alias("e")).select("d", "q", "e.place", "e.out", "e.key")
+    picked = scratch.stage(_picked(raw, sharing), "picked")
+    keys = _neighbourhood(picked)
     earliest = keys.groupBy("key").agg(F.min(F.struct("d", "q", "out")).alias("e"), F.count("*").alias("lines")).where("lines > 1").select("key", "e")
     met = keys.join(earliest, "key").where("struct(e.d, e.q) < struct(d, q)").groupBy("d", "q").agg(F.min(F.struct("e", "place", "out")).alias("m"))
     met = met.select("d", "q", F.col("m.e.d").alias("e_d"), F.col("m.e.q").alias("e_q"), F.col("m.e.out").alias("e_out"), "m.place", "m.out")
@@ -126,32 +138,43 @@ def _near(lines: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _kept_lines(docs: DataFrame) -> DataFrame:
-    """(d, th, kept, n_kept) of each row's key in docs: places of the lines kept, and how many of them aren't blank."""
+    """(d, th, kept) of each row's key in docs: places of the lines kept that aren't blank."""
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = _lines(_keyed(docs))
-    first = scratch.stage(_first_lines(lines), "first")
-    near = scratch.stage(_near(lines, first, scratch), "near")
-    kept = first.select("d", "q").join(near, ["d", "q"], "left_anti").select("d", "q", F.lit(1).alias("full"))
-    kept = kept.union(lines.where("n IS NULL").select("d", "q", F.lit(0)))
-    kept = kept.select("d", F.expr("q & 4294967295").alias("th"), F.shiftright("q", 32).cast("int").alias("pos"), "full")
-    return kept.groupBy("d", "th").agg(F.sort_array(F.collect_set("pos")).alias("kept"), F.sum("full").alias("n_kept"))
+    raw = _raw_lines(docs)
+    first = scratch.stage(_first_lines(raw), "first")
+    near = scratch.stage(_near(raw, first, scratch), "near")
+    kept = first.select("d", "q").join(near, ["d", "q"], "left_anti")
+    kept = kept.select("d", F.expr("q & 4294967295").alias("th"), F.shiftright("q", 32).cast("int").alias("pos"))
+    return kept.groupBy("d", "th").agg(F.collect_list("pos").alias("kept"))
+
+
+def _of_kept(text: str) -> tuple[F.Column, F.Column, F.Column]:
+    """Of a text and ``kept``: how many lines aren't blank, how many of those are kept, and the text of kept and blank
+    lines."""
+    kept = F.coalesce("kept", F.array().cast("array<int>"))
+    white = F.lit(_WHITE)
 
+    def left(lines):
+        blank = F.filter(F.transform(lines, lambda x, i: F.when(F.btrim(x, white) == "", i)), lambda i: i.isNotNull())
+        at = F.array_sort(F.concat(kept, blank))
+        full = (F.size(lines) - F.size(blank)).cast("long")
+        return F.struct(full.alias("n_lines"), F.array_join(F.transform(at, lambda p: F.element_at(lines, p + 1)), "\n").alias("text"))
 
-def _text_of_kept(text: str) -> F.Column:
-    lines, kept = F.split(text, "\n", -1), F.coalesce("kept", F.array().cast("array<int>"))
-    return F.when(F.col(text).isNotNull(), F.array_join(F.transform(kept, lambda p: F.element_at(lines, p + 1)), "\n"))
+    found = F.transform(F.array(F.split(text, "\n", -1)), left)[0]  # so that the text is split once
+    some = F.col(text).isNotNull()
+    zero = F.lit(0).cast("long")
+    return F.when(some, found["n_lines"]).otherwise(zero), F.when(some, F.size(kept).cast("long")).otherwise(zero), F.when(some, found["text"])
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text and any others) with all their columns; ``text`` loses the lines that go."""
     rows = docs.select(*_key(), F.struct("*").alias("row")).join(_kept_lines(docs), ["d", "th"], "left")
-    return rows.select(*[(_text_of_kept("row.text") if name == "text" else F.col("row")[name]).alias(name) for name in docs.columns])
+    return rows.select(*[(_of_kept("row.text")[2] if name == "text" else F.col("row")[name]).alias(name) for name in docs.columns])
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_kept, text) of each row of docs (doc_id, text): lines that aren't blank, those of them that
-    are kept, and the text of the lines kept."""
+    are kept, and the text of kept and blank lines."""
     rows = docs.select(*_key(), "doc_id", "text").join(_kept_lines(docs), ["d", "th"], "left")
-    full = F.size(F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(_WHITE)) != ""))
-    n_lines = F.when(F.col("text").isNotNull(), full).otherwise(0)
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), n_lines.cast("long").alias("n_lines"), F.coalesce("n_kept", F.lit(0)).cast("long").alias("n_kept"), _text_of_kept("text").alias("text"))
+    n_lines, n_kept, text = _of_kept("text")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), n_lines.alias("n_lines"), n_kept.alias("n_kept"), text.alias("text"))
