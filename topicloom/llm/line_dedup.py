@@ -42,7 +42,9 @@ def _raw_lines(docs: DataFrame) -> DataFrame:
     odd = text.contains("  ")
     for c in _WHITE[1:]:
         odd = odd | text.contains(c)
-    lines = docs.where("text IS NOT NULL").select(*_key(), odd.alias("odd"), F.posexplode(F.split(F.lower(text), "\n", -1)).alias("pos", "line"))
+    # what is said of a text comes first, for what stands beside an explode is computed for each of its rows
+    texts = docs.where("text IS NOT NULL").select(*_key(), odd.alias("odd"), F.lower(text).alias("text"))
+    lines = texts.select("d", "th", "odd", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return lines.select("d", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("th")).alias("q"), "odd", "line")
 
 
@@ -106,7 +108,7 @@ def _neighbourhood(picked: DataFrame) -> DataFrame:
     beginning or end give. Those add up along the line, so a line of n words costs n steps.
     """
     ends = F.aggregate(F.transform("w", lambda x, i: F.xxhash64(F.col("n") - i, x)), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(h))
-    words = picked.select("d", "q", "n", "front", "back", ends.alias("ends"), F.posexplode("w").alias("j", "word"))
+    words = picked.withColumn("ends", ends).select("d", "q", "n", "front", "back", "ends", F.posexplode("w").alias("j", "word"))
     before = Window.partitionBy("d", "q").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
     so_far = lambda h: F.coalesce(F.bit_xor(h).over(before), F.lit(0).cast("long"))
     words = words.withColumn("hs", F.xxhash64(F.col("n") - F.col("j"), "word")).withColumn("pre", so_far(F.xxhash64("j", "word"))).withColumn("post", F.col("ends").bitwiseXOR(so_far(F.col("hs"))))
