@@ -5,15 +5,433 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from topicloom.functions import text as T
+from topicloom.functions.words import KEPT_KINDS, PROTECTED, SEED_STOPWORDS
+from topicloom.operators import corpus, topics, vectors
+from topicloom.sources import records as R
+
+from .bindings import Run, results, table
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = _WITH + sql
+        return f
+
+    return add
+
+
+def _values(words) -> str:
+    return ", ".join(f"('{w}')" for w in words)
+
+
+def _ws(x: str) -> str:
+    return rf"trim(regexp_replace(coalesce({x}, ''), '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+', ' ', 'g'))"
+
+
+_NOISE = "CASE WHEN doc_id % 3 = 0 THEN '1234567  Doe, Jane A. and Roe, Max We study andlt br andgt it <br/> here. ' || coalesce(text, '') || ' This award reflects NSF''s statutory mission today. End br/ of it.' ELSE text END"
+_BOILER = T.BOILERPLATE.replace("'", "''")
+_NAMES = T.NAMES_PREFIX.replace("'", "''")
+
+#: The binding and the derived tables, in SQL.
+_WITH = rf"""
+WITH g AS (SELECT cast(doc_id AS varchar) AS id, doc_id AS ord, {_ws("substr(text, 1, 80)")} AS title, {_ws("text")} AS abstract, source AS funder, upper(source) AS funder_code, cast(1995 + doc_id % 32 AS int) AS year FROM documents),
+firsts AS (SELECT lower(title) AS k, min(ord) AS f FROM g WHERE length(abstract) >= 100 AND title <> '' GROUP BY 1),
+r AS (SELECT g.*, CASE WHEN ord > f THEN 'duplicate' WHEN abstract = '' THEN 'no_abstract' WHEN length(abstract) < 100 THEN 'short' ELSE 'kept' END AS reason FROM g LEFT JOIN firsts ON lower(title) = k),
+kept AS (SELECT id, ord, title, abstract, funder, funder_code, year FROM r WHERE reason = 'kept'),
+n AS (SELECT count(*) AS n FROM kept),
+tok AS (SELECT id, unnest(regexp_extract_all(lower(abstract), '[a-z][a-z\-]{{2,}}')) AS token FROM kept),
+tf AS (SELECT id, token, count(*) AS tf FROM tok GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+protected AS (SELECT * FROM (VALUES {_values(PROTECTED)}) AS t(token)),
+stop AS (SELECT token FROM (SELECT token FROM df, n WHERE df >= floor(0.30 * n) UNION SELECT * FROM (VALUES {_values(SEED_STOPWORDS)}) AS t(token)) WHERE token NOT IN (SELECT token FROM protected)),
+raw AS (SELECT id, token AS text, row_number() OVER (PARTITION BY id ORDER BY round(tf * ln(1 + n::double / df), 9) DESC, token) AS pos FROM tf JOIN df USING (token), n WHERE token NOT IN (SELECT token FROM stop) QUALIFY pos <= 12),
+links AS (SELECT id, pos, text, round((5 - floor((pos - 1) * 5 / 12)) / 5.0, 3)::double AS score FROM raw),
+vocab AS (SELECT row_number() OVER (ORDER BY text) - 1 AS vocab_idx, text, weight, doc_freq FROM (SELECT text, sum(score) AS weight, count(DISTINCT id) AS doc_freq FROM links GROUP BY 1 HAVING count(DISTINCT id) >= 3)),
+assigned AS (SELECT *, substr(text, 1, 1) AS l1, substr(text, 1, 2) AS l2 FROM vocab),
+found AS (SELECT links.*, vocab_idx, l1, l2, coalesce(funder_code, '?') AS funder_code FROM links JOIN assigned USING (text) LEFT JOIN (SELECT id, funder_code FROM kept) USING (id)),
+tops AS (SELECT l1, score, 't' || row_number() OVER (ORDER BY score DESC, f) AS topic_id FROM (SELECT l1, round(sum(weight), 6) AS score, min(vocab_idx) AS f FROM assigned GROUP BY 1)),
+subs AS (SELECT l1, l2, topic_id, s.score, row_number() OVER (PARTITION BY l1 ORDER BY s.score DESC, f) AS j, topic_id || '.' || j AS sub_id FROM (SELECT l1, l2, round(sum(weight), 6) AS score, min(vocab_idx) AS f FROM assigned GROUP BY 1, 2) s JOIN tops USING (l1)),
+tw1 AS (SELECT l1 AS cluster, token, sum(doc_freq)::bigint AS w FROM (SELECT l1, doc_freq, unnest(regexp_extract_all(text, '[a-z][a-z]{{2,}}')) AS token FROM assigned) GROUP BY 1, 2),
+tw2 AS (SELECT l2 AS cluster, token, sum(doc_freq)::bigint AS w FROM (SELECT l2, doc_freq, unnest(regexp_extract_all(text, '[a-z][a-z]{{2,}}')) AS token FROM assigned) GROUP BY 1, 2),
+leaf AS (SELECT assigned.*, sub_id, topic_id, j, row_number() OVER (PARTITION BY sub_id ORDER BY doc_freq DESC, round(weight, 3) DESC, vocab_idx) AS leaf_rank FROM assigned JOIN subs USING (l1, l2)),
+verdict AS (SELECT id, coalesce(json_extract_string(payload, '$.primary_type'), 'other') AS primary_type, coalesce(json_extract_string(payload, '$.rationale'), '') AS rationale FROM (SELECT cast(doc_id AS varchar) AS id, doc_id % 11 <> 4 AS ok, CASE WHEN doc_id % 7 = 3 THEN '{{"primary_type": ' WHEN doc_id % 7 = 5 THEN '{{"rationale":"none"}}' ELSE '{{"primary_type":"' || CASE WHEN quality = 1 THEN 'research' ELSE 'other' END || '","rationale":"label"}}' END AS payload FROM labels) WHERE ok AND json_valid(payload)),
+judged AS (SELECT kept.*, primary_type, rationale, primary_type IS NULL OR primary_type IN ({", ".join(f"'{k}'" for k in KEPT_KINDS)}) AS research FROM kept LEFT JOIN verdict USING (id)),
+noisy AS (SELECT doc_id, {_NOISE} AS x FROM documents),
+s1 AS (SELECT doc_id, regexp_replace(x, '(?:andlt|&lt;)\s*br\s*/?\s*(?:andgt|&gt;)', ' ', 'gi') AS x FROM noisy),
+s2 AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), 'and(?:lt|gt|amp|quot|apos)', ' ', 'gi'), '\bbr\s*/|/\s*br\b', ' ', 'gi') AS x FROM s1),
+s3 AS (SELECT doc_id, regexp_matches(x, '^\s*(\d{{5,}})[\s.:\-]+') AS had_award, CASE WHEN regexp_matches(x, '^\s*(\d{{5,}})[\s.:\-]+') THEN regexp_replace(regexp_replace(x, '^\s*(\d{{5,}})[\s.:\-]+', ''), '{_NAMES}', '') ELSE x END AS x FROM s2),
+cleaned AS (SELECT doc_id, had_award, regexp_matches(x, '{_BOILER}', 'i') AS had_boiler, {_ws(f"regexp_replace(x, '[^.]*(?:{_BOILER})[^.]*(?:" + chr(92) + ".|$)', ' ', 'gi')")} AS abstract FROM s3)
+"""
+
+
+# --- ingest and cleaning ---
+
+
+@query(f"SELECT doc_id, md5({_ws('text')}) AS digest, length({_ws('text')}) AS n FROM documents")
+def q_clean_ws(spark, d):
+    text = T.clean_ws(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.cast("binary")).alias("digest"), F.length(text).alias("n"))
+
+
+_RAW_YEAR = "CASE doc_id % 7 WHEN 0 THEN ' 1950 ' WHEN 1 THEN '1949' WHEN 2 THEN '2100' WHEN 3 THEN '2101' WHEN 4 THEN 'FY20' WHEN 5 THEN '' ELSE cast(1900 + doc_id % 300 AS string) END"
+
+
+@query(f"SELECT doc_id, CASE WHEN regexp_full_match(y, '[0-9]+') AND y::bigint BETWEEN 1950 AND 2100 THEN y::int END AS year FROM (SELECT doc_id, trim({_RAW_YEAR}) AS y FROM documents)")
+def q_parse_year(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.parse_year(F.expr(_RAW_YEAR)).alias("year"))
+
+
+@query("SELECT id, ord, title, funder, funder_code, year, md5(abstract) AS digest FROM kept")
+def q_ingest_kept(spark, d):
+    return Run(spark, d).kept.select("id", "ord", "title", "funder", "funder_code", "year", F.md5(F.col("abstract").cast("binary")).alias("digest"))
+
+
+@query("SELECT reason, count(*) AS n FROM r GROUP BY 1")
+def q_ingest_audit(spark, d):
+    return corpus.with_reason(Run(spark, d).all).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT funder, n FROM (SELECT funder, count(*) AS n, min(ord) AS f FROM kept GROUP BY 1 ORDER BY n DESC, f LIMIT 10)")
+def q_top_funders(spark, d):
+    return corpus.top_counts(Run(spark, d).kept, "funder", 10)
+
+
+def _cleaned(spark, d):
+    noisy = table(spark, d, "documents").select("doc_id", F.expr(_NOISE.replace("''s", "\\'s")).alias("abstract"))
+    return T.strip_structural(noisy, "abstract")
+
+
+@query("SELECT doc_id, md5(abstract) AS digest, length(abstract) AS n, had_award, had_boiler FROM cleaned")
+def q_clean_text(spark, d):
+    return _cleaned(spark, d).select("doc_id", F.md5(F.col("abstract").cast("binary")).alias("digest"), F.length("abstract").alias("n"), "had_award", "had_boiler")
+
+
+@query("SELECT count_if(had_award) AS awards, count_if(had_boiler) AS boilerplate, count(*) AS n FROM cleaned")
+def q_clean_audit(spark, d):
+    return _cleaned(spark, d).agg(F.count_if("had_award").alias("awards"), F.count_if("had_boiler").alias("boilerplate"), F.count("*").alias("n"))
+
+
+@query()
+def q_sanitize_pages(spark, d):
+    """Pages without tags and with entities resolved; SQL has no function for entities."""
+    return table(spark, d, "pages").select("page_id", T.clean_ws(T.sanitize(F.col("html"))).alias("text"))
+
+
+@query("SELECT token, df FROM df")
+def q_token_df(spark, d):
+    return Run(spark, d).df()
+
+
+@query("SELECT token FROM stop")
+def q_stoplist(spark, d):
+    return Run(spark, d).stop()
+
+
+@query("SELECT token, df, CASE WHEN token IN (SELECT token FROM stop) THEN 'STOP' WHEN token IN (SELECT token FROM protected) THEN 'protected' ELSE '' END AS mark FROM (SELECT * FROM df ORDER BY df DESC, token LIMIT 40)")
+def q_df_report(spark, d):
+    run = Run(spark, d)
+    return corpus.df_report(run.df(), run.stop())
+
+
+# --- research filter and keyphrases ---
+
+
+@query("SELECT id, primary_type, rationale FROM verdict")
+def q_verdict_parse(spark, d):
+    return corpus.parse_verdicts(results(spark, d))
+
+
+@query("SELECT id, title, year FROM judged WHERE research")
+def q_research_kept(spark, d):
+    return corpus.research_kept(Run(spark, d).kept, corpus.parse_verdicts(results(spark, d))).select("id", "title", "year")
+
+
+@query("SELECT id, title, primary_type AS excluded_type, rationale AS excluded_reason FROM judged WHERE NOT research")
+def q_research_excluded(spark, d):
+    return corpus.research_excluded(Run(spark, d).kept, corpus.parse_verdicts(results(spark, d))).select("id", "title", "excluded_type", "excluded_reason")
+
+
+@query("SELECT coalesce(primary_type, 'none') AS primary_type, count(*) AS n FROM judged GROUP BY 1")
+def q_type_counts(spark, d):
+    found = corpus.with_verdict(Run(spark, d).kept, corpus.parse_verdicts(results(spark, d)))
+    return found.groupBy(F.coalesce("primary_type", F.lit("none")).alias("primary_type")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, md5('TITLE: ' || title || chr(10) || 'ABSTRACT: ' || substr(abstract, 1, 1500)) AS classify, length(substr(abstract, 1, 2500)) AS extract_chars FROM kept")
+def q_prompt_payload(spark, d):
+    prompt = F.concat(F.lit("TITLE: "), "title", F.lit("\nABSTRACT: "), F.substring("abstract", 1, 1500))
+    return Run(spark, d).kept.select("id", F.md5(prompt.cast("binary")).alias("classify"), F.length(F.substring("abstract", 1, 2500)).alias("extract_chars"))
+
+
+_NOISY_RAW = "SELECT id, pos * 2 AS pos, '  ' || upper(text) || ' ' AS text, 5 - floor((pos - 1) * 5 / 12) AS salience FROM raw UNION ALL SELECT id, pos * 2 + 1, text, NULL FROM raw WHERE pos % 3 = 0 UNION ALL SELECT id, 100, 'x', 5 FROM kept UNION ALL SELECT id, 101, '123', 5 FROM kept UNION ALL SELECT id, 102, 'two  words', NULL FROM kept"
+
+
+@query(rf"SELECT id, text, min(pos) AS pos, arg_min(score, pos) AS score FROM (SELECT id, pos, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS text, round(coalesce(salience, 3) / 5.0, 3)::double AS score FROM ({_NOISY_RAW})) WHERE length(text) >= 2 AND regexp_matches(text, '\p{{L}}') GROUP BY id, text")
+def q_keyword_norm(spark, d):
+    run = Run(spark, d)
+    raw, none = run.raw(), F.lit(None).cast("int")
+    noisy = raw.select("id", F.col("pos") * 2, F.concat(F.lit("  "), F.upper("text"), F.lit(" ")).alias("text"), "salience").union(raw.where("pos % 3 = 0").select("id", F.col("pos") * 2 + 1, "text", none))
+    for pos, text, salience in ((100, "x", F.lit(5)), (101, "123", F.lit(5)), (102, "two  words", none)):
+        noisy = noisy.union(run.kept.select("id", F.lit(pos), F.lit(text), salience))
+    return corpus.normal_keyphrases(noisy.toDF("id", "pos", "text", "salience"))
+
+
+@query("SELECT round(avg(n), 6) AS mean, count_if(n = 0) AS without, count(*) AS n_docs FROM (SELECT id, count(text) AS n FROM kept LEFT JOIN links USING (id) GROUP BY 1)")
+def q_keyword_stats(spark, d):
+    run = Run(spark, d)
+    each = run.kept.select("id").join(run.links().select("id", "text"), "id", "left").groupBy("id").agg(F.count("text").alias("n"))
+    return each.agg(F.round(F.avg("n"), 6).alias("mean"), F.count_if(F.col("n") == 0).alias("without"), F.count("*").alias("n_docs"))
+
+
+# --- links, labels and tree ---
+
+
+@query("SELECT vocab_idx, text, round(weight, 6) AS weight, doc_freq FROM vocab")
+def q_vocab(spark, d):
+    return Run(spark, d).vocab().withColumn("weight", F.round("weight", 6))
+
+
+@query("SELECT text, round(weight, 3) AS weight, doc_freq, docs FROM vocab JOIN (SELECT text, string_agg(DISTINCT id, ',' ORDER BY id) AS docs FROM links GROUP BY 1) USING (text)")
+def q_kw_leaf(spark, d):
+    run = Run(spark, d)
+    return corpus.leaves(run.links(), run.vocab()).select("text", "weight", "doc_freq", F.array_join("docs", ",").alias("docs"))
+
+
+@query("SELECT id FROM kept WHERE id NOT IN (SELECT id FROM found)")
+def q_orphan_docs(spark, d):
+    run = Run(spark, d)
+    return corpus.orphans(run.kept, run.links(), run.vocab()).select("id")
+
+
+@query("SELECT cluster, token, w FROM tw2")
+def q_token_weights(spark, d):
+    return topics.token_weights(Run(spark, d).assigned(), "l2")
+
+
+def _ctfidf(weights: str, level: str) -> str:
+    return f"SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, token) AS rank, token, score FROM (SELECT cluster, token, round(w * ln(1 + a / f), 6) AS score FROM {weights} JOIN (SELECT token, sum(w) AS f FROM {weights} GROUP BY 1) USING (token), (SELECT sum(w)::double / (SELECT count(DISTINCT {level}) FROM assigned) AS a FROM {weights})) QUALIFY rank <= 6"
+
+
+@query(_ctfidf("tw1", "l1"))
+def q_ctfidf_top(spark, d):
+    a = Run(spark, d).assigned()
+    return topics.class_tfidf(topics.token_weights(a, "l1"), a.select(F.col("l1").alias("cluster")))
+
+
+@query(f"SELECT cluster, string_agg(token, ' ' ORDER BY rank) FILTER (rank <= 3) AS label FROM ({_ctfidf('tw2', 'l2')}) GROUP BY 1")
+def q_ctfidf_sub(spark, d):
+    return topics.terms(Run(spark, d).assigned(), "l2").select("cluster", "label")
+
+
+@query("SELECT l1 AS cluster, row_number() OVER (PARTITION BY l1 ORDER BY n DESC, v, i) AS rank, funder_code, round(n / sum(n) OVER (PARTITION BY l1), 3) AS share FROM (SELECT l1, funder_code, count(*) AS n, min(vocab_idx) AS v, arg_min(id::bigint, vocab_idx * 1000000000000 + id::bigint) AS i FROM found GROUP BY 1, 2)")
+def q_funder_mix(spark, d):
+    return topics.funder_mix(Run(spark, d).found(), "l1")
+
+
+@query("SELECT l1, l2, topic_id, sub_id, score FROM subs UNION ALL SELECT l1, NULL, topic_id, NULL, score FROM tops")
+def q_topic_tree(spark, d):
+    tops, subs = topics.nodes(Run(spark, d).assigned())
+    none = F.lit(None).cast("string")
+    return subs.select("l1", "l2", "topic_id", "sub_id", "score").union(tops.select("l1", none, "topic_id", none, "score"))
+
+
+@query("SELECT (SELECT n FROM n) AS n_docs, (SELECT string_agg(DISTINCT funder_code, ',' ORDER BY funder_code) FROM kept) AS funders, count(*) AS n_keywords, count(DISTINCT l1) AS n_topics, count(DISTINCT l2) AS n_subtopics, 3 AS min_df FROM assigned")
+def q_meta(spark, d):
+    run = Run(spark, d)
+    return topics.meta(run.kept, run.assigned(), corpus.MIN_DF).withColumn("funders", F.array_join("funders", ","))
+
+
+# --- coverage and documents ---
+
+
+@query("SELECT l1, l2, count(DISTINCT id) AS doc_count, string_agg(DISTINCT id, ',' ORDER BY id) AS docs FROM found GROUP BY 1, 2")
+def q_coverage_sub(spark, d):
+    return topics.covered_docs(Run(spark, d).found()).withColumn("docs", F.array_join("docs", ","))
+
+
+@query("SELECT l1, l2, count(DISTINCT id) AS doc_count FROM found GROUP BY GROUPING SETS ((l1), (l1, l2))")
+def q_coverage_top(spark, d):
+    return topics.coverage(Run(spark, d).found())
+
+
+@query("SELECT sum(n)::bigint AS total FROM (SELECT count(DISTINCT id) AS n FROM found GROUP BY l1)")
+def q_coverage_total(spark, d):
+    return topics.coverage(Run(spark, d).found()).where("l2 IS NULL").agg(F.sum("doc_count").alias("total"))
+
+
+@query("SELECT text, funder_code FROM (SELECT text, funder_code, count(*) AS n, min(id) AS f FROM (SELECT DISTINCT text, id, funder_code FROM found) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY text ORDER BY n DESC, f) = 1")
+def q_dominant_funder(spark, d):
+    return topics.dominant_funder(Run(spark, d).found())
+
+
+@query("SELECT id, title, funder, funder_code, year, md5(CASE WHEN ord % 5 = 0 THEN '' ELSE abstract END) AS digest FROM kept WHERE id IN (SELECT id FROM found)")
+def q_docs_index(spark, d):
+    run = Run(spark, d)
+    index = topics.docs_index(run.kept, run.kept.where("ord % 5 <> 0").select("id", "abstract"), run.found())
+    return index.select("id", "title", "funder", "funder_code", "year", F.md5(F.col("abstract").cast("binary")).alias("digest"))
+
+
+@query("SELECT topic_id AS node, 'topic' AS level, string_agg(text, ',' ORDER BY rk) AS keywords FROM (SELECT topic_id, text, row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 3) DESC, j, leaf_rank) AS rk FROM leaf) WHERE rk <= 10 GROUP BY 1 UNION ALL SELECT sub_id, 'subtopic', string_agg(text, ',' ORDER BY leaf_rank) FROM leaf WHERE leaf_rank <= 10 GROUP BY 1")
+def q_label_payload(spark, d):
+    return topics.label_payload(Run(spark, d).assigned()).withColumn("keywords", F.array_join("keywords", ","))
+
+
+@query("SELECT topic_id AS node, l1 AS label, CASE WHEN ascii(l1) % 2 = 0 THEN upper(l1) ELSE l1 END AS llm_label, ascii(l1) % 2 = 0 AS labelled FROM tops")
+def q_label_merge(spark, d):
+    tops, _ = topics.nodes(Run(spark, d).assigned())
+    labels = tops.where("ascii(l1) % 2 = 0").select(F.col("topic_id").alias("node"), F.upper("l1").alias("llm_label"))
+    return topics.merged_labels(tops.select(F.col("topic_id").alias("node"), F.col("l1").alias("label")), labels)
+
+
+@query("SELECT l1, doc_count, row_number() OVER (ORDER BY doc_count DESC, l1) AS place, mix FROM (SELECT l1, count(DISTINCT id) AS doc_count FROM found GROUP BY 1) JOIN (SELECT l1, string_agg(funder_code, ',' ORDER BY n DESC, funder_code) AS mix FROM (SELECT l1, funder_code, count(*) AS n FROM found GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY l1 ORDER BY n DESC, funder_code) <= 3) GROUP BY 1) USING (l1)")
+def q_review_report(spark, d):
+    from pyspark.sql.window import Window
+
+    found = Run(spark, d).found()
+    mix = found.groupBy("l1", "funder_code").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(Window.partitionBy("l1").orderBy(F.desc("n"), "funder_code"))).where("k <= 3")
+    mix = mix.groupBy("l1").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "funder_code"))), lambda x: x["funder_code"]), ",").alias("mix"))
+    counts = topics.coverage(found).where("l2 IS NULL").select("l1", "doc_count")
+    return counts.join(mix, "l1").select("l1", "doc_count", F.row_number().over(Window.orderBy(F.desc("doc_count"), "l1")).alias("place"), "mix")
+
+
+# --- exploration ---
+
+_HIST = "SELECT text, year, coalesce(n, 0) AS n FROM (SELECT DISTINCT text FROM found) CROSS JOIN (SELECT unnest(range((SELECT min(year) FROM kept), (SELECT max(year) FROM kept) + 1))::int AS year) LEFT JOIN (SELECT text, year, count(DISTINCT id) AS n FROM found JOIN kept USING (id) GROUP BY 1, 2) USING (text, year) WHERE year NOT IN (2020, 2026)"
+
+
+@query(_HIST)
+def q_year_hist(spark, d):
+    run = Run(spark, d)
+    return topics.year_histogram(run.found(), run.kept, [2020, 2026])
+
+
+@query(f"SELECT greatest(max(n), 1) AS most, (SELECT max(doc_freq) FROM assigned) AS most_docs FROM ({_HIST})")
+def q_hist_max(spark, d):
+    run = Run(spark, d)
+    most = topics.year_histogram(run.found(), run.kept, [2020, 2026]).agg(F.greatest(F.coalesce(F.max("n"), F.lit(0)), F.lit(1)).alias("most"))
+    return most.crossJoin(run.assigned().agg(F.max("doc_freq").alias("most_docs")))
+
+
+@query("SELECT topic_id, text, doc_freq, ceil(row_number() OVER (PARTITION BY topic_id ORDER BY doc_freq DESC, text) / 5)::int AS page FROM assigned JOIN tops USING (l1)")
+def q_topic_kw_page(spark, d):
+    run = Run(spark, d)
+    return topics.keyword_pages(run.found(), topics.nodes(run.assigned())[1])
+
+
+@query("SELECT text, row_number() OVER (PARTITION BY text ORDER BY coalesce(year, 0) DESC, id) AS rank, id, year, title FROM (SELECT DISTINCT text, id FROM found) JOIN kept USING (id) QUALIFY rank <= 60")
+def q_kw_drilldown(spark, d):
+    run = Run(spark, d)
+    return topics.drill_down(run.found(), run.kept)
+
+
+@query(r"""SELECT id, md5(regexp_replace(regexp_replace(replace(replace(replace(abstract, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\b(that|the)\b', '<mark>\1</mark>', 'gi'), '<mark>(the)</mark>', '<mark class="selected">\1</mark>', 'gi')) AS digest FROM kept""")
+def q_highlight(spark, d):
+    kept = Run(spark, d).kept
+    return kept.select("id", F.md5(topics.highlighted(F.col("abstract"), ["the", "that"], "the").cast("binary")).alias("digest"))
+
+
+@query("SELECT text, round(CASE WHEN m <= 1 THEN 36.5 ELSE greatest(9, least(64, 9 + 55 * (pow(doc_freq, 0.35) - 1) / (pow(m, 0.35) - 1))) END, 4) AS size FROM assigned, (SELECT max(doc_freq) AS m FROM assigned)")
+def q_font_scale(spark, d):
+    a = Run(spark, d).assigned()
+    return a.crossJoin(F.broadcast(a.agg(F.max("doc_freq").alias("m")))).select("text", F.round(T.font_size(F.col("doc_freq"), F.col("m")), 4).alias("size"))
+
+
+_BOXES = "SELECT (row_number() OVER (ORDER BY l1) - 1)::int AS i, (100 + count(*) % 7 * 10)::double AS w, (50 + count(*) % 5 * 10)::double AS h FROM assigned GROUP BY l1"
+
+
+@query(f"SELECT i, col, row, x, y FROM (SELECT *, (i % c)::int AS col, (i // c)::int AS row FROM ({_BOXES}), (SELECT greatest(1, round(sqrt(count(DISTINCT l1) * 1.6)))::int AS c FROM assigned)) JOIN (SELECT col, coalesce(sum(s) OVER (ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x FROM (SELECT (i % c)::int AS col, max(w) + 40 AS s FROM ({_BOXES}), (SELECT greatest(1, round(sqrt(count(DISTINCT l1) * 1.6)))::int AS c FROM assigned) GROUP BY 1)) USING (col) JOIN (SELECT row, coalesce(sum(s) OVER (ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS y FROM (SELECT (i // c)::int AS row, max(h) + 40 AS s FROM ({_BOXES}), (SELECT greatest(1, round(sqrt(count(DISTINCT l1) * 1.6)))::int AS c FROM assigned) GROUP BY 1)) USING (row)")
+def q_grid_layout(spark, d):
+    from pyspark.sql.window import Window
+
+    n = Run(spark, d).assigned().groupBy("l1").agg(F.count("*").alias("n"))
+    boxes = n.select((F.row_number().over(Window.orderBy("l1")) - 1).alias("i"), (100 + F.col("n") % 7 * 10).cast("double").alias("w"), (50 + F.col("n") % 5 * 10).cast("double").alias("h"))
+    return topics.grid(boxes, 1.6)
+
+
+# --- vectors ---
+
+
+@query("SELECT label, pos - 1 AS pos, round(avg(x / norm), 6) AS x FROM (SELECT label, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS pos, sqrt(list_sum(list_transform(embedding::double[], lambda v: v * v))) AS norm FROM embeddings) GROUP BY 1, 2")
+def q_centroids(spark, d):
+    return vectors.centroids(table(spark, d, "embeddings"), "label").select("label", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("SELECT a.label AS a, b.label AS b, round(CASE WHEN a.label = b.label THEN 0 ELSE greatest(0, 1 - list_cosine_similarity(a.c, b.c)) END, 6) AS distance FROM (SELECT label, list(x ORDER BY pos) AS c FROM (SELECT label, pos, avg(x / norm) AS x FROM (SELECT label, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS pos, sqrt(list_sum(list_transform(embedding::double[], lambda v: v * v))) AS norm FROM embeddings) GROUP BY 1, 2) GROUP BY 1) a, (SELECT label, list(x ORDER BY pos) AS c FROM (SELECT label, pos, avg(x / norm) AS x FROM (SELECT label, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS pos, sqrt(list_sum(list_transform(embedding::double[], lambda v: v * v))) AS norm FROM embeddings) GROUP BY 1, 2) GROUP BY 1) b")
+def q_centroid_dist(spark, d):
+    return vectors.distances(vectors.centroids(table(spark, d, "embeddings"), "label"), "label").withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def q_seed(spark, d):
+    """Places of the centroids in the plane by metric scaling."""
+    return vectors.seeds(vectors.centroids(table(spark, d, "embeddings"), "label"), "label")
+
+
+@query()
+def q_ward_cut(spark, d):
+    """The vocabulary in nested clusters of both levels, by Ward's linkage of hashed vectors."""
+    return vectors.ward_clusters(Run(spark, d).vocab())
+
+
+# --- adapters and publishing ---
+
+_LEGACY = "SELECT doc_id AS grant_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE substr(text, 1, 40) END AS grantname, substr(text, 5, 30) AS title_from_abstract, source || CASE WHEN doc_id % 3 = 0 THEN '  - sub Award' ELSE '' END AS agencyname, ' ' || lang || ' ' AS agencycode, text AS abstract, cast(1990 + doc_id % 50 AS string) AS startdateyear FROM documents"
+
+
+@query(rf"SELECT grant_id AS id, coalesce(nullif(grantname, ''), title_from_abstract, '') AS title, regexp_replace(trim(agencyname), '\s*-\s*Sub\s*Award$', '', 'i') AS funder, upper(trim(agencycode)) AS funder_code, startdateyear AS year FROM ({_LEGACY})")
+def q_adapt_legacy(spark, d):
+    raw = table(spark, d, "documents").selectExpr(*_columns(_LEGACY))
+    return R.adapt(raw).drop("abstract")
+
+
+_EXPORT = "SELECT doc_id AS awd_id, substr(text, 1, 30) AS awd_titl_txt, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'x' || text END AS corpus, lang AS div_abbr, ' ' || source AS org_div_long_name, '2021' AS awd_eff_year FROM documents"
+
+
+@query(f"SELECT awd_id AS id, awd_titl_txt AS title, md5(CASE WHEN starts_with(corpus, awd_titl_txt) THEN substr(corpus, length(awd_titl_txt) + 1) ELSE corpus END) AS digest, trim(org_div_long_name) AS funder, upper(trim(div_abbr)) AS funder_code, awd_eff_year AS year FROM ({_EXPORT})")
+def q_adapt_export(spark, d):
+    found = R.adapt(table(spark, d, "documents").selectExpr(*_columns(_EXPORT)))
+    return found.select("id", "title", F.md5(F.col("abstract").cast("binary")).alias("digest"), "funder", "funder_code", "year")
+
+
+def _columns(select: str) -> list[str]:
+    """The expressions of a SELECT over one table."""
+    depth, parts, start = 0, [], 0
+    body = select.removeprefix("SELECT ").rpartition(" FROM ")[0]
+    for k, c in enumerate(body):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            parts.append(body[start:k])
+            start = k + 1
+    return [*parts, body[start:]]
+
+
+@query("SELECT lang AS id, CASE lang WHEN 'en' THEN 'English' ELSE upper(substr(lang, 1, 1)) || substr(lang, 2) END AS label, lang || '/topics.json' AS file, count(*) AS n_docs, string_agg(DISTINCT source, ',' ORDER BY source) AS funders FROM documents GROUP BY 1")
+def q_manifest(spark, d):
+    found = table(spark, d, "documents").groupBy(F.col("lang").alias("id")).agg(F.count("*").alias("n_docs"), F.array_sort(F.collect_set("source")).alias("funders"))
+    config = spark.createDataFrame([("en", "English")], "id string, label string")
+    label = F.coalesce("label", F.initcap(F.translate("id", "-_", "  ")))
+    return found.join(F.broadcast(config), "id", "left").select("id", label.alias("label"), F.concat("id", F.lit("/topics.json")).alias("file"), "n_docs", F.array_join("funders", ",").alias("funders"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    """Top class-TF-IDF terms of each source."""
+    run = Run(spark, sf_dir)
+    links = run.links().join(run.vocab().select("text"), "text", "left_semi").join(run.kept.select("id", "funder_code"), "id")
+    weights = links.select(F.col("funder_code").alias("cluster"), F.explode(T.phrase_tokens(F.col("text"))).alias("token")).groupBy("cluster", "token").agg(F.count("*").alias("w"))
+    return topics.class_tfidf(weights, weights.select("cluster"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
