@@ -126,6 +126,22 @@ def test_ward_nests_and_matches_a_plain_loop():
     assert len(vectors.cut(1, vectors.ward(x[:1]), 18)) == 1
 
 
+def test_ward_of_equal_places():
+    x = np.repeat(np.random.default_rng(3).normal(size=(30, 5)), 7, axis=0)
+    merges = vectors.ward(x)
+    assert [round(h, 9) for _, _, h in merges[:180]] == [0] * 180 and merges[180][2] > 0.01
+    assert (vectors.cut(210, merges, 30) == np.repeat(np.arange(30), 7)).all()
+
+
+def test_ward_clusters_of_many_keyphrases(spark):
+    texts = [f"{k * 7919 % 10_007:05d} {k:05d}" for k in range(10_050)]
+    vocab = spark.createDataFrame(list(enumerate(texts)), "vocab_idx long, text string")
+    found = sorted(map(tuple, vectors.ward_clusters(vocab).collect()))
+    merges = vectors.ward(np.array([vectors.hashed_vector(t) for t in texts]))
+    l1, l2 = (vectors.cut(len(texts), merges, k) for k in (18, 90))
+    assert found == [(k, t, a, b) for k, (t, a, b) in enumerate(zip(texts, l1.tolist(), l2.tolist()))]
+
+
 def test_places_keep_distances():
     at = np.random.default_rng(2).normal(size=(6, 2))
     d = np.linalg.norm(at[:, None] - at[None], axis=2)
