@@ -253,6 +253,22 @@ def test_op8_on_embeddings(spark):
     assert sum(found[i] == expected[i] for i in found) >= 0.99 * len(found)
 
 
+@pytest.mark.parametrize("shared", [0.0, 0.5, 0.7, 0.9])
+def test_planted_pairs_meet_whatever_all_vectors_share(spark, shared):
+    rng = np.random.default_rng(6)
+    made = lambda n: itq.unit(rng.normal(size=(n, 64)))
+    x = itq.unit(shared**0.5 * made(1) + (1 - shared) ** 0.5 * made(1500))
+    side = made(1500)
+    side = itq.unit(side - (side * x).sum(axis=1, keepdims=True) * x)
+    cosine = rng.uniform(0.951, 0.96, size=(1500, 1))
+    both = np.concatenate([x, cosine * x + (1 - cosine**2) ** 0.5 * side])
+    table = spark.createDataFrame([(k, v, 1, "", "") for k, v in enumerate(both.tolist())], VECTORS)
+    expected = vector_links(table.collect())
+    found = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(table).collect()}
+    assert all(found[i] <= n for i, (n, _) in expected.items())
+    assert sum(found.values()) >= 0.99 * sum(n for n, _ in expected.values()) >= 2900
+
+
 def test_rotation_balances_bits():
     x = np.random.default_rng(1).normal(size=(2000, 32)) * np.linspace(1, 4, 32)
     codec = itq.learn(x, 2)

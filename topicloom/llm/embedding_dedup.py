@@ -3,7 +3,8 @@
 Two rotations (see ``itq``) give each vector two codes of 64 bits. Each code is cut into substrings of 16 bits, and each
 substring enters its table once for every pair of its bits, with that pair masked out: codes that differ in one bit of
 a substring, or in two of a masked pair, meet under a key. Two vectors with a cosine of 0.95 miss each other in all 64
-keys about once in 300 times; nearer ones far less.
+keys about once in 300 times; nearer ones far less. Signs are taken about the origin, for about the mean the angle of a
+pair grows with what all vectors share. Where they share much, codes are alike and groups large.
 
 Equal vectors are a class and stand for each other, with their number. Classes that meet and whose codes are within
 ``radius`` of each other belong to one group; a key under which few classes stand compares them all, a key under which
@@ -190,7 +191,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, radius: int = RAD
     ids = table.select(F.col("vec_id").cast("long").alias("vec_id"))
     if len(sample) < 2:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    codec = learn(sample, ROTATIONS)
+    codec = learn(sample, ROTATIONS, centred=False)
     coded = scratch.stage(sound.mapInArrow(_coded(codec, dim), "vec_id long, same binary, c0 long, c1 long, vector binary"), "coded", "none")
     classes = coded.groupBy("same").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("copies"), *[F.first(c).alias(c) for c in ("c0", "c1", "vector")])
     classes = scratch.stage(classes, "classes", "none")

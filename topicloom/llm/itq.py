@@ -38,10 +38,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def learn(sample: np.ndarray, rotations: int = 1, rounds: int = 30) -> Codec:
-    """Principal axes of the sample's unit vectors, then rotations of them, each from another random start."""
+def learn(sample: np.ndarray, rotations: int = 1, rounds: int = 30, centred: bool = True) -> Codec:
+    """Principal axes of the sample's unit vectors, then rotations of them, each from another random start; about their
+    mean, or, if not ``centred``, about the origin, where two vectors' angle is that of their cosine."""
     x = unit(sample)
-    mean = x.mean(axis=0)
+    mean = x.mean(axis=0) if centred else np.zeros(x.shape[1])
     x = x - mean
     _, _, axes = np.linalg.svd(x.T @ x)
     axes = axes[:BITS].T
