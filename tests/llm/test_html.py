@@ -81,6 +81,36 @@ class Words(HTMLParser):
             self.words += data.split()
 
 
+SHEETS = {
+    "print": ("@media print { .a, nav { display: none } } .b{display:none}", "a c n"),
+    "narrow screens": ("@media (max-width:600px){ .a{display:none} .b{display:none} } .c{visibility:hidden}", "a b n"),
+    "wide screens": ("@media only screen and (min-width: 40em) and (orientation:landscape){.a{display:none}} @media (width < 700px){.b{display:none}}", "b c n"),
+    "lists of media": ("@media print, (max-width: 2000px) {.a{display:none}} @media not screen{.b{display:none}} @media not print{.c{display:none}}", "b n"),
+    "what can't be told": ("@media (hover:none){.a{display:none}} @media not (hover){.b{display:none}} @supports (x:y){.c{display:none}}", "a b c n"),
+    "media in media": ("@media screen{@media print{.a{display:none}} .b{display:none}} @media print{@media screen{.c{display:none}}}", "a c n"),
+    "layers and statements": ("@charset 'x;{'; @import url(x.css); @layer p, q; @layer p{.a{display:none}} @font-face{font-family:b} .b{display:none}", "c n"),
+    "strings": (".q::before{content:'} .a{display:none}'} .b{content:\"{\";display:none}", "a c n"),
+    "rules in rules": (".a{color:red; .b{display:none} display:none} .c{display:none}", "b n"),
+    "ends": (".x{} } .a{display:none} .b{display:none} @media print{.c{display:none", "a c n"),
+}
+
+
+@pytest.mark.parametrize("name", SHEETS)
+def test_rules_of_sheets_that_hold_on_a_screen(name):
+    sheet, expected = SHEETS[name]
+    page = f"<style>{sheet}</style><i class=a>a </i><i class=b>b </i><i class=c>c </i><nav>n</nav>"
+    assert visible_text(page).split() == expected.split()
+
+
+def test_media_of_a_sheet():
+    assert visible_text("<style media=print>p{display:none}</style><style media='screen, print'>b{display:none}</style><p>a<b>b</b>") == "a"
+
+
+def test_long_sheets_of_marks():
+    for mark in (";", "}", "{", "a{", "'", '"', "\\"):
+        assert visible_text(f"<style>display {mark * 200_000}</style>a") == "a"
+
+
 def test_op6_on_pages(spark, medium):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{medium}/pages.parquet").collect()}
     found = {r.page_id: r.text for r in Q.op6_html(spark, medium).collect()}

@@ -5,8 +5,8 @@ doesn't belong there), end tags close what is open in their scope, stray content
 elements nested deeper than ``MAX_DEPTH`` become siblings. Comments, declarations and raw text are read as in HTML.
 
 Visibility: elements that browsers never show; ``hidden``; ``display: none`` and ``visibility`` in style attributes and
-in style sheets of the page (rules on a tag, a class, an id, or a tag with one of these); closed dialogs and the closed
-part of details; hidden inputs. All other text is emitted, navigation and footers included.
+in style sheets of the page (rules on a tag, a class, an id, or a tag with one of these, and of at-rules those of layers
+and of media that hold for a screen of ``SCREEN``); closed dialogs and the closed part of details; hidden inputs. All other text is emitted, navigation and footers included.
 
 Layout: white space collapses but in preformatted text; blocks begin a line, and those with margins are set off by an
 empty line; items have bullets or numbers and are indented; the cells of a table stand in columns padded to the widest
@@ -31,11 +31,15 @@ from pyspark.sql import functions as F
 MAX_DEPTH = 100
 #: Widest column that cells are padded to, and largest span that is honoured.
 MAX_WIDTH, MAX_SPAN = 80, 1000
+#: Pixels of the screen that pages are taken to be shown on, and of an em.
+SCREEN, EM = {"width": 1280.0, "height": 800.0}, 16
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']?))*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s]+))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_CSS_MARK = re.compile(r"\\.|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", re.S)
+_WIDTH_TEST = re.compile(r"\(\s*(min-|max-)?(?:device-)?(width|height)\s*:\s*([\d.]+)(px|em|rem)?\s*\)\Z")
+_RANGE_TEST = re.compile(r"\(\s*(?:([\d.]+)(px|em|rem)?\s*([<>]=?)\s*)?(width|height)(?:\s*([<>]=?)\s*([\d.]+)(px|em|rem)?)?\s*\)\Z")
 _SIMPLE = re.compile(r"([a-z][a-z0-9-]*)?(?:([.#])([\w-]+))?\Z", re.I)
 _CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 
@@ -233,7 +237,7 @@ def parse(html: str) -> tuple[Node, list[str]]:
                 raw = html[at : close.start() if close else n]
                 at = close.start() if close else n
                 if node is not None:
-                    if tag == "style":
+                    if tag == "style" and ("media" not in found[3].lower() or _holds(node.get().get("media", ""))):
                         tree.styles.append(raw)
                     node.children.append(unescape(raw) if tag in _RCDATA else raw)
             elif tag == "plaintext":
@@ -270,6 +274,81 @@ def _declared(css: str) -> dict[str, str]:
     return found
 
 
+def _media_test(test: str) -> bool | None:
+    """Whether a media type or feature holds for the screen; None if it isn't known."""
+    if test in ("all", "screen"):
+        return True
+    if test in ("print", "speech", "aural", "braille", "embossed", "handheld", "projection", "tty", "tv"):
+        return False
+    pixels = lambda n, unit: float(n) * (EM if unit in ("em", "rem") else 1)
+    try:
+        if m := _WIDTH_TEST.match(test):
+            has, asked = SCREEN[m[2]], pixels(m[3], m[4])
+            return has >= asked if m[1] == "min-" else has <= asked if m[1] else has == asked
+        if (m := _RANGE_TEST.match(test)) and (m[1] or m[6]):
+            has, compare = SCREEN[m[4]], {"<": float.__lt__, "<=": float.__le__, ">": float.__gt__, ">=": float.__ge__}
+            return (not m[1] or compare[m[3]](pixels(m[1], m[2]), has)) and (not m[6] or compare[m[5]](has, pixels(m[6], m[7])))
+    except ValueError:
+        return None
+    if m := re.match(r"\(\s*orientation\s*:\s*(landscape|portrait)\s*\)\Z", test):
+        return m[1] == "landscape"
+    return None
+
+
+def _holds(media: str) -> bool:
+    """Whether a list of media queries holds for the screen. Queries that can't be told don't."""
+    queries = [" ".join(q.lower().split()) for q in media.split(",")]
+    if queries == [""]:
+        return True
+    for query in queries:
+        negated = query.startswith("not ")
+        query = query[4:] if negated else query.removeprefix("only ")
+        tests = [_media_test(t) for t in query.split(" and ")]
+        value = False if False in tests else None if None in tests else True
+        if value is not None and value != negated:
+            return True
+    return False
+
+
+def _rules(sheet: str):
+    """(selectors, declarations) of the rules of a sheet that hold on a screen. Of at-rules, those of layers and of media
+    that hold are gone into; other blocks, and rules within rules, are left out."""
+    stack: list[tuple[bool, str | None, list[str]]] = [(True, None, [])]  # holds, selectors (None: a list of rules), declarations
+    begin, spoiled = 0, False  # spoiled: what stands before the next block makes it no rule
+    for mark in _CSS_MARK.finditer(sheet):
+        if mark[0] not in ("{", "}", ";"):
+            continue
+        holds, selectors, declarations = stack[-1]
+        before = sheet[begin : mark.start()]
+        if mark[0] == "{":
+            prelude = before.strip()
+            name = re.match(r"@[\w-]*", prelude)
+            if selectors is not None or spoiled:
+                stack.append((False, "", []))
+            elif not name:
+                stack.append((holds, prelude, []))
+            elif name[0].lower() == "@media":
+                stack.append((holds and _holds(prelude[len(name[0]) :]), None, []))
+            else:
+                stack.append((holds, None, []) if name[0].lower() == "@layer" else (False, "", []))
+            spoiled = False
+        elif mark[0] == ";":
+            if selectors is not None:
+                declarations.append(before)
+            else:
+                spoiled |= not before.lstrip().startswith("@")
+        else:
+            spoiled = len(stack) == 1
+            if not spoiled:
+                stack.pop()
+                if holds and selectors:
+                    yield selectors, ";".join([*declarations, before])
+        begin = mark.end()
+    holds, selectors, declarations = stack[-1]
+    if holds and selectors:  # the sheet ends in it
+        yield selectors, ";".join([*declarations, sheet[begin:]])
+
+
 class Styles:
     """Rules of a page's style sheets that hide or show; those with other selectors than simple ones are left out."""
 
@@ -278,7 +357,7 @@ class Styles:
         for sheet in sheets:
             if "display" not in sheet.lower() and "visibility" not in sheet.lower():
                 continue
-            for selectors, css in _RULE.findall(_CSS_COMMENT.sub(" ", sheet)):
+            for selectors, css in _rules(_CSS_COMMENT.sub(" ", sheet)):
                 if declared := _declared(css):
                     for selector in selectors.split(","):
                         if (m := _SIMPLE.match(selector.strip())) and m[0]:
