@@ -111,6 +111,14 @@ def test_long_sheets_of_marks():
         assert visible_text(f"<style>display {mark * 200_000}</style>a") == "a"
 
 
+@pytest.mark.parametrize("depth", range(93, 107))
+@pytest.mark.parametrize("outer", ["div", "font"])
+def test_tables_at_the_greatest_depth(depth, outer):
+    table = "<table><caption>a</caption><tbody><tr><td>b<p>c<td><table><caption>d</caption>e<tr><td>f<b>g</b><table><tr><td>h</table></table><tr><th>i</table>"
+    words = visible_text(f"<{outer}>" * depth + table + "j").split()
+    assert sorted("".join(words)) == list("abcdefghij")
+
+
 def test_op6_on_pages(spark, medium):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{medium}/pages.parquet").collect()}
     found = {r.page_id: r.text for r in Q.op6_html(spark, medium).collect()}

@@ -2,7 +2,7 @@
 
 Tree: start tags close what they imply (a paragraph by a block, an item by an item, a cell by a cell, the head by what
 doesn't belong there), end tags close what is open in their scope, stray content of a table goes before the table, and
-elements nested deeper than ``MAX_DEPTH`` become siblings. Comments, declarations and raw text are read as in HTML.
+elements nested deeper than ``MAX_DEPTH`` become siblings, but not between a table and its cells. Comments, declarations and raw text are read as in HTML.
 
 Visibility: elements that browsers never show; ``hidden``; ``display: none`` and ``visibility`` in style attributes and
 in style sheets of the page (rules on a tag, a class, an id, or a tag with one of these, and of at-rules those of layers
@@ -109,6 +109,8 @@ class TreeBuilder:
 
     def _add(self, child: Node | str) -> None:
         top = min(len(self.open), MAX_DEPTH) - 1
+        while top < len(self.open) - 1 and self.open[top][0].tag in _TABLE_PARTS:  # these show but parts of tables
+            top += 1
         node = self.open[-1][0] if isinstance(child, str) else self.open[top][0]
         if node.tag in _TABLE_PARTS and not (child.isspace() if isinstance(child, str) else child.tag in _IN_TABLE):
             table = self.open[-1][1][_AT["table"]]
