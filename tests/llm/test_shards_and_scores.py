@@ -96,6 +96,14 @@ def test_shards_of_odd_rows(spark, parcels):
     check_shards(shard_documents(docs_of(spark, rows), None, 9000, parcels=parcels).collect(), rows, capacity=9000)
 
 
+def test_more_shards_than_parcels(spark):
+    rows = [(k, f"text {k} " * (1 + k % 7)) for k in range(6000)]
+    total = sum(len(t) + 1 for _, t in rows)
+    found = shard_documents(docs_of(spark, rows), None, 2000, parcels=64).collect()
+    check_shards(found, rows, capacity=2000)
+    assert len({r.shard for r in found}) <= 1.02 * total / 2000 + 1
+
+
 def test_shards_of_nothing(spark):
     assert shard_documents(docs_of(spark, []), 8).collect() == []
     assert shard_documents(docs_of(spark, []), None, 10).collect() == []

@@ -4,10 +4,11 @@ A group is all rows of one text (null counts as the empty text); it goes to one
 bytes of its text plus 1. Groups, largest first, enter the shard with the least remaining capacity that still holds
 them, found in a balanced tree of remaining capacities; ties go to the smaller shard number.
 
-Packing is done on a bounded number of items whatever the corpus: every group that is large beside a shard is an item of
+Packing is done on a number of items bounded by that of shards: every group that is large beside a shard is an item of
 its own, and the others are dealt by a hash of their text into parcels, which are items whole. ``parcels`` sets both
 bounds: large is more than 1/``parcels`` of all bytes, so there are fewer than ``parcels`` large groups. Parcels differ in
-size, from an average share down to 1/64 of one, so that the small ones level the shards at the end.
+size, from three average shares down to 1/64 of that, so that the small ones level the shards at the end. With
+``capacity`` there are ``PER_SHARD`` of them at least for each shard that is filled, so the largest is 1/32 of a shard.
 
 With ``capacity`` as many shards are opened as are needed, none over its capacity unless a single item is; with
 ``shards`` their number is fixed, capacity is an equal share, and what fits nowhere goes where most room is left.
@@ -23,6 +24,8 @@ from pyspark.sql.window import Window
 
 #: Items of the packing, about: at most so many large groups, and so many parcels.
 PARCELS = 16_384
+#: Parcels for each shard of fixed capacity, at least.
+PER_SHARD = 96
 #: Parcels of each relative weight.
 _WEIGHTS = ((64, 1), (16, 1), (4, 1), (1, 1))
 
@@ -122,6 +125,8 @@ def shard_documents(docs: DataFrame, shards: int | None = 8, capacity: int | Non
     rows = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("text_key"))
     groups = rows.groupBy("text_key").agg(F.sum("size").alias("size"))
     total = int(rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    if capacity is not None:
+        parcels = max(parcels, PER_SHARD * -(-total // capacity))
     large = groups.where(F.col("size") > total // parcels).orderBy(F.desc("size"), "text_key").collect()  # fewer than parcels
     ends = _parcel_bounds(parcels)
     spark = docs.sparkSession
