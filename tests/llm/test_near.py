@@ -269,6 +269,29 @@ def test_planted_pairs_meet_whatever_all_vectors_share(spark, shared):
     assert sum(found.values()) >= 0.99 * sum(n for n, _ in expected.values()) >= 2900
 
 
+def test_vectors_of_several_dimensions(spark):
+    rng, rows = np.random.default_rng(7), []
+    for dim, first, n in ((16, 0, 60), (8, 1000, 40), (1, 2000, 3), (5, 3000, 1)):
+        x = rng.normal(size=(n, dim))
+        rows += [(first + k, x[k // 2 * 2].tolist()) for k in range(n)]
+    rows += [(4000, rows[0][1]), (4000, rows[60][1])]  # links groups of two dimensions
+    table = spark.createDataFrame([(i, v, 1, "", "") for i, v in rows], VECTORS)
+    unit = [(i, np.array(v, dtype=np.float32).astype(float) / np.linalg.norm(np.array(v, dtype=np.float32).astype(float))) for i, v in rows]
+    cosines = {(a, b): u @ v for p, (a, u) in enumerate(unit) for q, (b, v) in enumerate(unit) if p != q and a != b and len(u) == len(v)}
+    links = [pair for pair, cosine in cosines.items() if cosine >= 0.95]
+    n, label = Counter(a for a, _ in links), labels_of({i for i, _ in rows}, links)
+    found = embedding_dedup.near_duplicates(table).collect()
+    assert sorted({(r.vec_id, r.n_links, r.component_id) for r in found}) == sorted((i, n[i], c) for i, c in label.items())
+    assert len(found) == len(rows) and n[4000] == 4 and label[1000] == 0
+    near = nearest(table, "vec_id % 50 = 0 AND vec_id < 4000").collect()
+    got = {}
+    for r in near:
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert {q: len(x) for q, x in got.items()} == {0: 5, 50: 5, 1000: 5, 2000: 2}
+    assert all(abs(min(x)[2] - 1) < 1e-12 for x in got.values() if len(x) == 5)
+    assert all(abs(score - cosines[q, v]) < 1e-12 for q, x in got.items() for _, v, score in x if v != 4000)
+
+
 def test_rotation_balances_bits():
     x = np.random.default_rng(1).normal(size=(2000, 32)) * np.linspace(1, 4, 32)
     codec = itq.learn(x, 2)

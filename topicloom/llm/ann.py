@@ -11,7 +11,8 @@ cases. (In the whole table neighbours are nearer than in a sample.) A query set
 leaves a block is k rows a query.
 
 Queries and candidates that take no part (see ``itq``) give and get nothing; rows with a null id take none. Several rows
-of one id are candidates of their own, but never of a query of the same id. An empty table gives no rows.
+of one id are candidates of their own, but never of a query of the same id. Vectors of one dimension are searched among
+themselves. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .itq import BITS, Codec, learn, matrix, sampled, unit, vectors
+from .itq import BITS, Codec, by_dimension, learn, matrix, sampled, unit, vectors
 from .scratch import Scratch
 
 #: Rows of a block of the index, and of queries, about.
@@ -130,20 +131,25 @@ def nearest(table: DataFrame, is_query, k: int = 5, miss: float = 0.03) -> DataF
     """(query_id, rank, vec_id, score) of the k nearest found for each row of table (vec_id, embedding) that is_query,
     a condition on vec_id, picks, among all rows but its own; nearest first, ties to the smaller vec_id."""
     scratch = Scratch(table.sparkSession, "ann")
-    rows, dim = vectors(table)
-    rows = scratch.stage(rows, "vectors", "none")
+    sound = scratch.stage(vectors(table), "vectors", "none")
+    found = table.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    for n, (dim, rows) in enumerate(by_dimension(sound)):
+        each = _met(rows, dim, is_query, k, miss, scratch)
+        found = found.union(each) if n else each
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _met(rows: DataFrame, dim: int, is_query, k: int, miss: float, scratch: Scratch) -> DataFrame:
+    """(query_id, vec_id, score) of k rows of each block for each query, among vectors of one dimension."""
     sample = sampled(rows, dim)
-    if len(sample) < 2:
-        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     codec = learn(sample)
     radius = learned_radius(sample, codec, k, miss)
     queries = rows.where(is_query)
-    index = scratch.stage(build_index(rows, codec, dim, BLOCK, rows.count()), "index", "none")
-    asked = scratch.stage(build_index(queries, codec, dim, QUERY_BLOCK, queries.count()), "queries", "none")
+    index = scratch.stage(build_index(rows, codec, dim, BLOCK, rows.count()), f"index-{dim}", "none")
+    asked = scratch.stage(build_index(queries, codec, dim, QUERY_BLOCK, queries.count()), f"queries-{dim}", "none")
     blocks = asked.select(F.col("block").alias("q_block"))
     met = index.select(F.lit(1).alias("one"), "*").join(blocks.withColumn("one", F.lit(1)), "one")  # blocks, not rows
     met = met.join(asked.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"), F.col("vectors").alias("q_vectors")), "q_block")
     met = met.repartition(F.col("q_block"), F.col("block"))
-    found = met.mapInArrow(_searched(dim, k, radius), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return met.mapInArrow(_searched(dim, k, radius), "query_id long, vec_id long, score double")

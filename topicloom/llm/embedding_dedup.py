@@ -14,6 +14,9 @@ block is one count for each class and links along the block's components. So no
 holds a key or a group whole. The links counted are exact within groups; counting them takes all pairs of a group's
 classes, which is what a number of links for every vector is.
 
+Vectors of each dimension are compared among themselves; links of all dimensions make the components. A vec_id with
+vectors of several dimensions has the sum of their links, so one that it is linked with in two counts twice.
+
 Vectors that take no part (see ``itq``) have no links and are components of their own. Rows without a vec_id have
 no links, no component, and are kept. Rows of one vec_id are one node: its links are those of all its vectors, except
 with each other. An empty table gives no rows.
@@ -21,6 +24,8 @@ with each other. An empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .itq import learn, matrix, sampled, unit, vectors
+from .itq import by_dimension, learn, matrix, sampled, unit, vectors
 from .runs import runs
 from .scratch import Scratch
 
@@ -183,14 +188,30 @@ def _counted(threshold: float, dim: int):
 def near_duplicates(table: DataFrame, threshold: float = 0.95, radius: int = RADIUS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of table (vec_id, embedding): vectors linked directly by a cosine
     of at least threshold, the least vec_id reachable by links, and whether that is the row's own."""
-    spark = table.sparkSession
-    scratch = Scratch(spark, "vectors")
-    sound, dim = vectors(table)
-    sound = scratch.stage(sound, "sound", "none")
-    sample = sampled(sound, dim)
+    scratch = Scratch(table.sparkSession, "vectors")
+    sound = scratch.stage(vectors(table), "sound", "none")
     ids = table.select(F.col("vec_id").cast("long").alias("vec_id"))
-    if len(sample) < 2:
+    parts = [_linked(rows, dim, threshold, radius, Scratch(table.sparkSession, f"vectors-{dim}")) for dim, rows in by_dimension(sound)]
+    if not parts:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    rows, links = (reduce(DataFrame.union, part) for part in zip(*parts))
+    if len(parts) > 1:  # vec_ids of several dimensions link what their vectors stand for
+        rows = scratch.stage(rows, "rows")
+        several = rows.groupBy("vec_id").agg(F.count_distinct("dim").alias("dims")).where("dims > 1").select("vec_id")
+        links = links.union(rows.join(several, "vec_id").select(F.col("vec_id").alias("a"), F.col("node").alias("b")))
+    found = scratch.stage(components(links, scratch, "links"), "components")
+    of = rows.join(found, "node", "left").groupBy("vec_id", "dim").agg(F.max("links").alias("links"), F.min(F.coalesce("component", "node")).alias("component"))
+    if len(parts) > 1:
+        of = of.groupBy("vec_id").agg(F.sum("links").alias("links"), F.min("component").alias("component"))
+    out = ids.join(of.select("vec_id", "links", "component"), "vec_id", "left")
+    component = F.coalesce("component", "vec_id")
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+def _linked(sound: DataFrame, dim: int, threshold: float, radius: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of vectors of one dimension: (vec_id, dim, links, node) of each, node being the class it is of; and links (a, b)
+    that make their components."""
+    sample = sampled(sound, dim)
     codec = learn(sample, ROTATIONS, centred=False)
     coded = scratch.stage(sound.mapInArrow(_coded(codec, dim), "vec_id long, same binary, c0 long, c1 long, vector binary"), "coded", "none")
     classes = coded.groupBy("same").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("copies"), *[F.first(c).alias(c) for c in ("c0", "c1", "vector")])
@@ -211,11 +232,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, radius: int = RAD
     groups = components(edges, scratch, "groups").select(F.col("component").alias("grp"), "node")
     groups = scratch.stage(groups.join(classes.select("node", "copies", "vector"), "node").select("grp", "node", "copies", "vector"), "grouped", "none")
     counts = scratch.stage(_blocks(groups, groups, "grp", ["copies", "vector"]).mapInArrow(_counted(threshold, dim), "node long, links long, b long"), "counts")
-    found = scratch.stage(components(counts.where("b IS NOT NULL").select(F.col("node").alias("a"), "b"), scratch, "links"), "components")
     links = counts.where("b IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
-
-    named = classes.join(links, "node", "left").join(found, "node", "left").select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
-    of = coded.select("vec_id", "same").join(named, "same").groupBy("vec_id").agg(F.max("links").alias("links"), F.min("component").alias("component"))
-    out = ids.join(of, "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    named = classes.join(links, "node", "left").select("same", "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    rows = coded.select("vec_id", "same").join(named, "same").select("vec_id", F.lit(dim).alias("dim"), "links", "node")
+    return rows, counts.where("b IS NOT NULL").select(F.col("node").alias("a"), "b")

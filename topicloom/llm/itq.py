@@ -1,7 +1,7 @@
 """Binary codes by iterative quantisation: a rotation, learned on a sample, after which signs are balanced.
 
-Vectors that are null, empty, zero or have null or non-finite components have no code; neither have those whose
-dimension isn't the most frequent one of the table (ties: the smaller dimension).
+Vectors that are null, empty, zero or have null or non-finite components have no code. The others have one of their
+dimension's: each dimension of a table has a codec of its own.
 """
 
 from __future__ import annotations
@@ -67,13 +67,16 @@ def _sound(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["vec_id", "dim", "vector"])
 
 
-def vectors(table: DataFrame) -> tuple[DataFrame, int]:
-    """(vec_id, vector) with the components as doubles, for the vectors that take part; and their dimension (0: none)."""
+def vectors(table: DataFrame) -> DataFrame:
+    """(vec_id, dim, vector) with the components as doubles, for the vectors that take part."""
     sound = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL")
-    sound = sound.mapInArrow(_sound, "vec_id long, dim int, vector binary").where("dim IS NOT NULL")
-    most = sound.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    dim = most[0]["dim"] if most else 0
-    return sound.where(F.col("dim") == dim).select("vec_id", "vector"), dim
+    return sound.mapInArrow(_sound, "vec_id long, dim int, vector binary").where("dim IS NOT NULL")
+
+
+def by_dimension(sound: DataFrame) -> list[tuple[int, DataFrame]]:
+    """The rows (vec_id, vector) of each dimension of which there are two at least."""
+    found = sound.groupBy("dim").count().where("count > 1").orderBy("dim").collect()
+    return [(r["dim"], sound.where(F.col("dim") == r["dim"]).select("vec_id", "vector")) for r in found]
 
 
 def matrix(column, dim: int) -> np.ndarray:
