@@ -73,32 +73,24 @@ def _tokenize(path: str, end_id: int):
 
     def run(batches):
         enc, zstd = encoder(path), zstandard.ZstdCompressor(level=1)
-        end = np.asarray(end_id, dtype=enc.dtype).tobytes()
         counts = np.zeros(enc.size, dtype=np.int64)
-        waiting, size = [], 0
-
-        def count():
-            nonlocal waiting, size
-            counts[:] += np.bincount(np.frombuffer(b"".join(waiting), dtype=enc.dtype), minlength=enc.size)
-            waiting, size = [], 0
 
         def rows(ids, n, tie, packed, counts):
-            return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(tie, pa.int64()), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "n_tokens", "tie", "packed", "counts"])
+            return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(tie, pa.int64()), packed, pa.array(counts, pa.binary())], names=["doc_id", "n_tokens", "tie", "packed", "counts"])
 
         for batch in batches:
-            n, tie, packed = [], [], []
-            for tokens in enc.encode(batch.column(1).to_pylist()):
-                raw = tokens.tobytes() + end
-                n.append(len(tokens) + 1)
-                tie.append(zlib.crc32(raw))
-                packed.append(zstd.compress(raw))
-                waiting.append(raw)
-                size += len(tokens)
-                if size > _COUNTED_AT_ONCE:
-                    count()
-            yield rows(batch.column(0), n, tie, packed, [None] * len(n))
-        count()
-        yield rows(pa.nulls(1), [None], [None], [None], [counts.tobytes()])
+            if not batch.num_rows:
+                continue
+            tokens, stops = enc.encoded(batch.column(1), end_id)
+            for at in range(0, len(tokens), _COUNTED_AT_ONCE):
+                counts += np.bincount(tokens[at : at + _COUNTED_AT_ONCE], minlength=enc.size)
+            n = np.diff(stops, prepend=0)
+            places = np.concatenate([[0], stops]) * enc.dtype.itemsize
+            raw = memoryview(tokens).cast("B")
+            each = [raw[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
+            packed = pa.array([zstd.compress(x) for x in each], pa.binary())
+            yield rows(batch.column(0), n, [zlib.crc32(x) for x in each], packed, pa.nulls(len(n), pa.binary()))
+        yield rows(pa.nulls(1), [None], [None], pa.nulls(1, pa.binary()), [counts.tobytes()])
 
     return run
 
@@ -111,17 +103,17 @@ def _counted(batches):
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found], pa.int64())], names=["token_id", "n"])
 
 
-def _range_of(bounds: list[int]):
+def _part(bounds: list[int]):
+    """The part file of a doc_id; nulls are in the first."""
     edges = np.asarray(bounds, dtype=np.int64)
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0)
-            part = np.searchsorted(edges, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
-            part[np.asarray(ids.is_null())] = 0
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *batch.columns], names=["part", *batch.schema.names])
+    @F.arrow_udf("int")
+    def part(ids: pa.Array) -> pa.Array:
+        found = np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+        found[np.asarray(ids.is_null())] = 0
+        return pa.array(found, pa.int32())
 
-    return run
+    return part(F.col("doc_id"))
 
 
 _BLOCKS = "start long, doc_ids array<long>, lengths array<long>, control binary, data binary"
@@ -135,13 +127,13 @@ def _blocks(path: str, rank_of: bytes, starts: dict[int, int], per_block: int):
         ranks = np.frombuffer(rank_of, dtype="<u4")
         part = None
         ids: list = []
-        held: list[np.ndarray] = []
+        held: list[bytes] = []
         at = start = size = 0
 
         def block():
-            control, data = encode_ranks(ranks[np.concatenate(held)])
+            control, data = encode_ranks(ranks[np.frombuffer(b"".join(held), dtype=enc.dtype)])
             return pa.RecordBatch.from_arrays(
-                [pa.array([start], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in held]], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
+                [pa.array([start], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) // enc.dtype.itemsize for x in held]], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
                 names=["start", "doc_ids", "lengths", "control", "data"],
             )
 
@@ -154,11 +146,12 @@ def _blocks(path: str, rank_of: bytes, starts: dict[int, int], per_block: int):
                     part, at = p, starts[p]
                 if not held:
                     start = at
-                tokens = np.frombuffer(unpack.decompress(packed), dtype=enc.dtype)
                 ids.append(doc_id)
+                tokens = unpack.decompress(packed)
                 held.append(tokens)
-                size += len(tokens)
-                at += len(tokens)
+                n = len(tokens) // enc.dtype.itemsize
+                size += n
+                at += n
                 if size >= per_block:
                     yield block()
                     ids, held, size = [], [], 0
@@ -190,8 +183,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     if files > 1:
         probs = [k / files for k in range(1, files)]
         bounds = sorted({int(x) for x in staged.approxQuantile("doc_id", probs, 0.1 / files)})
-    dealt = staged.mapInArrow(_range_of(bounds), f"part int, {_STAGED}")
-    sizes = {r.part: r.n for r in staged.select("doc_id", "n_tokens").mapInArrow(_range_of(bounds), "part int, doc_id long, n_tokens long").groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
+    dealt = staged.withColumn("part", _part(bounds))
+    sizes = {r.part: r.n for r in staged.select("n_tokens", _part(bounds).alias("part")).groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
     starts, at = {}, 0
     for part in range(len(bounds) + 1):
         starts[part] = at
