@@ -28,9 +28,9 @@ CASES = {
     "margins are shared": ("<div><ul><li>a</ul></div><div>b</div>", "- a\n\nb"),
     "head and scripts": ("<title>t</title><script>var a='</p>';</script><style>p{}</style>x<noframes>n</noframes>", "x"),
     "head ends with what isn't its own": ("<head><title>t</title><p>x", "x"),
-    "hidden": ("a<div hidden>b</div><p style='DISPLAY : none !important'>c</p><input type=hidden value=d><template>e</template>f", "a\nf"),
+    "hidden": ("a<div hidden>b</div><p style='DISPLAY : none !important'>c</p><input type=hidden value=d><template>e</template>f", "af"),
     "visibility is inherited and can be set back": ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c</div>", "b"),
-    "style sheets": ("<style>/* .k{display:none} */ .x, p.y{display:none} #z{visibility:hidden}</style><p class='k y'>a<div class=y>b</div><i class=x>c</i><u id=z>d</u><s class=k>e</s>", "b\n\ne"),
+    "style sheets": ("<style>/* .k{display:none} */ .x, p.y{display:none} #z{visibility:hidden}</style><p class='k y'>a<div class=y>b</div><i class=x>c</i><u id=z>d</u><s class=k>e</s>", "b\ne"),
     "closed and open": ("<details><summary>s</summary>x</details><details open><summary>t</summary>y</details><dialog>z</dialog>", "s\nt\ny"),
     "entities": ("&lt;b&gt; &amp;amp; &eacute;&#33;&nosuch;", "<b> &amp; é!&nosuch;"),
     "no tags": ("a < b <3 <> </> c", "a < b <3 <> c"),
@@ -38,7 +38,7 @@ CASES = {
     "an unclosed comment": ("a<!-- b", "a"),
     "a tag that never ends": ("a<b c='", "a"),
     "form controls": ("<select><option>a<option>b</select><button>c</button><textarea> d\n e</textarea><input value=f>", "a\nb\nc\n d\n e\nf"),
-    "end tags of what isn't open": ("</div>a</p>b</br>c</td>", "a\n\nb\n\nc"),
+    "end tags of what isn't open": ("</div>a</p>b</br>c</td>", "a\n\nb\nc"),
     "quotes in attributes": ("<a title='>' data-x=\"</a>\" href=x>y</a>", "y"),
     "raw text of any case": ("<SCRIPT>a</ScRiPt >b", "b"),
     "headings end each other": ("<h1>a<h2>b</h1>c", "a\n\nb\n\nc"),
