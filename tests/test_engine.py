@@ -1,5 +1,11 @@
 """The engine's queries against SQL, and its operators on the edge cases of their inputs."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pytest
@@ -153,3 +159,18 @@ def test_queries_that_sql_cannot_state(spark, small):
     for name in set(registry.queries()) - set(registry.oracle_sql()):
         assert registry.queries()[name](spark, small).count() > 0
     assert registry.flagship(spark, small).columns == ["cluster", "rank", "token", "score"]
+
+
+@pytest.mark.parametrize("gone", [("topicloom/llm", "tests/llm", "corpus_pipeline.py"), ("topicloom/llm", "tests/llm"), ("topicloom/llm/minhash.py",)])
+def test_entry_without_the_corpus_operators(tmp_path, gone):
+    root = Path(__file__).parent.parent
+    for name in ("topicloom", "__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            (shutil.copytree if (root / name).is_dir() else shutil.copy)(root / name, tmp_path / name)
+    for name in gone:
+        if (tmp_path / name).exists():
+            (shutil.rmtree if (tmp_path / name).is_dir() else os.remove)(tmp_path / name)
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert 'pipeline' not in q and set(s) <= set(q); print(len(q))"
+    run = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert run.returncode == 0, run.stderr
+    assert int(run.stdout.split()[-1]) == len(registry.queries())
