@@ -5,12 +5,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
-from topicloom.llm import embedding_dedup, itq, minhash
+from topicloom.llm import ann, embedding_dedup, itq, minhash
 from topicloom.llm import queries as Q
-from topicloom.llm.ann import MultiIndex, nearest
+from topicloom.llm.ann import nearest
 from topicloom.llm.components import components
 from topicloom.llm.scratch import Scratch
 
@@ -181,14 +182,51 @@ def recall_of(found, rows, k=5):
     return hit / max(1, sum(map(len, expected.values())))
 
 
-def test_multi_index_finds_all_codes_within_a_radius():
+@pytest.mark.parametrize("prefix, reach, radius", [(0, 1, 256), (3, 2, 256), (5, 3, 100), (2, 0, 256), (4, 16, 90)])
+def test_probing_retrieves_all_codes_within_reach_of_a_table(prefix, reach, radius):
     rng = np.random.default_rng(2)
-    codes = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
-    codes[:500] = codes[0] ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))
-    index = MultiIndex(codes)
-    for radius in (0, 1, 2, 3, 5, 9, 14, 22, 64):
-        for q in codes[[0, 3, 700]]:
-            assert index.within(q, radius).tolist() == np.flatnonzero(np.bitwise_count(codes ^ q) <= radius).tolist()
+    x = rng.normal(size=(900, 24))
+    x[:300] = x[0] + 0.2 * rng.normal(size=(300, 24))
+    tables = ann.Tables(itq.learn(x, 12, 3), 6, reach, radius)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(900)), pa.array([v.tobytes() for v in x], pa.binary())], names=["node", "vector"])
+
+    def items(spread, chosen):
+        return [(r["key"], r["data"]) for part in ann._grouped(tables, 24, prefix, spread)([batch.take(pa.array(chosen))]) for r in part.to_pylist()]
+
+    queries = [0, 3, 5, 700, 899]
+    rows = sorted([(key, 0, data) for key, data in items(True, queries)] + [(key, 1, data) for key, data in items(False, list(range(900)))])
+    zeros = pa.array(np.zeros(len(rows), dtype=np.int32))
+    block = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), zeros, zeros, pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], names=["key", "i", "j", "side", "data"])
+    found = {(r["asked"], r["node"]) for part in ann._probed(tables, prefix)([block]) for r in part.to_pylist()}
+    subs, codes = tables.cut(itq.unit(x))
+    near = lambda a, b: np.bitwise_count(a ^ b)
+    expected = {(q, k) for q in queries for k in range(900) if near(subs[q], subs[k]).min() <= reach and near(codes[q], codes[k]).sum() <= radius}
+    assert found == expected
+    within = (6 * (reach + 1) - 1) if radius == 256 else -1  # the pigeonhole principle
+    assert {(q, k) for q in queries for k in range(900) if near(subs[q], subs[k]).sum() <= within} <= found
+
+
+@pytest.mark.parametrize("codes", [700, 131_072])
+def test_nearest_over_several_blocks(spark, tmp_path, monkeypatch, codes):
+    monkeypatch.setattr(ann, "CODES", codes)
+    monkeypatch.setattr(ann, "QUERIES", 16)
+    monkeypatch.setattr(ann, "BLOCK", 1000)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 32))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert recall_of(nearest(table, "vec_id % 50 = 0").collect(), table.collect()) >= 0.9
+
+
+def test_copies_and_several_vectors_of_an_id(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 8)).tolist()
+    rows = [(k, x[0] if k % 3 == 0 else x[k]) for k in range(400)] + [(50, x[1]), (50, x[1]), (7, x[0]), (7, x[2]), (100, x[0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {q: [] for q in range(0, 400, 50)}
+    for r in sorted(nearest(table, table.vec_id % 50 == 0).collect(), key=lambda r: (r.query_id, r["rank"])):
+        found[r.query_id].append(r.vec_id)
+    assert all(len(ids) == 5 and q not in ids for q, ids in found.items())
+    assert found[0] == [3, 6, 7, 9, 12] and found[150] == [0, 3, 6, 7, 9] and found[50][0] == 1
 
 
 def test_nearest_of_all(spark, tmp_path):

@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors that a rotation is learned on, about, whatever the table's size; rows are chosen by a hash of their id.
+#: Vectors that a rotation is learned on, about, whatever the table's size; rows are chosen by a hash of their id
+#: and place, so that a third of all rows under one id are thinned out too.
 SAMPLE = 10_000
 BITS = 64
 
@@ -58,25 +59,28 @@ def learn(sample: np.ndarray, rotations: int = 1, rounds: int = 30, centred: boo
 
 def _sound(batches):
     for batch in batches:
-        ids, out, dims = batch.column(0), [], []
-        for x in batch.column(1).to_pylist():
+        out, dims = [], []
+        for x in batch.column("embedding").to_pylist():
             v = np.array([np.nan if y is None else y for y in x or []], dtype="<f8")
             fine = len(v) > 0 and bool(np.isfinite(v).all()) and bool(v.any())
             out.append(v.tobytes() if fine else None)
             dims.append(len(v) if fine else None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["vec_id", "dim", "vector"])
+        kept = [n for n in batch.schema.names if n != "embedding"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=[*kept, "dim", "vector"])
 
 
-def vectors(table: DataFrame) -> DataFrame:
-    """(vec_id, dim, vector) with the components as doubles, for the vectors that take part."""
-    sound = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL")
-    return sound.mapInArrow(_sound, "vec_id long, dim int, vector binary").where("dim IS NOT NULL")
+def vectors(table: DataFrame, *marks) -> DataFrame:
+    """(vec_id, marks, dim, vector) with the components as doubles, for the vectors that take part; marks are boolean
+    columns of table."""
+    sound = table.select(F.col("vec_id").cast("long").alias("vec_id"), *marks, F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL")
+    shape = ", ".join(f"{n} boolean" for n in sound.columns[1:-1])
+    return sound.mapInArrow(_sound, f"vec_id long, {shape + ', ' if shape else ''}dim int, vector binary").where("dim IS NOT NULL")
 
 
 def by_dimension(sound: DataFrame) -> list[tuple[int, DataFrame]]:
-    """The rows (vec_id, vector) of each dimension of which there are two at least."""
+    """The rows (vec_id, marks, vector) of each dimension of which there are two at least."""
     found = sound.groupBy("dim").count().where("count > 1").orderBy("dim").collect()
-    return [(r["dim"], sound.where(F.col("dim") == r["dim"]).select("vec_id", "vector")) for r in found]
+    return [(r["dim"], sound.where(F.col("dim") == r["dim"]).drop("dim")) for r in found]
 
 
 def matrix(column, dim: int) -> np.ndarray:
@@ -87,6 +91,6 @@ def sampled(rows: DataFrame, dim: int, sample: int = SAMPLE) -> np.ndarray:
     """About ``sample`` of the vectors, or all if there are fewer."""
     n = rows.count()
     if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
+        rows = rows.where(F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id(), F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
     found = rows.select("vec_id", "vector").orderBy("vec_id").collect()
     return np.frombuffer(b"".join(bytes(r.vector) for r in found), dtype="<f8").reshape(-1, dim) if found else np.zeros((0, max(dim, 1)))
