@@ -1,9 +1,10 @@
 """Sharding, toxicity scores, and the pipeline as a whole."""
 
+import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from topicloom.llm import queries as Q
-from topicloom.llm import toxicity
+from topicloom.llm import sharding, toxicity
 from topicloom.llm.sharding import CapacityTree, best_fit_decreasing, shard_documents
 
 from .common import docs_of, odd_rows
@@ -62,10 +63,16 @@ def place_one_by_one(sizes, capacity, shards=None):
 
 def test_best_fit_decreasing_against_a_list():
     rng = random.Random(2)
-    for _ in range(60):
-        sizes = [rng.randint(1, rng.choice([10, 100, 150])) for _ in range(rng.randint(0, 80))]
+    for _ in range(100):
+        sizes = sorted((rng.randint(1, rng.choice([5, 10, 100, 150])) for _ in range(rng.randint(0, 80))), reverse=True)
         shards = rng.choice([None, 1, 4, 8])
-        assert best_fit_decreasing(sizes, 100, shards) == place_one_by_one(sizes, 100, shards)
+        counts = Counter(sizes)
+        place = []
+        runs = best_fit_decreasing(list(counts), list(counts.values()), 100, shards)
+        for k, (size, first, shard) in enumerate(runs):
+            until = runs[k + 1][1] if k + 1 < len(runs) and runs[k + 1][0] == size else counts[size]
+            place += [shard] * (until - first)
+        assert place == place_one_by_one(sizes, 100, shards)
 
 
 def check_shards(found, rows, shards=None, capacity=None):
@@ -89,17 +96,34 @@ def check_shards(found, rows, shards=None, capacity=None):
         assert max(filled.values()) <= max(1.01 * total / shards + 100, max(largest.values()))
 
 
-@pytest.mark.parametrize("parcels", [16_384, 64])
-def test_shards_of_odd_rows(spark, parcels):
-    rows = odd_rows(long_words=500)
-    check_shards(shard_documents(docs_of(spark, rows), 4, parcels=parcels).collect(), rows, 4)
-    check_shards(shard_documents(docs_of(spark, rows), None, 9000, parcels=parcels).collect(), rows, capacity=9000)
+def expected_shards(rows, capacity, shards=None):
+    """The shard of each text, placed group by group."""
+    groups = defaultdict(int)
+    for _, t in rows:
+        groups[(t or "").encode()] += len((t or "").encode()) + 1
+    order = sorted(groups, key=lambda t: (-groups[t], hashlib.md5(t).digest()))
+    return dict(zip(order, place_one_by_one([groups[t] for t in order], capacity, shards)))
 
 
-def test_more_shards_than_parcels(spark):
+@pytest.mark.parametrize("frequent", [4096, 3])
+def test_shards_of_odd_rows(spark, monkeypatch, frequent):
+    monkeypatch.setattr(sharding, "FREQUENT", frequent)
+    rows = odd_rows(long_words=500)
+    total = sum(len((t or "").encode()) + 1 for _, t in rows)
+    for shards, capacity in ((4, None), (None, 9000)):
+        found = shard_documents(docs_of(spark, rows), shards, capacity).collect()
+        check_shards(found, rows, shards, capacity)
+        shard = expected_shards(rows, capacity or -(-total // shards), shards)
+        of = {(len(t) + 1, zlib.crc32(t)): s for t, s in shard.items()}
+        assert all(r.shard == of[r.size, r.text_crc32] for r in found)
+        each = sorted((r.shard, r.slot, r.doc_id is not None, r.doc_id or 0, r.text_crc32) for r in found)
+        assert each == sorted(each, key=lambda x: (x[0], x[2:]))  # slots go by doc_id
+
+
+def test_many_shards(spark):
     rows = [(k, f"text {k} " * (1 + k % 7)) for k in range(6000)]
     total = sum(len(t) + 1 for _, t in rows)
-    found = shard_documents(docs_of(spark, rows), None, 2000, parcels=64).collect()
+    found = shard_documents(docs_of(spark, rows), None, 2000).collect()
     check_shards(found, rows, capacity=2000)
     assert len({r.shard for r in found}) <= 1.02 * total / 2000 + 1
 

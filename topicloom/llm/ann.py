@@ -37,7 +37,7 @@ from .runs import runs
 from .scratch import Scratch
 
 #: Bits of a substring; tables at most; bits of a code that the radius is measured on, at most.
-WIDTH, TABLES, FILTERED = 16, 128, 256
+WIDTH, TABLES, FILTERED = 16, 160, 256
 #: Vectors whose true neighbours are computed, about; and vectors that rotations are learned on.
 CALIBRATED, LEARNED = 256, 4_000
 #: Codes, and queries, that are met at once, about; and rows of a block where queries are compared with all.
@@ -286,7 +286,7 @@ def _classed(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(same, pa.binary())], names=[*batch.schema.names, "same"])
 
 
-def nearest(table: DataFrame, is_query, k: int = 5, miss: float = 0.06) -> DataFrame:
+def nearest(table: DataFrame, is_query, k: int = 5, miss: float = 0.05) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for each row of table (vec_id, embedding) that is_query,
     a condition on vec_id, picks, among all rows but its own; nearest first, ties to the smaller vec_id."""
     scratch = Scratch(table.sparkSession, "ann")

@@ -2,15 +2,16 @@
 
 A group is all rows of one text (null counts as the empty text); it goes to one shard whole. A row's size is the UTF-8
 bytes of its text plus 1. Groups, largest first, enter the shard with the least remaining capacity that still holds
-them, found in a balanced tree of remaining capacities; ties go to the smaller shard number.
+them, found in a balanced tree of remaining capacities; ties go to the smaller shard number, groups of one size go by
+the MD5 of their text.
 
-Packing is done on a number of items bounded by that of shards: every group that is large beside a shard is an item of
-its own, and the others are dealt by a hash of their text into parcels, which are items whole. ``parcels`` sets both
-bounds: large is more than 1/``parcels`` of all bytes, so there are fewer than ``parcels`` large groups. Parcels differ in
-size, from three average shares down to 1/64 of that, so that the small ones level the shards at the end. With
-``capacity`` there are ``PER_SHARD`` of them at least for each shard that is filled, so the largest is 1/32 of a shard.
+Packing is done on how many groups there are of each size. What enters the tightest shard leaves it the tightest, so all
+groups of a size that still fit enter it in one step, and the plan is that of placing group by group. Sizes that differ
+add up to all bytes at most, so there are fewer than the square root of twice the bytes: that bounds what the driver
+holds (245,000 sizes of 30 GB, 14 million of 100 TB, in the worst case). Groups are then numbered within their size, in
+parts by their hash, and each number is looked up in the plan.
 
-With ``capacity`` as many shards are opened as are needed, none over its capacity unless a single item is; with
+With ``capacity`` as many shards are opened as are needed, none over its capacity unless a single group is; with
 ``shards`` their number is fixed, capacity is an equal share, and what fits nowhere goes where most room is left.
 
 Null and repeated doc_ids are rows like others. Other columns are not read. An empty table gives no rows.
@@ -18,16 +19,18 @@ Null and repeated doc_ids are rows like others. Other columns are not read. An e
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: Items of the packing, about: at most so many large groups, and so many parcels.
-PARCELS = 16_384
-#: Parcels for each shard of fixed capacity, at least.
-PER_SHARD = 96
-#: Parcels of each relative weight.
-_WEIGHTS = ((64, 1), (16, 1), (4, 1), (1, 1))
+from .numbering import numbered, ranges
+from .scratch import Scratch
+
+#: A text that more than one in so many rows have is placed by a broadcast: there are fewer texts of that kind.
+FREQUENT = 4096
+#: Ranges of doc_ids that a shard is numbered in.
+RANGES = 128
 
 
 class CapacityTree:
@@ -87,74 +90,72 @@ class CapacityTree:
         return self.take(self.key[t][0])
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, shards: int | None = None) -> list[int]:
-    """The shard of each item. With ``shards`` that many are there from the start and no other is opened."""
-    tree, place = CapacityTree(), [0] * len(sizes)
+def best_fit_decreasing(sizes: list[int], counts: list[int], capacity: int, shards: int | None = None) -> list[tuple[int, int, int]]:
+    """Runs (size, number of the first, shard) of ``counts`` items of each of ``sizes``, which differ. With ``shards`` that
+    many are there from the start and no other is opened."""
+    tree, runs = CapacityTree(), []
     opened = shards or 0
     for s in range(opened):
         tree.add(capacity, s)
-    for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
-        found = tree.take(sizes[k])
-        if found is None and shards:
-            found = tree.take_most()
-        if found is None:
-            found, opened = (max(capacity, sizes[k]), opened), opened + 1
-        place[k] = found[1]
-        tree.add(found[0] - sizes[k], found[1])
-    return place
-
-
-def _parcel_bounds(parcels: int) -> list[int]:
-    """Upper ends, on a scale of 2**31, of the hash ranges of the parcels; widths go by _WEIGHTS."""
-    each = [w for w, n in _WEIGHTS for _ in range(max(1, parcels * n // sum(n for _, n in _WEIGHTS)))]
-    total, at, ends = sum(each), 0, []
-    for w in each:
-        at += w
-        ends.append(at * (1 << 31) // total)
-    return ends
-
-
-def shard_documents(docs: DataFrame, shards: int | None = 8, capacity: int | None = None, parcels: int = PARCELS) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) of each row of docs (doc_id, text); slot counts from 0 in its shard.
-
-    Texts are read once, and never moved: what is shuffled are ids, sizes and 128-bit hashes of texts.
+    for size, n in sorted(zip(sizes, counts), reverse=True):
+        first = 0
+        while first < n:
+            found = tree.take(size)
+            if found:
+                times = found[0] // size
+            elif shards:
+                found, times = tree.take_most(), 1
+            else:
+                found, opened, times = (max(capacity, size), opened), opened + 1, max(1, capacity // size)
+            times = min(times, n - first)
+            runs.append((size, first, found[1]))
+            tree.add(found[0] - times * size, found[1])
+            first += times
+    return runs
+
+
+def _placed(runs: list[tuple[int, int, int]]):
+    """Of (text_key, rows, size, number): the shard of each group."""
+    size, first, shard = np.array(sorted(runs), dtype=np.int64).reshape(-1, 3).T
+    sizes = np.unique(size)
+    stride = int(first.max(initial=0)) + 1  # numbers of all sizes in one ascending line
+    line = np.searchsorted(sizes, size) * stride + first
+
+    def run(batches):
+        for batch in batches:
+            own, number = batch.column("size").to_numpy(), np.minimum(batch.column("number").to_numpy(), stride - 1)
+            at = np.searchsorted(line, np.searchsorted(sizes, own) * stride + number, side="right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), batch.column("rows"), pa.array(shard[at], pa.int32())], names=["text_key", "rows", "shard"])
+
+    return run
+
+
+def shard_documents(docs: DataFrame, shards: int | None = 8, capacity: int | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) of each row of docs (doc_id, text); slot counts from 0 in its shard, by
+    doc_id, then text_crc32.
+
+    Texts are read once: ids, sizes and 128-bit hashes of texts are written and worked on. A text that many rows have
+    isn't shuffled by its hash.
     """
     if (shards is None) == (capacity is None):
         raise ValueError("give either shards or capacity")
+    scratch = Scratch(docs.sparkSession, "shards")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("text_key"))
-    groups = rows.groupBy("text_key").agg(F.sum("size").alias("size"))
-    total = int(rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
-    if capacity is not None:
-        parcels = max(parcels, PER_SHARD * -(-total // capacity))
-    large = groups.where(F.col("size") > total // parcels).orderBy(F.desc("size"), "text_key").collect()  # fewer than parcels
-    ends = _parcel_bounds(parcels)
-    spark = docs.sparkSession
-    point = F.pmod(F.xxhash64("text_key"), F.lit(1 << 31))
-    widths = [b - a for a, b in zip([0, *ends], ends)]
-    runs, start, first = [], 0, 0  # parcels of one width follow each other: (first parcel, start, end, parcels)
-    for k in range(1, len(ends) + 1):
-        if k == len(ends) or abs(widths[k] - widths[first]) > 1:
-            runs.append((first, start, ends[k - 1], k - first))
-            start, first = ends[k - 1], k
-    parcel = F.lit(0)
-    for base, a, b, n in runs:
-        parcel = F.when((point >= a) & (point < b), base + F.floor((point - a) * n / (b - a)).cast("int")).otherwise(parcel)
-    marked = spark.createDataFrame([(r.text_key, k) for k, r in enumerate(large)], "text_key string, big int")
-    keyed = rows.join(F.broadcast(marked), "text_key", "left").withColumn("item", F.when(F.col("big").isNotNull(), F.col("big")).otherwise(len(large) + parcel))
-    small = keyed.where("big IS NULL").groupBy("item").agg(F.sum("size").alias("size")).collect()  # at most parcels
-    sizes = [(k, int(r["size"])) for k, r in enumerate(large)] + sorted((r["item"], int(r["size"])) for r in small)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("text_key"))
+    rows = scratch.stage(rows, "rows")
+    groups = scratch.stage(rows.groupBy("text_key").agg(F.count("*").alias("rows"), F.sum("size").alias("size")), "groups")
+    counts = groups.groupBy("size").agg(F.count("*").alias("n"), F.sum("rows").alias("rows")).toArrow().to_pydict()
+    total, n = sum(s * c for s, c in zip(counts["size"], counts["n"])), sum(counts["rows"])
     limit = capacity if capacity is not None else -(-total // shards)
-    place = best_fit_decreasing([s for _, s in sizes], limit, shards)
-    placed = spark.createDataFrame([(item, shard) for (item, _), shard in zip(sizes, place)], "item int, shard int")
-    return _slotted(keyed.join(F.broadcast(placed), "item").select("doc_id", "size", "text_crc32", "shard"))
-
-
-def _slotted(rows: DataFrame, groups: int = 128) -> DataFrame:
-    """Adds ``slot``, gapless from 0 in each shard; a shard is numbered in ``groups`` parts, so no task holds it whole."""
-    salted = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(3)), F.lit(groups)).cast("int"))
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = salted.groupBy("shard", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")
-    numbered = salted.withColumn("inside", F.row_number().over(inside) - 1).join(offsets, ["shard", "part"])
-    return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("inside")).cast("long").alias("slot"))
+    plan = best_fit_decreasing(counts["size"], counts["n"], limit, shards)
+    parts = groups.withColumn("part", F.substring("text_key", 1, 1))
+    placed = numbered(parts, "size", ["part"], ["text_key"], "number").select("text_key", "rows", "size", "number")
+    placed = scratch.stage(placed.mapInArrow(_placed(plan), "text_key binary, rows long, shard int"), "placed")
+    frequent = placed.where(F.col("rows") * FREQUENT > n).select("text_key", "shard")  # fewer than FREQUENT
+    marked = rows.join(F.broadcast(frequent), "text_key", "left")
+    kept = ["doc_id", "size", "text_crc32", "shard"]
+    found = marked.where("shard IS NOT NULL").select(*kept).union(marked.where("shard IS NULL").drop("shard").join(placed, "text_key").select(*kept))
+    found = scratch.stage(found, "found")
+    scratch.drop("rows", "groups", "placed")
+    found = found.withColumn("part", ranges(found, "doc_id", RANGES)).withColumn("hash", F.when(F.col("part") % 2 != 0, F.shiftright("text_crc32", 24)).otherwise(0))
+    return numbered(found, "shard", ["part", "hash"], [F.asc_nulls_first("doc_id"), "text_crc32", "size"], "slot").select(*kept, "slot")
