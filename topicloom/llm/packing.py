@@ -113,17 +113,21 @@ def _cut(path: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            rows = []
-            for doc_id, tokens in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
-                tokens = np.append(tokens, np.asarray(end_id, dtype=enc.dtype)).astype("<u4")
-                for piece, start in enumerate(range(0, len(tokens), capacity)):
-                    raw = tokens[start : start + capacity].tobytes()
-                    rows.append((doc_id, piece, start, len(raw) // 4, zlib.crc32(raw), raw if with_ids else b""))
-            columns = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            n = 6 if with_ids else 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in list(zip(columns, kinds))[:n]], names=names[:n])
+            tokens, stops = enc.encoded(batch.column(1), end_id)
+            tokens, sizes = tokens.astype("<u4"), np.diff(stops, prepend=0)
+            pieces = -(-sizes // capacity)
+            doc = np.repeat(np.arange(len(sizes)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(sizes[doc] - start, capacity)
+            at = ((stops - sizes)[doc] + start) * 4
+            raw = memoryview(tokens).cast("B")
+            parts = [raw[a:b] for a, b in zip(at.tolist(), (at + length * 4).tolist())]
+            columns = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                columns, names = [*columns, pa.array([bytes(p) for p in parts], pa.binary())], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
