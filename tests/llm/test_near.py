@@ -182,12 +182,12 @@ def recall_of(found, rows, k=5):
     return hit / max(1, sum(map(len, expected.values())))
 
 
-@pytest.mark.parametrize("prefix, reach, radius", [(0, 1, 256), (3, 2, 256), (5, 3, 100), (2, 0, 256), (4, 16, 90)])
+@pytest.mark.parametrize("prefix, reach, radius", [(0, 1, 384), (3, 2, 384), (5, 3, 100), (2, 0, 384), (4, 16, 90)])
 def test_probing_retrieves_all_codes_within_reach_of_a_table(prefix, reach, radius):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(900, 24))
     x[:300] = x[0] + 0.2 * rng.normal(size=(300, 24))
-    tables = ann.Tables(itq.learn(x, 12, 3), 6, reach, radius)
+    tables = ann.Tables(itq.learn(x, 30, 3), 6, reach, radius, 10_000)
     batch = pa.RecordBatch.from_arrays([pa.array(np.arange(900)), pa.array([v.tobytes() for v in x], pa.binary())], names=["node", "vector"])
 
     def items(spread, chosen):
@@ -202,7 +202,7 @@ def test_probing_retrieves_all_codes_within_reach_of_a_table(prefix, reach, radi
     near = lambda a, b: np.bitwise_count(a ^ b)
     expected = {(q, k) for q in queries for k in range(900) if near(subs[q], subs[k]).min() <= reach and near(codes[q], codes[k]).sum() <= radius}
     assert found == expected
-    within = (6 * (reach + 1) - 1) if radius == 256 else -1  # the pigeonhole principle
+    within = (6 * (reach + 1) - 1) if radius == 384 else -1  # the pigeonhole principle
     assert {(q, k) for q in queries for k in range(900) if near(subs[q], subs[k]).sum() <= within} <= found
 
 

@@ -3,11 +3,12 @@
 Each vector has a code of several learned rotations' signs, cut into substrings of ``WIDTH`` bits, and each substring
 has a table of buckets. The buckets within ``reach`` bits of a query's own substring are looked up in every table; by
 the pigeonhole principle that retrieves every code within a Hamming radius of tables * (reach + 1) - 1 (and many beyond
-it). Of the codes retrieved, those within ``radius`` over the first ``FILTERED`` bits are ranked by cosine in double
-precision on the original vectors.
+it). Of the codes retrieved, those within the query's radius over the first ``FILTERED`` bits are ranked by cosine in
+double precision on the original vectors. A query's radius is the least that holds ``depth`` codes, and never more than
+one fitted to the data; all codes within it are ranked, however many lie on it.
 
-Tables, reach and radius are fitted to the data: for ``CALIBRATED`` of the vectors the true neighbours among all rows
-are computed, and the least reach, then the fewest tables, are taken that retrieve all but a fraction ``miss`` of them.
+Tables, reach and the greatest radius are fitted to the data: for ``CALIBRATED`` of the vectors the true neighbours among
+all rows are computed, and the least reach, then the fewest tables, are taken that retrieve all but a fraction ``miss``.
 Queries for which fewer than k rows are found are compared with all rows, in blocks, so every query gets k neighbours if
 there are.
 
@@ -37,7 +38,9 @@ from .runs import runs
 from .scratch import Scratch
 
 #: Bits of a substring; tables at most; bits of a code that the radius is measured on, at most.
-WIDTH, TABLES, FILTERED = 16, 160, 256
+WIDTH, TABLES, FILTERED = 16, 128, 384
+#: Codes that a query's radius holds at least, if there are; those on it are all taken.
+DEPTH = 200
 #: Vectors whose true neighbours are computed, about; and vectors that rotations are learned on.
 CALIBRATED, LEARNED = 256, 4_000
 #: Codes, and queries, that are met at once, about; and rows of a block where queries are compared with all.
@@ -56,8 +59,8 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class Tables:
     """A codec, and how its codes are cut and probed."""
 
-    def __init__(self, codec: Codec, tables: int, reach: int, radius: int):
-        self.codec, self.tables, self.reach, self.radius = codec, tables, reach, radius
+    def __init__(self, codec: Codec, tables: int, reach: int, radius: int, depth: int):
+        self.codec, self.tables, self.reach, self.radius, self.depth = codec, tables, reach, radius, depth
         self.masks = masks(WIDTH, reach)
 
     def cut(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +94,7 @@ def filtered(bits: np.ndarray) -> np.ndarray:
     return np.pad(packed, ((0, 0), (0, FILTERED // 8 - packed.shape[1]))).view("<u8")
 
 
-def fitted(codec: Codec, queries: np.ndarray, found: np.ndarray, miss: float) -> Tables:
+def fitted(codec: Codec, queries: np.ndarray, found: np.ndarray, depth: int, miss: float) -> Tables:
     """The least reach, then the fewest tables, that find all but ``miss`` of the pairs of queries and neighbours."""
     own, other = signs(codec, unit(queries)), signs(codec, unit(found))
     apart = np.bitwise_count(substrings(own) ^ substrings(other))[:, :TABLES]
@@ -103,7 +106,7 @@ def fitted(codec: Codec, queries: np.ndarray, found: np.ndarray, miss: float) ->
         enough = np.flatnonzero(share >= 1 - miss)
         if len(enough):
             break
-    return Tables(codec, max(int(enough[0]) + 1, min(4, apart.shape[1])), reach, radius)
+    return Tables(codec, max(int(enough[0]) + 1, min(4, apart.shape[1])), reach, radius, depth)
 
 
 # --- probing ---------------------------------------------------------------------------------------------------------
@@ -151,7 +154,8 @@ def _counted(tables: Tables, dim: int, prefix: int, spread: bool):
 
 
 def _probed(tables: Tables, prefix: int):
-    """Pairs (asked, node) within the radius, of blocks (key, i, j): queries have side 0, codes side 1."""
+    """Pairs (asked, node, apart) within each query's radius in a block (key, i, j), which is not less than its radius in all
+    of them: queries have side 0, codes side 1."""
     at_once = max(1, 1_000_000 // len(tables.masks))
     low = WIDTH - prefix
 
@@ -162,7 +166,7 @@ def _probed(tables: Tables, prefix: int):
             queries, codes = (np.frombuffer(b"".join([x for x, s in zip(data, side.tolist()) if s == which]), dtype=_ITEM) for which in (0, 1))
             if not len(queries) or not len(codes):
                 continue
-            group = block.column("key")[0].as_py() & ((1 << prefix) - 1)
+            table, group = divmod(block.column("key")[0].as_py(), 1 << prefix)
             codes = codes[np.argsort(codes["sub"], kind="stable")]
             starts = np.searchsorted(codes["sub"], (group << low) + np.arange((1 << low) + 1))  # of each bucket
             code, node = np.ascontiguousarray(codes["code"]), np.ascontiguousarray(codes["node"])
@@ -175,11 +179,18 @@ def _probed(tables: Tables, prefix: int):
                 some = sizes > 0
                 row, bucket, sizes = row[some], bucket[some], sizes[some]
                 met, of = spans(starts[bucket], sizes), np.repeat(row, sizes)
-                near = np.zeros(len(met), dtype=np.uint16)
+                own, near = np.ascontiguousarray(part["code"]), np.zeros(len(met), dtype=np.uint16)
                 for w in range(code.shape[1]):
-                    near += np.bitwise_count(code[met, w] ^ part["code"][of, w])
-                kept = near <= tables.radius
-                yield pa.RecordBatch.from_arrays([pa.array(part["node"][of[kept]]), pa.array(node[met[kept]])], names=["asked", "node"])
+                    near += np.bitwise_count(code[met, w] ^ own[of, w])
+                kept = np.flatnonzero(near <= tables.radius)
+                each = np.bitwise_count((code[met[kept]] ^ own[of[kept]]).view("<u2"))[:, :table]  # a pair is told by its first table
+                kept = kept[~(each <= tables.reach).any(axis=1)]
+                kept = kept[np.lexsort((near[kept], of[kept]))]
+                of, met, near = of[kept], met[kept], near[kept]
+                first = np.searchsorted(of, np.arange(len(part) + 1))
+                last = np.minimum(first[:-1] + tables.depth, first[1:]) - 1  # of each query, the code that its radius ends at
+                within = near <= near[last[of]] if len(of) else np.zeros(0, dtype=bool)
+                yield pa.RecordBatch.from_arrays([pa.array(part["node"][of[within]]), pa.array(node[met[within]]), pa.array(near[within].astype(np.int32))], names=["asked", "node", "apart"])
 
     return run
 
@@ -197,7 +208,7 @@ def _ranked(dim: int):
 
 
 def candidates(classes: DataFrame, n: int, tables: Tables, dim: int) -> DataFrame:
-    """(asked, node): classes (node, asked, vector) that are within the radius of those asked, each pair once."""
+    """(asked, node): classes (node, asked, vector) that are within the radius of each of those asked, each pair once."""
     prefix = int(np.clip(np.ceil(np.log2(max(n, 1) / (CODES / 4))), 0, 12))
     rows, asked = classes.select("node", "vector"), classes.where("asked").select("node", "vector")
 
@@ -211,7 +222,9 @@ def candidates(classes: DataFrame, n: int, tables: Tables, dim: int) -> DataFram
     left = asked.mapInArrow(_grouped(tables, dim, prefix, True), "key long, n long, data binary").join(blocks, "key").select("key", own("n_i").alias("i"), each("n_j").alias("j"), F.lit(0).alias("side"), "data")
     right = rows.mapInArrow(_grouped(tables, dim, prefix, False), "key long, n long, data binary").join(blocks, "key").select("key", each("n_i").alias("i"), own("n_j").alias("j"), F.lit(1).alias("side"), "data")
     met = left.union(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    return met.mapInArrow(_probed(tables, prefix), "asked long, node long").distinct()
+    met = met.mapInArrow(_probed(tables, prefix), "asked long, node long, apart int").distinct()
+    nearest_first = Window.partitionBy("asked").orderBy("apart")
+    return met.withColumn("rank", F.rank().over(nearest_first)).where(F.col("rank") <= tables.depth).select("asked", "node")
 
 
 # --- queries against all rows ----------------------------------------------------------------------------------------
@@ -268,7 +281,7 @@ def against_all(asked: DataFrame, rows: DataFrame, n: int, dim: int, k: int) ->
 # --- the operator ----------------------------------------------------------------------------------------------------
 
 
-def fit(rows: DataFrame, n: int, dim: int, k: int, miss: float) -> Tables:
+def fit(rows: DataFrame, n: int, dim: int, k: int, depth: int, miss: float) -> Tables:
     """Rotations of a sample, and tables by the true neighbours of another, both of bounded size."""
     sample = sampled(rows, dim, LEARNED)
     bits = min(dim, BITS)
@@ -277,7 +290,7 @@ def fit(rows: DataFrame, n: int, dim: int, k: int, miss: float) -> Tables:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = against_all(few, rows, n, dim, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("own", "vector").collect()
     own, other = (np.frombuffer(b"".join(bytes(r[c]) for r in found), dtype="<f8").reshape(-1, dim) for c in ("own", "vector"))
-    return fitted(codec, own, other, miss)
+    return fitted(codec, own, other, depth, miss)
 
 
 def _classed(batches):
@@ -286,7 +299,7 @@ def _classed(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(same, pa.binary())], names=[*batch.schema.names, "same"])
 
 
-def nearest(table: DataFrame, is_query, k: int = 5, miss: float = 0.05) -> DataFrame:
+def nearest(table: DataFrame, is_query, k: int = 5, depth: int = DEPTH, miss: float = 0.05) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for each row of table (vec_id, embedding) that is_query,
     a condition on vec_id, picks, among all rows but its own; nearest first, ties to the smaller vec_id."""
     scratch = Scratch(table.sparkSession, "ann")
@@ -294,16 +307,16 @@ def nearest(table: DataFrame, is_query, k: int = 5, miss: float = 0.05) -> DataF
     sound = scratch.stage(vectors(table, F.coalesce(is_query, F.lit(False)).alias("asked")), "vectors", "none")
     found = table.sparkSession.createDataFrame([], _FOUND)
     for dim, rows in by_dimension(sound):
-        found = found.union(_found(rows, dim, k, miss, Scratch(table.sparkSession, f"ann-{dim}")))
+        found = found.union(_found(rows, dim, k, max(depth, 4 * k), miss, Scratch(table.sparkSession, f"ann-{dim}")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _found(rows: DataFrame, dim: int, k: int, miss: float, scratch: Scratch) -> DataFrame:
+def _found(rows: DataFrame, dim: int, k: int, depth: int, miss: float, scratch: Scratch) -> DataFrame:
     """(query_id, vec_id, score) of the rows found for each query, at least k if there are, among vectors of one
     dimension."""
     n = rows.count()
-    tables = fit(rows, n, dim, k, miss)
+    tables = fit(rows, n, dim, k, depth, miss)
     marked = rows.mapInArrow(_classed, "vec_id long, asked boolean, vector binary, same binary")
     classes = marked.groupBy("same").agg(F.max("asked").alias("asked"), F.first("vector").alias("vector")).withColumn("node", F.monotonically_increasing_id())
     classes = scratch.stage(classes, "classes", "none")
