@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions import text as T
 from topicloom.operators import corpus, topics, vectors
-from topicloom.plans import registry
+from topicloom.plans import bindings, registry
 from topicloom.sources import records as R
 
 TABLES = ("documents", "labels", "pages", "embeddings")
@@ -111,9 +111,29 @@ def test_sinks(spark, tmp_path):
 
 
 def test_mix_counts_links_and_ties_go_to_the_first(spark):
-    found = spark.createDataFrame([("k", 0, "1", "A"), ("k", 1, "1", "A"), ("k", 0, "2", "B"), ("m", 2, "3", "C"), ("m", 2, "4", "D")], "l1 string, vocab_idx long, id string, funder_code string")
+    rows = [("k", 0, "R01-AG1", 5, "A"), ("k", 1, "R01-AG1", 5, "A"), ("k", 0, "2", 9, "B"), ("m", 2, "10", 1, "D"), ("m", 2, "9", 2, "C"), ("m", 1, "x y", 7, "E")]
+    found = spark.createDataFrame(rows, "l1 string, vocab_idx long, id string, ord long, funder_code string")
     mix = {(r.cluster, r["rank"]): (r.funder_code, r.share) for r in topics.funder_mix(found, "l1").collect()}
-    assert mix == {("k", 1): ("A", 0.667), ("k", 2): ("B", 0.333), ("m", 1): ("C", 0.5), ("m", 2): ("D", 0.5)}
+    assert mix == {("k", 1): ("A", 0.667), ("k", 2): ("B", 0.333), ("m", 1): ("E", 0.333), ("m", 2): ("D", 0.333), ("m", 3): ("C", 0.333)}
+
+
+def test_pages_go_by_documents_then_subtopics_then_leaves(spark):
+    rows = [(0, "b1", 2.0, 4, "b", "b1"), (1, "a1", 9.0, 4, "b", "a1"), (2, "a2", 1.0, 4, "b", "a1"), (3, "z", 1.0, 7, "b", "b1"), (4, "c1", 0.5, 4, "b", "b1"), (5, "c2", 0.5, 4, "b", "b1"), (6, "q", 1.0, 3, "q", "q")]
+    assigned = spark.createDataFrame(rows, "vocab_idx long, text string, weight double, doc_freq long, l1 string, l2 string")
+    paged = topics.keyword_pages(assigned)
+    assert [r.text for r in paged.where("topic_id = 't1'").orderBy("place").collect()] == ["z", "a1", "a2", "b1", "c1", "c2"]
+    assert {(r.topic_id, r.pager) for r in topics.page_of(paged, 9).collect()} == {("t1", "6–6 of 6"), ("t2", None)}
+    assert {(r.topic_id, r.pager) for r in topics.page_of(paged, -1).collect()} == {("t1", "1–5 of 6"), ("t2", None)}
+
+
+def test_one_tokenisation_and_no_text_in_the_join_of_titles(spark, small):
+    run = bindings.Run(spark, small)
+    assert run.links.count() > 0 and run.found.count() > 0
+    plan = run.found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "documents.parquet" not in plan
+    join = corpus.repeated_titles(run.all)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    above = join[: next(k for k, line in enumerate(join) if "Join" in line) + 1]
+    assert not any("abstract" in line or "title" in line for line in above)
 
 
 def test_ward_nests_and_matches_a_plain_loop():

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from topicloom.functions.text import is_phrase, tokens
 from topicloom.functions.words import KEPT_KINDS, PROTECTED, SEED_STOPWORDS
+from topicloom.sources.staging import Scratch, small
 
 MIN_CHARS, HIGH_DF, MIN_DF, KEYWORDS = 100, 0.30, 3, 12
 
@@ -15,18 +16,26 @@ MIN_CHARS, HIGH_DF, MIN_DF, KEYWORDS = 100, 0.30, 3, 12
 # --- ingest ---
 
 
+def repeated_titles(records: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(ord) of records after the first one of their title that has a long enough abstract. Titles, in lower case, are
+    compared by 128-bit hashes, so the join carries neither titles nor abstracts; records without a title are left out
+    before it, and rows of a title that many have can be split, for its other side has one row a title."""
+    fit = (F.length("abstract") >= min_chars) & (F.col("abstract") != "")
+    keyed = records.where("title <> ''").select(F.unhex(F.md5(F.lower("title").cast("binary"))).alias("k"), "ord", fit.alias("fit"))
+    first = keyed.where("fit").groupBy("k").agg(F.min("ord").alias("first"))
+    return keyed.join(first, "k").where("ord > first").select("ord")
+
+
 def with_reason(records: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """records with ``reason``: duplicate, no_abstract, short or kept.
+    """records (with ``ord``, their order, which no two share) with ``reason``: duplicate, no_abstract, short or kept.
 
     The first record of a title (in any case) that has a long enough abstract makes all later ones duplicates; records
-    without a title are none. Titles are aggregated before they are joined, so a title that many have is no hot task.
+    without a title are none.
     """
-    key = F.lower("title")
-    fit = (F.length("abstract") >= min_chars) & (F.col("abstract") != "")
-    first = records.where(fit & (key != "")).groupBy(key.alias("k")).agg(F.min("ord").alias("first"))
-    found = records.withColumn("k", key).join(first, "k", "left")
-    reason = F.when(F.col("ord") > F.col("first"), "duplicate").when(F.col("abstract") == "", "no_abstract").when(F.length("abstract") < min_chars, "short").otherwise("kept")
-    return found.withColumn("reason", reason).drop("k", "first")
+    later = Scratch(records.sparkSession, "titles").stage(repeated_titles(records, min_chars), "later")
+    found = records.join(small(later.withColumn("later", F.lit(True))), "ord", "left")
+    reason = F.when(F.col("later"), "duplicate").when(F.col("abstract") == "", "no_abstract").when(F.length("abstract") < min_chars, "short").otherwise("kept")
+    return found.select(*records.columns, reason.alias("reason"))
 
 
 def kept_records(records: DataFrame) -> DataFrame:
@@ -40,11 +49,21 @@ def top_counts(df: DataFrame, column: str, n: int) -> DataFrame:
 # --- stoplist ---
 
 
+def token_counts(records: DataFrame, column: str = "abstract") -> DataFrame:
+    """(id, token, tf): how often each document has each token."""
+    return records.select("id", F.explode(tokens(F.col(column))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+
+
 def token_df(records: DataFrame, column: str = "abstract") -> DataFrame:
     """(token, df): documents that have each token."""
     return records.select(F.explode(F.array_distinct(tokens(F.col(column)))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
+def counts_df(counts: DataFrame) -> DataFrame:
+    """``token_df`` of what ``token_counts`` gave."""
+    return counts.groupBy("token").agg(F.count("*").alias("df"))
+
+
 def high_df(df: DataFrame, n_docs: int, share: float = HIGH_DF) -> DataFrame:
     return df.where(F.col("df") >= int(share * n_docs)).select("token")
 
@@ -98,12 +117,11 @@ def normal_keyphrases(raw: DataFrame) -> DataFrame:
     return found.groupBy("id", "text").agg(F.min("pos").alias("pos"), F.min_by("score", "pos").alias("score")).select("id", "pos", "text", "score")
 
 
-def statistical_keyphrases(records: DataFrame, df: DataFrame, stop: DataFrame, n_docs: int, k: int = KEYWORDS) -> DataFrame:
-    """Raw keyphrases (id, pos, text, salience) without a model: each document's k tokens with the greatest
-    tf * ln(1 + n / df), without stopped ones."""
-    tf = records.select("id", F.explode(tokens(F.col("abstract"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+def statistical_keyphrases(counts: DataFrame, df: DataFrame, stop: DataFrame, n_docs: int, k: int = KEYWORDS) -> DataFrame:
+    """Raw keyphrases (id, pos, text, salience) without a model, of ``token_counts``: each document's k tokens with the
+    greatest tf * ln(1 + n / df), without stopped ones."""
     weight = F.round(F.col("tf") * F.log(1 + F.lit(float(n_docs)) / F.col("df")), 9)
-    scored = tf.join(stop, "token", "left_anti").join(df, "token").withColumn("weight", weight)
+    scored = counts.join(df.join(stop, "token", "left_anti"), "token").select("id", "token", weight.alias("weight"))
     pos = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "token"))
     top = scored.withColumn("pos", pos).where(F.col("pos") <= k)
     return top.select("id", "pos", F.col("token").alias("text"), (5 - F.floor((F.col("pos") - 1) * 5 / k)).cast("int").alias("salience"))
@@ -127,9 +145,9 @@ def vocabulary(links: DataFrame, min_df: int = MIN_DF) -> DataFrame:
 
 
 def leaves(links: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(vocab_idx, text, weight, doc_freq, docs): keyphrases with the sorted ids of their documents."""
-    docs = links.groupBy("text").agg(F.array_sort(F.collect_set("id")).alias("docs"))
-    return vocab.join(docs, "text").select("vocab_idx", "text", F.round("weight", 3).alias("weight"), "doc_freq", "docs")
+    """(vocab_idx, text, weight, doc_freq, id): keyphrases of the vocabulary, a row for each of their documents."""
+    docs = links.select("text", "id").distinct()
+    return docs.join(vocab, "text").select("vocab_idx", "text", F.round("weight", 3).alias("weight"), "doc_freq", "id")
 
 
 def orphans(records: DataFrame, links: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -50,14 +50,15 @@ def nodes(assigned: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def node_links(links: DataFrame, assigned: DataFrame, records: DataFrame) -> DataFrame:
-    """Links of clustered keyphrases with their clusters and their document's funder_code (unknown: ?)."""
+    """Links of clustered keyphrases with their clusters, and their document's place (ord) and funder_code (unknown: ?)."""
     found = links.join(assigned.select("text", "vocab_idx", "l1", "l2"), "text")
-    return found.join(records.select("id", "funder_code"), "id", "left").withColumn("funder_code", F.coalesce("funder_code", F.lit("?")))
+    return found.join(records.select("id", "ord", "funder_code"), "id", "left").withColumn("funder_code", F.coalesce("funder_code", F.lit("?")))
 
 
 def funder_mix(found: DataFrame, level: str) -> DataFrame:
-    """(cluster, rank, funder_code, share): shares of the links, the greatest first, ties by what comes first."""
-    n = found.groupBy(F.col(level).alias("cluster"), "funder_code").agg(F.count("*").alias("n"), F.min(F.struct("vocab_idx", F.col("id").cast("long"))).alias("first"))
+    """(cluster, rank, funder_code, share): shares of the links, the greatest first; ties go by the first link, in the
+    order of keyphrases, then of records."""
+    n = found.groupBy(F.col(level).alias("cluster"), "funder_code").agg(F.count("*").alias("n"), F.min(F.struct("vocab_idx", "ord")).alias("first"))
     share = F.round(F.col("n") / F.sum("n").over(Window.partitionBy("cluster")), 3)
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), "first"))
     return n.select("cluster", rank.alias("rank"), "funder_code", share.alias("share"))
@@ -69,7 +70,8 @@ def coverage(found: DataFrame) -> DataFrame:
 
 
 def covered_docs(found: DataFrame) -> DataFrame:
-    return found.groupBy("l1", "l2").agg(F.count_distinct("id").alias("doc_count"), F.array_sort(F.collect_set("id")).alias("docs"))
+    """(l1, l2, id): the documents of each subtopic, a row each."""
+    return found.select("l1", "l2", "id").distinct()
 
 
 def dominant_funder(found: DataFrame) -> DataFrame:
@@ -84,13 +86,19 @@ def meta(records: DataFrame, assigned: DataFrame, min_df: int) -> DataFrame:
     return docs.crossJoin(tree).withColumn("min_df", F.lit(min_df))
 
 
-def label_payload(assigned: DataFrame, k: int = TOP_KEYWORDS) -> DataFrame:
-    """(node, level, keywords): what a labelling model is shown of each topic and subtopic."""
+def ranked_leaves(assigned: DataFrame) -> DataFrame:
+    """assigned with topic_id, sub_id, sub_n (the subtopic's number), rounded (weight) and leaf_rank, a keyphrase's place in
+    its subtopic."""
     _, subs = nodes(assigned)
     leaf = assigned.withColumn("rounded", F.round("weight", 3)).join(subs.select("l1", "l2", "topic_id", "sub_id"), ["l1", "l2"])
     leaf = leaf.withColumn("sub_n", F.substring_index("sub_id", ".", -1).cast("int"))
     order = [F.desc("doc_freq"), F.desc("rounded"), F.col("vocab_idx")]
-    leaf = leaf.withColumn("leaf_rank", F.row_number().over(Window.partitionBy("sub_id").orderBy(*order)))
+    return leaf.withColumn("leaf_rank", F.row_number().over(Window.partitionBy("sub_id").orderBy(*order)))
+
+
+def label_payload(assigned: DataFrame, k: int = TOP_KEYWORDS) -> DataFrame:
+    """(node, level, keywords): what a labelling model is shown of each topic and subtopic."""
+    leaf = ranked_leaves(assigned)
     top = leaf.withColumn("rank", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("rounded"), "sub_n", "leaf_rank")))
     rows = top.where(F.col("rank") <= k).select(F.col("topic_id").alias("node"), F.lit("topic").alias("level"), "rank", "text")
     rows = rows.union(leaf.where(F.col("leaf_rank") <= k).select("sub_id", F.lit("subtopic"), "leaf_rank", "text"))
@@ -122,13 +130,23 @@ def year_histogram(found: DataFrame, records: DataFrame, excluded: list[int]) ->
     return every.join(n, ["text", "year"], "left").select("text", "year", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def keyword_pages(found: DataFrame, subs: DataFrame, page: int = PAGE) -> DataFrame:
-    """(topic_id, text, doc_freq, page): keyphrases of each topic, most documents first, in pages."""
-    n = found.groupBy("l1", "l2", "text").agg(F.count_distinct("id").alias("doc_freq"))
-    n = n.groupBy("l1", "text").agg(F.max("doc_freq").alias("doc_freq"))
-    rank = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("doc_freq"), "text"))
-    topics = subs.select("l1", "topic_id").distinct()
-    return n.join(topics, "l1").select("topic_id", "text", "doc_freq", F.ceil(rank / page).cast("int").alias("page"))
+def keyword_pages(assigned: DataFrame, page: int = PAGE) -> DataFrame:
+    """(topic_id, text, doc_freq, place, page, pages): keyphrases of each topic, most documents first, then in the order of
+    subtopics and of their keyphrases. A text that stands in several subtopics counts once, where its documents are most."""
+    order = [F.desc("doc_freq"), F.col("sub_n"), F.col("leaf_rank")]
+    leaf = ranked_leaves(assigned).withColumn("own", F.row_number().over(Window.partitionBy("topic_id", "text").orderBy(*order))).where("own = 1")
+    leaf = leaf.withColumn("place", F.row_number().over(Window.partitionBy("topic_id").orderBy(*order)))
+    pages = F.ceil(F.count("*").over(Window.partitionBy("topic_id")) / page).cast("int")
+    return leaf.select("topic_id", "text", "doc_freq", "place", F.ceil(F.col("place") / page).cast("int").alias("page"), pages.alias("pages"))
+
+
+def page_of(paged: DataFrame, number: int, page: int = PAGE) -> DataFrame:
+    """The rows of ``keyword_pages`` on that page of each topic, or on its first or last one if there is no such; pager says
+    which of how many they are, and is null where a topic has one page alone."""
+    total = F.count("*").over(Window.partitionBy("topic_id"))
+    rows = paged.withColumn("total", total).where(F.col("page") == F.greatest(F.lit(1), F.least(F.col("pages"), F.lit(number))))
+    last = F.least(F.col("page") * page, F.col("total"))
+    return rows.withColumn("pager", F.when(F.col("pages") > 1, F.format_string("%d–%d of %d", (F.col("page") - 1) * page + 1, last, "total"))).drop("total")
 
 
 def drill_down(found: DataFrame, records: DataFrame, n: int = DRILL) -> DataFrame:

@@ -3,11 +3,14 @@ first letters of a keyphrase."""
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import clean_ws
 from topicloom.operators import corpus, topics
+from topicloom.sources.staging import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,33 +32,58 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Run:
-    """The tables of one run over a folder, each stated once."""
+    """The tables of one run over a folder, each computed once: what is used again is written to the shared folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self.scratch = spark, sf_dir, Scratch(spark, "run")
         self.all = records(spark, sf_dir)
-        self.kept = corpus.kept_records(self.all)
 
+    @cached_property
+    def judged(self) -> DataFrame:
+        return corpus.with_reason(self.all)
+
+    @property
+    def kept(self) -> DataFrame:
+        return self.judged.where("reason = 'kept'").drop("reason")
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """(id, token, tf): texts are cut into tokens for this table alone."""
+        return self.scratch.stage(corpus.token_counts(self.kept), "counts")
+
+    @cached_property
+    def meta(self) -> DataFrame:
+        """The kept records without their abstracts."""
+        return self.scratch.stage(self.kept.drop("abstract"), "meta")
+
+    @cached_property
     def n(self) -> int:
-        return self.kept.count()
+        return self.meta.count()
 
+    @cached_property
     def df(self) -> DataFrame:
-        return corpus.token_df(self.kept)
+        return self.scratch.stage(corpus.counts_df(self.counts), "df")
 
+    @cached_property
     def stop(self) -> DataFrame:
-        return corpus.stoplist(self.df(), self.n())
+        return self.scratch.stage(corpus.stoplist(self.df, self.n), "stop")
 
     def raw(self) -> DataFrame:
-        return corpus.statistical_keyphrases(self.kept, self.df(), self.stop(), self.n())
+        return corpus.statistical_keyphrases(self.counts, self.df, self.stop, self.n)
 
+    @cached_property
     def links(self) -> DataFrame:
-        return corpus.normal_keyphrases(self.raw())
+        return self.scratch.stage(corpus.normal_keyphrases(self.raw()), "links")
 
+    @cached_property
     def vocab(self) -> DataFrame:
-        return corpus.vocabulary(self.links())
+        return self.scratch.stage(corpus.vocabulary(self.links), "vocab")
 
+    @property
     def assigned(self) -> DataFrame:
-        return self.vocab().withColumn("l1", F.substring("text", 1, 1)).withColumn("l2", F.substring("text", 1, 2))
+        """The vocabulary in clusters by its first letters."""
+        return self.vocab.withColumn("l1", F.substring("text", 1, 1)).withColumn("l2", F.substring("text", 1, 2))
 
+    @property
     def found(self) -> DataFrame:
-        return topics.node_links(self.links(), self.assigned(), self.kept)
+        return topics.node_links(self.links, self.assigned, self.meta)

@@ -56,7 +56,7 @@ raw AS (SELECT id, token AS text, row_number() OVER (PARTITION BY id ORDER BY ro
 links AS (SELECT id, pos, text, round((5 - floor((pos - 1) * 5 / 12)) / 5.0, 3)::double AS score FROM raw),
 vocab AS (SELECT row_number() OVER (ORDER BY text) - 1 AS vocab_idx, text, weight, doc_freq FROM (SELECT text, sum(score) AS weight, count(DISTINCT id) AS doc_freq FROM links GROUP BY 1 HAVING count(DISTINCT id) >= 3)),
 assigned AS (SELECT *, substr(text, 1, 1) AS l1, substr(text, 1, 2) AS l2 FROM vocab),
-found AS (SELECT links.*, vocab_idx, l1, l2, coalesce(funder_code, '?') AS funder_code FROM links JOIN assigned USING (text) LEFT JOIN (SELECT id, funder_code FROM kept) USING (id)),
+found AS (SELECT links.*, vocab_idx, l1, l2, ord, coalesce(funder_code, '?') AS funder_code FROM links JOIN assigned USING (text) LEFT JOIN (SELECT id, ord, funder_code FROM kept) USING (id)),
 tops AS (SELECT l1, score, 't' || row_number() OVER (ORDER BY score DESC, f) AS topic_id FROM (SELECT l1, round(sum(weight), 6) AS score, min(vocab_idx) AS f FROM assigned GROUP BY 1)),
 subs AS (SELECT l1, l2, topic_id, s.score, row_number() OVER (PARTITION BY l1 ORDER BY s.score DESC, f) AS j, topic_id || '.' || j AS sub_id FROM (SELECT l1, l2, round(sum(weight), 6) AS score, min(vocab_idx) AS f FROM assigned GROUP BY 1, 2) s JOIN tops USING (l1)),
 tw1 AS (SELECT l1 AS cluster, token, sum(doc_freq)::bigint AS w FROM (SELECT l1, doc_freq, unnest(regexp_extract_all(text, '[a-z][a-z]{{2,}}')) AS token FROM assigned) GROUP BY 1, 2),
@@ -96,12 +96,12 @@ def q_ingest_kept(spark, d):
 
 @query("SELECT reason, count(*) AS n FROM r GROUP BY 1")
 def q_ingest_audit(spark, d):
-    return corpus.with_reason(Run(spark, d).all).groupBy("reason").agg(F.count("*").alias("n"))
+    return Run(spark, d).judged.groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("SELECT funder, n FROM (SELECT funder, count(*) AS n, min(ord) AS f FROM kept GROUP BY 1 ORDER BY n DESC, f LIMIT 10)")
 def q_top_funders(spark, d):
-    return corpus.top_counts(Run(spark, d).kept, "funder", 10)
+    return corpus.top_counts(Run(spark, d).meta, "funder", 10)
 
 
 def _cleaned(spark, d):
@@ -127,18 +127,18 @@ def q_sanitize_pages(spark, d):
 
 @query("SELECT token, df FROM df")
 def q_token_df(spark, d):
-    return Run(spark, d).df()
+    return Run(spark, d).df
 
 
 @query("SELECT token FROM stop")
 def q_stoplist(spark, d):
-    return Run(spark, d).stop()
+    return Run(spark, d).stop
 
 
 @query("SELECT token, df, CASE WHEN token IN (SELECT token FROM stop) THEN 'STOP' WHEN token IN (SELECT token FROM protected) THEN 'protected' ELSE '' END AS mark FROM (SELECT * FROM df ORDER BY df DESC, token LIMIT 40)")
 def q_df_report(spark, d):
     run = Run(spark, d)
-    return corpus.df_report(run.df(), run.stop())
+    return corpus.df_report(run.df, run.stop)
 
 
 # --- research filter and keyphrases ---
@@ -180,14 +180,14 @@ def q_keyword_norm(spark, d):
     raw, none = run.raw(), F.lit(None).cast("int")
     noisy = raw.select("id", F.col("pos") * 2, F.concat(F.lit("  "), F.upper("text"), F.lit(" ")).alias("text"), "salience").union(raw.where("pos % 3 = 0").select("id", F.col("pos") * 2 + 1, "text", none))
     for pos, text, salience in ((100, "x", F.lit(5)), (101, "123", F.lit(5)), (102, "two  words", none)):
-        noisy = noisy.union(run.kept.select("id", F.lit(pos), F.lit(text), salience))
+        noisy = noisy.union(run.meta.select("id", F.lit(pos), F.lit(text), salience))
     return corpus.normal_keyphrases(noisy.toDF("id", "pos", "text", "salience"))
 
 
 @query("SELECT round(avg(n), 6) AS mean, count_if(n = 0) AS without, count(*) AS n_docs FROM (SELECT id, count(text) AS n FROM kept LEFT JOIN links USING (id) GROUP BY 1)")
 def q_keyword_stats(spark, d):
     run = Run(spark, d)
-    each = run.kept.select("id").join(run.links().select("id", "text"), "id", "left").groupBy("id").agg(F.count("text").alias("n"))
+    each = run.meta.select("id").join(run.links.select("id", "text"), "id", "left").groupBy("id").agg(F.count("text").alias("n"))
     return each.agg(F.round(F.avg("n"), 6).alias("mean"), F.count_if(F.col("n") == 0).alias("without"), F.count("*").alias("n_docs"))
 
 
@@ -196,24 +196,24 @@ def q_keyword_stats(spark, d):
 
 @query("SELECT vocab_idx, text, round(weight, 6) AS weight, doc_freq FROM vocab")
 def q_vocab(spark, d):
-    return Run(spark, d).vocab().withColumn("weight", F.round("weight", 6))
+    return Run(spark, d).vocab.withColumn("weight", F.round("weight", 6))
 
 
-@query("SELECT text, round(weight, 3) AS weight, doc_freq, docs FROM vocab JOIN (SELECT text, string_agg(DISTINCT id, ',' ORDER BY id) AS docs FROM links GROUP BY 1) USING (text)")
+@query("SELECT DISTINCT text, round(weight, 3) AS weight, doc_freq, id FROM vocab JOIN links USING (text)")
 def q_kw_leaf(spark, d):
     run = Run(spark, d)
-    return corpus.leaves(run.links(), run.vocab()).select("text", "weight", "doc_freq", F.array_join("docs", ",").alias("docs"))
+    return corpus.leaves(run.links, run.vocab).select("text", "weight", "doc_freq", "id")
 
 
 @query("SELECT id FROM kept WHERE id NOT IN (SELECT id FROM found)")
 def q_orphan_docs(spark, d):
     run = Run(spark, d)
-    return corpus.orphans(run.kept, run.links(), run.vocab()).select("id")
+    return corpus.orphans(run.meta, run.links, run.vocab).select("id")
 
 
 @query("SELECT cluster, token, w FROM tw2")
 def q_token_weights(spark, d):
-    return topics.token_weights(Run(spark, d).assigned(), "l2")
+    return topics.token_weights(Run(spark, d).assigned, "l2")
 
 
 def _ctfidf(weights: str, level: str) -> str:
@@ -222,23 +222,23 @@ def _ctfidf(weights: str, level: str) -> str:
 
 @query(_ctfidf("tw1", "l1"))
 def q_ctfidf_top(spark, d):
-    a = Run(spark, d).assigned()
+    a = Run(spark, d).assigned
     return topics.class_tfidf(topics.token_weights(a, "l1"), a.select(F.col("l1").alias("cluster")))
 
 
 @query(f"SELECT cluster, string_agg(token, ' ' ORDER BY rank) FILTER (rank <= 3) AS label FROM ({_ctfidf('tw2', 'l2')}) GROUP BY 1")
 def q_ctfidf_sub(spark, d):
-    return topics.terms(Run(spark, d).assigned(), "l2").select("cluster", "label")
+    return topics.terms(Run(spark, d).assigned, "l2").select("cluster", "label")
 
 
-@query("SELECT l1 AS cluster, row_number() OVER (PARTITION BY l1 ORDER BY n DESC, v, i) AS rank, funder_code, round(n / sum(n) OVER (PARTITION BY l1), 3) AS share FROM (SELECT l1, funder_code, count(*) AS n, min(vocab_idx) AS v, arg_min(id::bigint, vocab_idx * 1000000000000 + id::bigint) AS i FROM found GROUP BY 1, 2)")
+@query("SELECT l1 AS cluster, row_number() OVER (PARTITION BY l1 ORDER BY n DESC, f) AS rank, funder_code, round(n / sum(n) OVER (PARTITION BY l1), 3) AS share FROM (SELECT l1, funder_code, count(*) AS n, min((vocab_idx, ord)) AS f FROM found GROUP BY 1, 2)")
 def q_funder_mix(spark, d):
-    return topics.funder_mix(Run(spark, d).found(), "l1")
+    return topics.funder_mix(Run(spark, d).found, "l1")
 
 
 @query("SELECT l1, l2, topic_id, sub_id, score FROM subs UNION ALL SELECT l1, NULL, topic_id, NULL, score FROM tops")
 def q_topic_tree(spark, d):
-    tops, subs = topics.nodes(Run(spark, d).assigned())
+    tops, subs = topics.nodes(Run(spark, d).assigned)
     none = F.lit(None).cast("string")
     return subs.select("l1", "l2", "topic_id", "sub_id", "score").union(tops.select("l1", none, "topic_id", none, "score"))
 
@@ -246,47 +246,47 @@ def q_topic_tree(spark, d):
 @query("SELECT (SELECT n FROM n) AS n_docs, (SELECT string_agg(DISTINCT funder_code, ',' ORDER BY funder_code) FROM kept) AS funders, count(*) AS n_keywords, count(DISTINCT l1) AS n_topics, count(DISTINCT l2) AS n_subtopics, 3 AS min_df FROM assigned")
 def q_meta(spark, d):
     run = Run(spark, d)
-    return topics.meta(run.kept, run.assigned(), corpus.MIN_DF).withColumn("funders", F.array_join("funders", ","))
+    return topics.meta(run.meta, run.assigned, corpus.MIN_DF).withColumn("funders", F.array_join("funders", ","))
 
 
 # --- coverage and documents ---
 
 
-@query("SELECT l1, l2, count(DISTINCT id) AS doc_count, string_agg(DISTINCT id, ',' ORDER BY id) AS docs FROM found GROUP BY 1, 2")
+@query("SELECT DISTINCT l1, l2, id FROM found")
 def q_coverage_sub(spark, d):
-    return topics.covered_docs(Run(spark, d).found()).withColumn("docs", F.array_join("docs", ","))
+    return topics.covered_docs(Run(spark, d).found)
 
 
 @query("SELECT l1, l2, count(DISTINCT id) AS doc_count FROM found GROUP BY GROUPING SETS ((l1), (l1, l2))")
 def q_coverage_top(spark, d):
-    return topics.coverage(Run(spark, d).found())
+    return topics.coverage(Run(spark, d).found)
 
 
 @query("SELECT sum(n)::bigint AS total FROM (SELECT count(DISTINCT id) AS n FROM found GROUP BY l1)")
 def q_coverage_total(spark, d):
-    return topics.coverage(Run(spark, d).found()).where("l2 IS NULL").agg(F.sum("doc_count").alias("total"))
+    return topics.coverage(Run(spark, d).found).where("l2 IS NULL").agg(F.sum("doc_count").alias("total"))
 
 
 @query("SELECT text, funder_code FROM (SELECT text, funder_code, count(*) AS n, min(id) AS f FROM (SELECT DISTINCT text, id, funder_code FROM found) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY text ORDER BY n DESC, f) = 1")
 def q_dominant_funder(spark, d):
-    return topics.dominant_funder(Run(spark, d).found())
+    return topics.dominant_funder(Run(spark, d).found)
 
 
 @query("SELECT id, title, funder, funder_code, year, md5(CASE WHEN ord % 5 = 0 THEN '' ELSE abstract END) AS digest FROM kept WHERE id IN (SELECT id FROM found)")
 def q_docs_index(spark, d):
     run = Run(spark, d)
-    index = topics.docs_index(run.kept, run.kept.where("ord % 5 <> 0").select("id", "abstract"), run.found())
+    index = topics.docs_index(run.kept, run.kept.where("ord % 5 <> 0").select("id", "abstract"), run.found)
     return index.select("id", "title", "funder", "funder_code", "year", F.md5(F.col("abstract").cast("binary")).alias("digest"))
 
 
 @query("SELECT topic_id AS node, 'topic' AS level, string_agg(text, ',' ORDER BY rk) AS keywords FROM (SELECT topic_id, text, row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 3) DESC, j, leaf_rank) AS rk FROM leaf) WHERE rk <= 10 GROUP BY 1 UNION ALL SELECT sub_id, 'subtopic', string_agg(text, ',' ORDER BY leaf_rank) FROM leaf WHERE leaf_rank <= 10 GROUP BY 1")
 def q_label_payload(spark, d):
-    return topics.label_payload(Run(spark, d).assigned()).withColumn("keywords", F.array_join("keywords", ","))
+    return topics.label_payload(Run(spark, d).assigned).withColumn("keywords", F.array_join("keywords", ","))
 
 
 @query("SELECT topic_id AS node, l1 AS label, CASE WHEN ascii(l1) % 2 = 0 THEN upper(l1) ELSE l1 END AS llm_label, ascii(l1) % 2 = 0 AS labelled FROM tops")
 def q_label_merge(spark, d):
-    tops, _ = topics.nodes(Run(spark, d).assigned())
+    tops, _ = topics.nodes(Run(spark, d).assigned)
     labels = tops.where("ascii(l1) % 2 = 0").select(F.col("topic_id").alias("node"), F.upper("l1").alias("llm_label"))
     return topics.merged_labels(tops.select(F.col("topic_id").alias("node"), F.col("l1").alias("label")), labels)
 
@@ -295,7 +295,7 @@ def q_label_merge(spark, d):
 def q_review_report(spark, d):
     from pyspark.sql.window import Window
 
-    found = Run(spark, d).found()
+    found = Run(spark, d).found
     mix = found.groupBy("l1", "funder_code").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(Window.partitionBy("l1").orderBy(F.desc("n"), "funder_code"))).where("k <= 3")
     mix = mix.groupBy("l1").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "funder_code"))), lambda x: x["funder_code"]), ",").alias("mix"))
     counts = topics.coverage(found).where("l2 IS NULL").select("l1", "doc_count")
@@ -310,26 +310,33 @@ _HIST = "SELECT text, year, coalesce(n, 0) AS n FROM (SELECT DISTINCT text FROM
 @query(_HIST)
 def q_year_hist(spark, d):
     run = Run(spark, d)
-    return topics.year_histogram(run.found(), run.kept, [2020, 2026])
+    return topics.year_histogram(run.found, run.meta, [2020, 2026])
 
 
 @query(f"SELECT greatest(max(n), 1) AS most, (SELECT max(doc_freq) FROM assigned) AS most_docs FROM ({_HIST})")
 def q_hist_max(spark, d):
     run = Run(spark, d)
-    most = topics.year_histogram(run.found(), run.kept, [2020, 2026]).agg(F.greatest(F.coalesce(F.max("n"), F.lit(0)), F.lit(1)).alias("most"))
-    return most.crossJoin(run.assigned().agg(F.max("doc_freq").alias("most_docs")))
+    most = topics.year_histogram(run.found, run.meta, [2020, 2026]).agg(F.greatest(F.coalesce(F.max("n"), F.lit(0)), F.lit(1)).alias("most"))
+    return most.crossJoin(run.assigned.agg(F.max("doc_freq").alias("most_docs")))
 
 
-@query("SELECT topic_id, text, doc_freq, ceil(row_number() OVER (PARTITION BY topic_id ORDER BY doc_freq DESC, text) / 5)::int AS page FROM assigned JOIN tops USING (l1)")
+_PAGED = "SELECT topic_id, text, doc_freq, row_number() OVER (PARTITION BY topic_id ORDER BY doc_freq DESC, j, leaf_rank) AS place, ceil(place / 5)::int AS page, ceil(count(*) OVER (PARTITION BY topic_id) / 5)::int AS pages FROM leaf"
+
+
+@query(_PAGED)
 def q_topic_kw_page(spark, d):
-    run = Run(spark, d)
-    return topics.keyword_pages(run.found(), topics.nodes(run.assigned())[1])
+    return topics.keyword_pages(Run(spark, d).assigned)
+
+
+@query(f"SELECT topic_id, text, doc_freq, place, page, pages, CASE WHEN pages > 1 THEN ((page - 1) * 5 + 1) || '–' || least(page * 5, total) || ' of ' || total END AS pager FROM (SELECT *, count(*) OVER (PARTITION BY topic_id) AS total FROM ({_PAGED})) WHERE page = least(pages, 3)")
+def q_page_of(spark, d):
+    return topics.page_of(topics.keyword_pages(Run(spark, d).assigned), 3)
 
 
 @query("SELECT text, row_number() OVER (PARTITION BY text ORDER BY coalesce(year, 0) DESC, id) AS rank, id, year, title FROM (SELECT DISTINCT text, id FROM found) JOIN kept USING (id) QUALIFY rank <= 60")
 def q_kw_drilldown(spark, d):
     run = Run(spark, d)
-    return topics.drill_down(run.found(), run.kept)
+    return topics.drill_down(run.found, run.meta)
 
 
 @query(r"""SELECT id, md5(regexp_replace(regexp_replace(replace(replace(replace(abstract, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\b(that|the)\b', '<mark>\1</mark>', 'gi'), '<mark>(the)</mark>', '<mark class="selected">\1</mark>', 'gi')) AS digest FROM kept""")
@@ -340,7 +347,7 @@ def q_highlight(spark, d):
 
 @query("SELECT text, round(CASE WHEN m <= 1 THEN 36.5 ELSE greatest(9, least(64, 9 + 55 * (pow(doc_freq, 0.35) - 1) / (pow(m, 0.35) - 1))) END, 4) AS size FROM assigned, (SELECT max(doc_freq) AS m FROM assigned)")
 def q_font_scale(spark, d):
-    a = Run(spark, d).assigned()
+    a = Run(spark, d).assigned
     return a.crossJoin(F.broadcast(a.agg(F.max("doc_freq").alias("m")))).select("text", F.round(T.font_size(F.col("doc_freq"), F.col("m")), 4).alias("size"))
 
 
@@ -351,7 +358,7 @@ _BOXES = "SELECT (row_number() OVER (ORDER BY l1) - 1)::int AS i, (100 + count(*
 def q_grid_layout(spark, d):
     from pyspark.sql.window import Window
 
-    n = Run(spark, d).assigned().groupBy("l1").agg(F.count("*").alias("n"))
+    n = Run(spark, d).assigned.groupBy("l1").agg(F.count("*").alias("n"))
     boxes = n.select((F.row_number().over(Window.orderBy("l1")) - 1).alias("i"), (100 + F.col("n") % 7 * 10).cast("double").alias("w"), (50 + F.col("n") % 5 * 10).cast("double").alias("h"))
     return topics.grid(boxes, 1.6)
 
@@ -378,7 +385,7 @@ def q_seed(spark, d):
 @query()
 def q_ward_cut(spark, d):
     """The vocabulary in nested clusters of both levels, by Ward's linkage of hashed vectors."""
-    return vectors.ward_clusters(Run(spark, d).vocab())
+    return vectors.ward_clusters(Run(spark, d).vocab)
 
 
 # --- adapters and publishing ---
@@ -424,7 +431,7 @@ def q_manifest(spark, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top class-TF-IDF terms of each source."""
     run = Run(spark, sf_dir)
-    links = run.links().join(run.vocab().select("text"), "text", "left_semi").join(run.kept.select("id", "funder_code"), "id")
+    links = run.links.join(run.vocab.select("text"), "text", "left_semi").join(run.meta.select("id", "funder_code"), "id")
     weights = links.select(F.col("funder_code").alias("cluster"), F.explode(T.phrase_tokens(F.col("text"))).alias("token")).groupBy("cluster", "token").agg(F.count("*").alias("w"))
     return topics.class_tfidf(weights, weights.select("cluster"))
 
