@@ -23,9 +23,14 @@ PHRASE_TOKEN = r"([a-z][a-z]{2,})"
 SUB_AWARD = r"(?i)\s*-\s*Sub\s*Award$"
 
 
+#: What str.isspace of Python is true for.
+_SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def clean_ws(c) -> Column:
-    """White space runs (Unicode's and U+001C to U+001F) become one space, none at the ends; null becomes empty."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[\s\x1c-\x1f]+", " "))
+    """White space runs (Unicode's and U+001C to U+001F) become one space, none at the ends; null becomes empty. Single
+    spaces are no matches, for most texts have nothing else."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf" [{_SPACES}]+|[{_SPACES}&&[^ ]][{_SPACES}]*", " "))
 
 
 def parse_year(c) -> Column:

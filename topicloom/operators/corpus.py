@@ -18,10 +18,11 @@ MIN_CHARS, HIGH_DF, MIN_DF, KEYWORDS = 100, 0.30, 3, 12
 
 def repeated_titles(records: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(ord) of records after the first one of their title that has a long enough abstract. Titles, in lower case, are
-    compared by 128-bit hashes, so the join carries neither titles nor abstracts; records without a title are left out
-    before it, and rows of a title that many have can be split, for its other side has one row a title."""
-    fit = (F.length("abstract") >= min_chars) & (F.col("abstract") != "")
-    keyed = records.where("title <> ''").select(F.unhex(F.md5(F.lower("title").cast("binary"))).alias("k"), "ord", fit.alias("fit"))
+    compared by 128-bit hashes, written once, so the join carries neither titles nor abstracts; records without a title
+    are left out of it, and rows of a title that many have can be split, for its other side has one row a title."""
+    key = F.when(F.col("title") != "", F.unhex(F.md5(F.lower("title").cast("binary"))))
+    keyed = records.select(key.alias("k"), "ord", (F.length("abstract") >= max(min_chars, 1)).alias("fit"))
+    keyed = Scratch(records.sparkSession, "titles").stage(keyed, "keyed").where("k IS NOT NULL")
     first = keyed.where("fit").groupBy("k").agg(F.min("ord").alias("first"))
     return keyed.join(first, "k").where("ord > first").select("ord")
 
@@ -34,7 +35,8 @@ def with_reason(records: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """
     later = Scratch(records.sparkSession, "titles").stage(repeated_titles(records, min_chars), "later")
     found = records.join(small(later.withColumn("later", F.lit(True))), "ord", "left")
-    reason = F.when(F.col("later"), "duplicate").when(F.col("abstract") == "", "no_abstract").when(F.length("abstract") < min_chars, "short").otherwise("kept")
+    n = F.length("abstract")
+    reason = F.when(F.col("later"), "duplicate").when(n >= max(min_chars, 1), "kept").when(n > 0, "short").otherwise("no_abstract")
     return found.select(*records.columns, reason.alias("reason"))
 
 

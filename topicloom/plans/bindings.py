@@ -17,8 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """df over all cores where it is read by fewer tasks than there are: a table in one small file."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, by) if df.rdd.getNumPartitions() < cores else df
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     year = (F.lit(1995) + F.col("doc_id") % 32).cast("int")
     return d.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("ord"), clean_ws(F.substring("text", 1, 80)).alias("title"), clean_ws(F.col("text")).alias("abstract"), F.col("source").alias("funder"), F.upper("source").alias("funder_code"), year.alias("year"))
 
