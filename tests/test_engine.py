@@ -1,5 +1,6 @@
 """The engine's queries against SQL, and its operators on the edge cases of their inputs."""
 
+import json
 import os
 import shutil
 import subprocess
@@ -12,8 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from topicloom.functions import text as T
-from topicloom.operators import corpus, topics, vectors
+from topicloom.operators import artifact, corpus, phrases, topics, vectors
 from topicloom.plans import bindings, registry
+from topicloom.sources import files, providers, publishing
 from topicloom.sources import records as R
 
 TABLES = ("documents", "labels", "pages", "embeddings")
@@ -101,13 +103,81 @@ def test_sinks(spark, tmp_path):
     assert R.read_jsonl(spark, f"{root}/a", "id string").count() == R.read_jsonl(spark, f"{root}/b", "id string").count() == 1
     R.write_word_list(spark.createDataFrame([("b",), ("a",)], "w string"), f"{root}/w", ["list"])
     assert sorted(r.word for r in R.read_word_list(spark, f"{root}/w").collect()) == ["a", "b"]
-    R.put_json(spark, f"{root}/d/x/topics.json", {"é": [1]})
-    assert R.get_json(spark, f"{root}/d/x/topics.json") == {"é": [1]} and R.datasets(spark, f"{root}/d") == ["x"]
-    assert "&lt;b&gt;" in R.landing_page("t", [{"slug": "s", "label": "<b>", "description": None, "n_docs": 1000, "n_topics": 2}])
-    page = R.dataset_page('D="x";\nconst ENTRY={};\n', {"id": "a"}, 'D="x";', 'D=".";')
-    assert page == 'D=".";\nconst ENTRY={"id": "a"};\n'
+    files.put_json(spark, f"{root}/d/x/topics.json", {"é": [1]})
+    assert files.get_json(spark, f"{root}/d/x/topics.json") == {"é": [1]} and publishing.datasets(spark, f"{root}/d") == ["x"]
+    assert "&lt;b&gt;" in publishing.landing_page("t", [{"slug": "s", "label": "<b>", "description": None, "n_docs": 1000, "n_topics": 2}])
+    page = publishing.dataset_page('D="x";\n  const ENTRY={};\n', {"id": "a"}, 'D="x";', 'D=".";')
+    assert page == 'D=".";\n  const ENTRY={"id": "a"};\n'
+    for template in ("", 'D="x";', "const ENTRY={};", 'D="x";\nconst ENTRY={};\nconst ENTRY={};'):
+        with pytest.raises(ValueError):
+            publishing.dataset_page(template, {"id": "a"}, 'D="x";', 'D=".";')
+
+
+def test_from_csv_to_pages(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    words = ["graph theory", "protein folding", "solar cells", "deep learning", "coral reefs", "plasma physics"]
+    rows = ["grant_id,grantname,agencyname,agencycode,abstract,startdateyear"]
+    rows += [f'R01-{k},Title {k},Agency - SubAward,ag{k % 2},"{LONG} {words[k % 6]} and {words[(k + 1) % 6]}, of {words[(k * 5) % 6]}.",{2000 + k % 5}' for k in range(36)]
+    (tmp_path / "raw.csv").write_text("\n".join(rows))
+    records = corpus.kept_records(R.records(R.read_csv(spark, f"{root}/raw.csv")))
+    def extract(ids, prompts):
+        assert all("TITLE: Title" in p for p in prompts)
+        return [(i != "R01-7", json.dumps({"keywords": [{"text": w.upper(), "salience": 4} for w in words if w in p]})) for i, p in zip(ids, prompts)]
+
+    prompts = records.select("id", providers.extract_prompt().alias("prompt"))
+    answers = providers.job(prompts, extract, f"{root}/answers", chunks=3)
+    assert answers.where("ok").count() == 35
+    answers = providers.job(prompts, providers.replay({"R01-7": "{bad"}), f"{root}/answers", chunks=2)  # asks for the failed one alone
+    assert answers.where("ok").count() == 36 and spark.read.parquet(f"{root}/answers").count() == 37
+    links = corpus.normal_keyphrases(corpus.parse_extractions(answers))
+    assert corpus.keyworded(records, links).where("size(keywords) = 0").count() == 1
+    vocab = corpus.vocabulary(links)
+    clusters = vectors.ward_clusters(vocab, 2, 4)
+    assigned = vocab.join(clusters.select("vocab_idx", "l1", "l2"), "vocab_idx")
+    tops, _ = topics.nodes(assigned)
+    labels = tops.where("topic_id = 't1'").select(F.col("topic_id").alias("node"), F.lit("First").alias("llm_label"))
+    centroids = vectors.centroids(vectors.embedded(assigned), "l1")
+    whole = artifact.tree(links, assigned, records, labels, vectors.seeds(centroids, "l1"))
+    index = topics.docs_index(records, records.select("id", "abstract"), topics.node_links(links, assigned, records))
+    found = artifact.write_artifact(f"{root}/data/set-one/topics.json", topics.meta(records, assigned, 3), whole, index)
+    assert [t["id"] for t in found["topics"]] == ["t1", "t2"] and found["topics"][0]["llm_label"] == "First" and found["topics"][1]["llm_label"] == found["topics"][1]["label"]
+    assert found["meta"]["n_subtopics"] == sum(len(t["subtopics"]) for t in found["topics"]) == 4 and found["meta"]["funders"] == ["AG0", "AG1"]
+    for t in found["topics"]:
+        assert t["doc_count"] == len({i for s in t["subtopics"] for i in s["docs"]}) and len(t["seed"]) == 2
+        for s in t["subtopics"]:
+            assert set(s["docs"]) == {i for k in s["keywords"] for i in k["docs"]} and s["docs"] == sorted(s["docs"])
+            assert abs(sum(s["funder_mix"].values()) - 1) < 0.01 and set(s["docs"]) <= set(found["docs"])
+    assert {k["text"] for t in found["topics"] for s in t["subtopics"] for k in s["keywords"]} == set(words)
     with pytest.raises(ValueError):
-        R.dataset_page("", {}, "D", "E")
+        artifact.write_artifact(f"{root}/x.json", topics.meta(records, assigned, 3), whole, index, limit=3)
+    entries = publishing.write_manifest(spark, f"{root}/data", {"set-one": {"description": "d"}})
+    assert [(e["id"], e["label"], e["slug"], e["n_docs"], e["description"], e["excluded_years"]) for e in entries] == [("set-one", "Set One", "set-one", 36, "d", [])]
+    template = 'const DATA_DIR="data";\nconst ENTRY={};\n'
+    pages = publishing.publish(spark, f"{root}/data", template, f"{root}/site", "All", 'const DATA_DIR="data";', 'const DATA_DIR=".";', ("old.html",))
+    assert pages == ["index.html", "set-one.html"] and files.get_json(spark, f"{root}/site/datasets/set-one.json") == found
+    assert '"file": "datasets/set-one.json"' in (tmp_path / "site/set-one.html").read_text()
+    with pytest.raises(FileNotFoundError):
+        publishing.publish(spark, f"{root}/none", template, f"{root}/site", "All", "", "")
+
+
+def test_extractions(spark):
+    payloads = ['{"keywords": [{"text": "A b", "salience": 5}, {"text": "c"}, {"text": "dd"}, {"text": "ee", "salience": "x"}]}', '{"keywords": [', '{"other": 1}', "[]", None]
+    results = spark.createDataFrame([(str(k), True, p) for k, p in enumerate(payloads)] + [("f", False, payloads[0])], "id string, ok boolean, payload string")
+    found = corpus.parse_extractions(results)
+    assert sorted((r.id, r.pos, r.text, r.salience) for r in found.collect()) == [("0", 0, "A b", 5), ("0", 1, "c", None), ("0", 2, "dd", None), ("0", 3, "ee", None)]
+    whole = corpus.keyworded(spark.createDataFrame([(str(k), "x") for k in range(5)], "id string, abstract string"), corpus.normal_keyphrases(found)).collect()
+    assert {r.id: [tuple(k) for k in r.keywords] for r in whole} == {"0": [("a b", 1.0), ("dd", 0.6), ("ee", 0.6)], "1": [], "2": [], "3": [], "4": []}
+
+
+def test_marginal_relevance(spark):
+    assert phrases.candidates("Deep learning of graph neural networks, and the deep learning.", frozenset(["of", "and", "the"])) == ["deep learning", "graph neural networks"]
+    assert phrases.candidates("one two three four five", frozenset(), 3) == ["one two three", "two three four", "three four five"]
+    own, each = np.array([1.0, 0.0]), np.array([[0.8, 0.6], [0.9, 0.43589], [0.91, 0.41461], [0.7, -0.71414]])
+    assert phrases.marginal(own, each, 3) == [2, 3, 1] and phrases.marginal(own, each[:0]) == []
+    found = phrases.marginal_keyphrases(spark.createDataFrame([("a", "Solar cells and plasma physics."), ("b", None), ("c", "the")], "id string, abstract string"), ["and", "the"]).collect()
+    assert {(r.id, r.text) for r in found} == {("a", "solar cells"), ("a", "plasma physics")} and sorted(r.pos for r in found) == [1, 2]
+    stop = phrases.english_stoplist(spark.createDataFrame([("the",), ("grant",)], "token string"))
+    assert stop.where("word = 'the'").count() == 1 and {"grant", "is"} <= {r.word for r in stop.collect()}
 
 
 def test_mix_counts_links_and_ties_go_to_the_first(spark):

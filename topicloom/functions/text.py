@@ -108,3 +108,19 @@ def word_count(c) -> Column:
 def routed(c, words: int = 8) -> Column:
     """Text with the prefix that an embedding model of queries and passages expects: over ``words`` words, a passage."""
     return F.when(word_count(c) > words, F.concat(F.lit("passage: "), c)).otherwise(F.concat(F.lit("query: "), c))
+
+
+def ramp_position(count, most, floor: float = 0.16) -> Column:
+    """Where a count stands on a colour ramp: from floor to 1, by its share of the greatest; null for none."""
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), count / F.greatest(most, F.lit(1))))
+    return F.when(count > 0, floor + (1 - floor) * share)
+
+
+def place_in(seed, length: float, margin: float = 180.0) -> Column:
+    """A coordinate from 0 to 1 within a side of that length, less the margins."""
+    return margin + seed * (length - 2 * margin)
+
+
+def box_radius(width, height, room: float = 22.0) -> Column:
+    """The radius that holds a box and its title."""
+    return 0.5 * F.hypot(width, height) + room

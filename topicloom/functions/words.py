@@ -21,4 +21,4 @@ KINDS = (
     "research tool_or_infrastructure evaluation_research training conference_or_travel education_or_curriculum "
     "outreach_or_broadening_participation economic_development other"
 ).split()
-KEPT_KINDS = KINDS[:3]
+KEPT_KINDS = ["research", "tool_or_infrastructure", "evaluation_research"]

@@ -110,6 +110,22 @@ def research_excluded(records: DataFrame, verdicts: DataFrame) -> DataFrame:
 # --- keyphrases ---
 
 
+def parse_extractions(results: DataFrame) -> DataFrame:
+    """Raw keyphrases (id, pos, text, salience) of results (id, ok, payload). Failed calls, bad JSON and JSON without
+    ``keywords`` give none; a salience that is no whole number counts as missing."""
+    parsed = results.where("ok").select("id", F.from_json("payload", "keywords array<struct<text: string, salience: string>>").alias("v"))
+    each = parsed.select("id", F.posexplode("v.keywords").alias("pos", "k"))
+    return each.select("id", "pos", F.col("k.text").alias("text"), F.col("k.salience").try_cast("int").alias("salience"))
+
+
+def keyworded(records: DataFrame, keyphrases: DataFrame) -> DataFrame:
+    """records without abstracts, with ``keywords``, an array of (text, score) in the order of pos; without any, empty."""
+    each = keyphrases.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text", "score"))), lambda k: F.struct(k["text"].alias("text"), k["score"].alias("score"))).alias("keywords"))
+    none = F.array().cast("array<struct<text: string, score: double>>")
+    return records.drop("abstract").join(each, "id", "left").withColumn("keywords", F.coalesce("keywords", none))
+
+
+
 def normal_keyphrases(raw: DataFrame) -> DataFrame:
     """(id, pos, text, score) of raw (id, pos, text, salience): trimmed, in lower case, the first of each document's
     equal ones, those that are phrases; the score is a fifth of the salience (without one: of 3)."""

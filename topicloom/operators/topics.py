@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -116,6 +118,11 @@ def docs_index(records: DataFrame, abstracts: DataFrame, found: DataFrame) -> Da
     return used.drop("abstract").join(abstracts, "id", "left").withColumn("abstract", F.coalesce("abstract", F.lit("")))
 
 
+def unlabelled(node_terms: DataFrame, labels: DataFrame) -> int:
+    """How many nodes have no label."""
+    return node_terms.join(labels, "node", "left_anti").count()
+
+
 # --- exploration ---
 
 
@@ -158,8 +165,6 @@ def drill_down(found: DataFrame, records: DataFrame, n: int = DRILL) -> DataFram
 
 def highlighted(abstracts, words: list[str], selected: str):
     """Escaped text with the words marked, the selected one apart; longer words are tried first."""
-    import re
-
     text = escape_html(abstracts)
     pattern = "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
     text = F.regexp_replace(text, rf"(?i)\b({pattern})\b", "<mark>$1</mark>") if words else text

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions import text as T
 from topicloom.functions.words import KEPT_KINDS, PROTECTED, SEED_STOPWORDS
-from topicloom.operators import corpus, topics, vectors
+from topicloom.operators import artifact, corpus, phrases, topics, vectors
 from topicloom.sources import records as R
 
 from .bindings import Run, results, table
@@ -171,6 +171,33 @@ def q_prompt_payload(spark, d):
     return Run(spark, d).kept.select("id", F.md5(prompt.cast("binary")).alias("classify"), F.length(F.substring("abstract", 1, 2500)).alias("extract_chars"))
 
 
+_EXTRACTED = """CASE doc_id % 5 WHEN 0 THEN '{"keywords": [' WHEN 1 THEN '{"rationale": "none"}' WHEN 2 THEN '{"keywords": []}' ELSE concat('{"keywords": [{"text": " Big ', lang, '", "salience": 5}, {"text": "big ', lang, '"}, {"text": "', source, '", "salience": 2}, {"text": "7"}]}') END"""
+
+
+@query(f"""
+SELECT id, coalesce(string_agg(text || ' ' || score, ', ' ORDER BY pos), '') AS keywords
+FROM kept LEFT JOIN (SELECT id, pos, text, (CASE pos WHEN 0 THEN 100 ELSE 40 END) AS score FROM (SELECT doc_id::varchar AS id, unnest([0, 2]) AS pos, CASE pos WHEN 0 THEN 'big ' || lang ELSE source END AS text FROM documents WHERE doc_id % 5 > 2 AND doc_id % 11 <> 4)) USING (id) GROUP BY id
+""")
+def q_extract_parse(spark, d):
+    """Records with the keyphrases of a model's answers, of which some failed, are no JSON or lack their field."""
+    answers = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), (F.col("doc_id") % 11 != 4).alias("ok"), F.expr(_EXTRACTED).alias("payload"))
+    found = corpus.keyworded(Run(spark, d).kept, corpus.normal_keyphrases(corpus.parse_extractions(answers)))
+    return found.select("id", F.array_join(F.transform("keywords", lambda k: F.concat(k["text"], F.lit(" "), F.round(k["score"] * 100).cast("int").cast("string"))), ", ").alias("keywords"))
+
+
+@query()
+def q_english_stoplist(spark, d):
+    """The stoplist with the English words that come with Spark; SQL doesn't have them."""
+    return phrases.english_stoplist(Run(spark, d).stop)
+
+
+@query()
+def q_marginal_keyphrases(spark, d):
+    """Keyphrases by maximal marginal relevance over hashed vectors."""
+    run = Run(spark, d)
+    return phrases.marginal_keyphrases(run.kept, [r.word for r in phrases.english_stoplist(run.stop).collect()])
+
+
 _NOISY_RAW = "SELECT id, pos * 2 AS pos, '  ' || upper(text) || ' ' AS text, 5 - floor((pos - 1) * 5 / 12) AS salience FROM raw UNION ALL SELECT id, pos * 2 + 1, text, NULL FROM raw WHERE pos % 3 = 0 UNION ALL SELECT id, 100, 'x', 5 FROM kept UNION ALL SELECT id, 101, '123', 5 FROM kept UNION ALL SELECT id, 102, 'two  words', NULL FROM kept"
 
 
@@ -291,15 +318,63 @@ def q_label_merge(spark, d):
     return topics.merged_labels(tops.select(F.col("topic_id").alias("node"), F.col("l1").alias("label")), labels)
 
 
-@query("SELECT l1, doc_count, row_number() OVER (ORDER BY doc_count DESC, l1) AS place, mix FROM (SELECT l1, count(DISTINCT id) AS doc_count FROM found GROUP BY 1) JOIN (SELECT l1, string_agg(funder_code, ',' ORDER BY n DESC, funder_code) AS mix FROM (SELECT l1, funder_code, count(*) AS n FROM found GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY l1 ORDER BY n DESC, funder_code) <= 3) GROUP BY 1) USING (l1)")
-def q_review_report(spark, d):
-    from pyspark.sql.window import Window
+def _label(weights: str, level: str) -> str:
+    return f"(SELECT cluster, string_agg(token, ' ' ORDER BY rank) FILTER (rank <= 3) AS label FROM ({_ctfidf(weights, level)}) GROUP BY 1)"
+
+
+def _mixes(level: str, shown: str, k: int = 1_000_000) -> str:
+    """Funder codes of each cluster in the order of their links, with what is shown of their shares."""
+    ranked = f"SELECT cluster, funder_code, round(n / sum(n) OVER (PARTITION BY cluster), 3) AS share, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, f) AS rank FROM (SELECT {level} AS cluster, funder_code, count(*) AS n, min((vocab_idx, ord)) AS f FROM found GROUP BY 1, 2)"
+    return f"(SELECT cluster, string_agg({shown}, ', ' ORDER BY rank) AS mix FROM ({ranked}) WHERE rank <= {k} GROUP BY 1)"
 
-    found = Run(spark, d).found
-    mix = found.groupBy("l1", "funder_code").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(Window.partitionBy("l1").orderBy(F.desc("n"), "funder_code"))).where("k <= 3")
-    mix = mix.groupBy("l1").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "funder_code"))), lambda x: x["funder_code"]), ",").alias("mix"))
-    counts = topics.coverage(found).where("l2 IS NULL").select("l1", "doc_count")
-    return counts.join(mix, "l1").select("l1", "doc_count", F.row_number().over(Window.orderBy(F.desc("doc_count"), "l1")).alias("place"), "mix")
+
+_PERMILLE = "funder_code || ' ' || round(share * 1000)::int"
+_PERCENT = "funder_code || ' ' || round(share * 100)::int || '%'"
+_TREE = f"""
+SELECT topic_id, coalesce(a.label, '') AS topic_label, round(tops.score, 3) AS topic_score, d1.n AS topic_docs, m1.mix AS topic_mix,
+    sub_id, coalesce(b.label, '') AS sub_label, round(subs.score, 3) AS sub_score, d2.n AS sub_docs, md5(d2.docs) AS sub_digest, m2.mix AS sub_mix,
+    leaf_rank AS place, text, round(weight, 3) AS weight, doc_freq, md5(k.docs) AS digest, f.funder_code AS funder
+FROM leaf JOIN tops USING (topic_id) JOIN subs USING (sub_id)
+LEFT JOIN {_label("tw1", "l1")} a ON a.cluster = leaf.l1 LEFT JOIN {_label("tw2", "l2")} b ON b.cluster = leaf.l2
+JOIN {_mixes("l1", _PERMILLE)} m1 ON m1.cluster = leaf.l1 JOIN {_mixes("l2", _PERMILLE)} m2 ON m2.cluster = leaf.l2
+JOIN (SELECT l1, count(DISTINCT id) AS n FROM found GROUP BY 1) d1 ON d1.l1 = leaf.l1
+JOIN (SELECT l2, count(DISTINCT id) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS docs FROM found GROUP BY 1) d2 ON d2.l2 = leaf.l2
+JOIN (SELECT text, string_agg(DISTINCT id, ',' ORDER BY id) AS docs FROM links GROUP BY 1) k USING (text)
+JOIN (SELECT text, funder_code FROM (SELECT text, funder_code, count(*) AS n, min(id) AS f FROM (SELECT DISTINCT text, id, funder_code FROM found) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY text ORDER BY n DESC, f) = 1) f USING (text)
+"""
+
+
+def _tree(spark, d):
+    run = Run(spark, d)
+    return artifact.tree(run.links, run.assigned, run.meta)
+
+
+@query(_TREE)
+def q_tree(spark, d):
+    """The nested tree, unfolded to a row for each keyphrase."""
+    shown = lambda mix: F.array_join(F.transform(mix, lambda m: F.concat(m["funder_code"], F.lit(" "), F.round(m["share"] * 1000).cast("int").cast("string"))), ", ")
+    digest = lambda docs: F.md5(F.array_join(docs, ",").cast("binary"))
+    subs = _tree(spark, d).select(F.col("id").alias("topic_id"), F.col("label").alias("topic_label"), F.col("score").alias("topic_score"), F.col("doc_count").alias("topic_docs"), shown("funder_mix").alias("topic_mix"), F.explode("subtopics").alias("s"))
+    rows = subs.select("topic_id", "topic_label", "topic_score", "topic_docs", "topic_mix", F.col("s.id").alias("sub_id"), F.col("s.label").alias("sub_label"), F.col("s.score").alias("sub_score"), F.col("s.doc_count").alias("sub_docs"), digest("s.docs").alias("sub_digest"), shown("s.funder_mix").alias("sub_mix"), F.posexplode("s.keywords").alias("p", "k"))
+    return rows.select(*rows.columns[:-2], (F.col("p") + 1).alias("place"), "k.text", "k.weight", "k.doc_freq", digest("k.docs").alias("digest"), "k.funder")
+
+
+@query("SELECT n AS doc_count, coalesce(label, '') AS llm_label FROM (SELECT l1, count(DISTINCT id) AS n FROM found GROUP BY 1) JOIN tops USING (l1) LEFT JOIN " + _label("tw1", "l1") + " a ON a.cluster = l1 ORDER BY n DESC, substr(topic_id, 2)::int LIMIT 6")
+def q_best_covered(spark, d):
+    return artifact.best_covered(_tree(spark, d))
+
+
+@query(f"""
+SELECT place, coalesce(a.label, '') AS topic, coalesce(a.label, '') AS label, doc_count, n_subtopics, mix AS funders, j AS sub_n, coalesce(b.label, '') AS subtopic, coalesce(b.label, '') AS sub_label, sub_doc_count, keywords
+FROM subs JOIN (SELECT l1, doc_count, row_number() OVER (ORDER BY doc_count DESC, substr(topic_id, 2)::int) AS place FROM (SELECT l1, count(DISTINCT id) AS doc_count FROM found GROUP BY 1) JOIN tops USING (l1)) t USING (l1)
+JOIN (SELECT l1, count(*) AS n_subtopics FROM subs GROUP BY 1) USING (l1)
+JOIN {_mixes("l1", _PERCENT, 3)} m ON m.cluster = subs.l1
+JOIN (SELECT l2, count(DISTINCT id) AS sub_doc_count FROM found GROUP BY 1) USING (l2)
+JOIN (SELECT sub_id, string_agg(text, ', ' ORDER BY leaf_rank) AS keywords FROM leaf WHERE leaf_rank <= 8 GROUP BY 1) USING (sub_id)
+LEFT JOIN {_label("tw1", "l1")} a ON a.cluster = subs.l1 LEFT JOIN {_label("tw2", "l2")} b ON b.cluster = subs.l2
+""")
+def q_review_report(spark, d):
+    return artifact.review(_tree(spark, d))
 
 
 # --- exploration ---
@@ -351,6 +426,15 @@ def q_font_scale(spark, d):
     return a.crossJoin(F.broadcast(a.agg(F.max("doc_freq").alias("m")))).select("text", F.round(T.font_size(F.col("doc_freq"), F.col("m")), 4).alias("size"))
 
 
+@query("SELECT text, round(0.16 + 0.84 * greatest(0.0, least(1.0, doc_freq / greatest(m, 1))), 6) AS shade, round(180 + least(1.0, weight / 100) * 1240, 4) AS x, round(0.5 * sqrt(length(text) * length(text) * 64 + 18 * 18) + 22, 4) AS radius FROM assigned, (SELECT max(doc_freq) AS m FROM assigned)")
+def q_marks(spark, d):
+    """Shade, place and radius of each keyphrase's mark."""
+    a = Run(spark, d).assigned
+    at = a.crossJoin(F.broadcast(a.agg(F.max("doc_freq").alias("m"))))
+    radius = T.box_radius(F.length("text") * F.lit(8.0), F.lit(18.0))
+    return at.select("text", F.round(T.ramp_position(F.col("doc_freq"), F.col("m")), 6).alias("shade"), F.round(T.place_in(F.least(F.lit(1.0), F.col("weight") / 100), 1600.0), 4).alias("x"), F.round(radius, 4).alias("radius"))
+
+
 _BOXES = "SELECT (row_number() OVER (ORDER BY l1) - 1)::int AS i, (100 + count(*) % 7 * 10)::double AS w, (50 + count(*) % 5 * 10)::double AS h FROM assigned GROUP BY l1"
 
 
