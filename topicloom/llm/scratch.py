@@ -1,53 +1,5 @@
-"""Written intermediate tables in the folder that the cluster shares.
+"""Written intermediate tables: see ``topicloom.sources.staging``."""
 
-A written table cuts lineage and survives a lost executor: the tasks that read it need no earlier task again.
-"""
+from topicloom.sources.staging import Scratch, shared_dir
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where that is unset (tests), a folder of this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        found = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="topicloom-"))
-    return found.rstrip("/")
-
-
-def _fs(spark: SparkSession, path: str):
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
-
-
-class Scratch:
-    """Tables of one run of an operator, each in its own folder under ``shared_dir``."""
-
-    def __init__(self, spark: SparkSession, tag: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/topicloom/{tag}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def stage(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        """Writes df and reads it again."""
-        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
-        return self.read(name, df)
-
-    def read(self, name: str, like: DataFrame | None = None) -> DataFrame:
-        reader = self.spark.read if like is None else self.spark.read.schema(like.schema)
-        return reader.parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more; without names, all."""
-        for path in [self.path(n) for n in names] or [self.root]:
-            fs, jpath = _fs(self.spark, path)
-            fs.delete(jpath, True)
+__all__ = ["Scratch", "shared_dir"]
