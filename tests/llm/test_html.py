@@ -63,6 +63,11 @@ def test_wide_cells_are_not_padded_without_bound():
     assert len(visible_text(html)) < 60_000
 
 
+def test_columns_as_wide_as_their_cells():
+    html = f"<table><tr><td>{'x' * 100}<td>y<tr><td>a<td>b</table>"
+    assert visible_text(html) == f"{'x' * 100}  y\na  b" and visible_text(html, None) == f"{'x' * 100}  y\na{' ' * 101}b"
+
+
 class Words(HTMLParser):
     """Words of all text outside of what is never shown, in the order of the page."""
 

@@ -253,3 +253,38 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
         assert bool(packed) == bool(given), name
         assert {r.doc_id for r in packed} <= {i for i, _ in given}
     assert re.search("toxic", corpus_pipeline.__doc__)
+
+
+def plain_ftrl(rows, epochs, alpha, beta, l1, l2):
+    """Weights other than zero and the bias, by loops over single coordinates."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        shrink = 0.0 if i == "bias" else l1
+        if abs(z[i]) <= shrink:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * shrink) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for label, at in rows:
+            weights = {i: weight(i) for i in [*at, "bias"]}
+            g = 1 / (1 + np.exp(-sum(weights.values()))) - label
+            for i, w in weights.items():
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w
+                n[i] += g * g
+    return {i: weight(i) for i in z if i != "bias" and weight(i) != 0}, weight("bias")
+
+
+def test_training_against_a_plain_loop():
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefg", k=4)) for _ in range(60)]
+    rows = []
+    for _ in range(150):
+        toxic = rng.random() < 0.4
+        text = " ".join(rng.choices(words[:25] if toxic else words[15:], k=rng.randint(0, 12)))
+        rows.append((int(toxic), np.unique(toxicity.features(text, 10))))
+    for settings in ((4, 1.0, 1.0, 8.0, 0.1), (2, 0.3, 0.5, 0.2, 1.0)):
+        kept, weights, bias = toxicity._train(rows, 10, *settings)
+        expected, own = plain_ftrl([(label, at.tolist()) for label, at in rows], *settings)
+        assert expected and kept.tolist() == sorted(expected)
+        assert np.allclose(weights, [expected[i] for i in kept.tolist()], rtol=1e-9) and abs(bias - own) < 1e-9

@@ -215,6 +215,8 @@ def test_long_words_and_small_maps(monkeypatch):
     texts = ["".join(rng.choices("abcdeinot", k=n)) for n in (1, 200, 256, 257, 3000, 100_000)]
     texts += [" ".join("".join(rng.choices("etaoin shrdlu", k=9)) for _ in range(60)) for _ in range(40)] + [None, "", " ", "a  b", "\n"]
     assert [x.tolist() for x in enc.encode_many(texts)] == [ids_of(tokenizer, t) for t in texts]
+    flat, _ = enc.propose([t.encode() for t in texts[:5]])
+    assert flat.tolist() == [i for t in texts[:5] for i in enc.propose_long(t.encode())]
     words = [t.encode() for t in texts[:4]]
     flat, sizes = enc.merge_many(words)
     assert flat.tolist() == [i for w in words for i in enc.merge_long(w)] and sizes.sum() == len(flat)

@@ -34,7 +34,7 @@ _RUNS = regex.compile(rf"[{_S}][{_S}]|^[{_S}]|[{_S}]$")
 #: Entries a worker keeps in its map of chunks and words (about 250 MB); a full map loses the half that came last, for
 #: frequent ones are among those that were met first.
 CACHE_ENTRIES = 1_000_000
-#: Words of more characters are rare, and are merged exactly without a proposal.
+#: Words of more characters are rare, and go down the trie one by one; those that fail are merged with a heap.
 _LONG = 256
 #: Characters of the texts that are encoded together.
 _AT_ONCE = 4_000_000
@@ -104,6 +104,8 @@ class BpeEncoder:
         self.known: dict[str, bytes | None] = {}  # None: the text is cut by the pattern alone
         # decimal ids, each with a comma, filled up with zero bytes
         self.decimal = np.array([f"{i}," for i in range(self.size)], dtype="S").view(np.uint8).reshape(self.size, -1)
+        self.steps: dict[int, int] | None = None
+        self.tokens: list[int] = []
         self.exact = self.proposed = 0  # words merged exactly, and words seen
 
     def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -200,6 +202,22 @@ class BpeEncoder:
         word, at, token = (np.concatenate(x) for x in zip(*found))
         return token[np.argsort(at)], np.bincount(word, minlength=len(words))
 
+    def propose_long(self, word: bytes) -> list[int]:
+        """The same for one long word, byte by byte."""
+        if self.steps is None:
+            self.steps = dict(zip(self.step_keys.tolist(), self.step_nodes.tolist()))
+            self.tokens = self.token_at.tolist()
+        step, token_at, out, at = self.steps.get, self.tokens, [], 0
+        while at < len(word):
+            node, k, best = step(word[at], 0), at + 1, -1
+            while node:
+                if token_at[node] >= 0:
+                    best, end = token_at[node], k
+                node, k = (step(node * 256 + word[k], 0), k + 1) if k < len(word) else (0, k)
+            out.append(best)
+            at = end
+        return out
+
     # --- many words ---
 
     def _rank_of_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -233,14 +251,13 @@ class BpeEncoder:
         return fine
 
     def _learn_words(self, new: list[str]) -> None:
-        long = [w for w in new if len(w) > _LONG]
-        for w in long:
-            self.known[w] = np.asarray(self.merge_long(w.encode("utf-8", "surrogatepass")), dtype=self.dtype).tobytes()
-        new = [w for w in new if len(w) <= _LONG] if long else new
-        if not new:
-            return
+        new = sorted(new, key=lambda w: len(w) > _LONG)
+        short = sum(len(w) <= _LONG for w in new)
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
-        flat, sizes = self.propose(raw)
+        flat, sizes = self.propose(raw[:short])
+        if short < len(raw):
+            each = [np.asarray(self.propose_long(w), dtype=np.int64) for w in raw[short:]]
+            flat, sizes = np.concatenate([flat, *each]), np.concatenate([sizes, [len(x) for x in each]])
         word = np.repeat(np.arange(len(raw)), sizes)
         fails = np.zeros(len(raw), dtype=bool)
         fails[word[~self.sound[flat]]] = True
@@ -251,7 +268,11 @@ class BpeEncoder:
         self.proposed += len(new)
         self.exact += int(fails.sum())
         self._keep([w for w, f in zip(new, fails.tolist()) if not f], flat[~fails[word]], sizes[~fails])
-        self._keep([w for w, f in zip(new, fails.tolist()) if f], *self.merge_many([w for w, f in zip(raw, fails.tolist()) if f]))
+        failed = np.flatnonzero(fails).tolist()
+        self._keep([new[k] for k in failed if k < short], *self.merge_many([raw[k] for k in failed if k < short]))
+        for k in failed:
+            if k >= short:
+                self.known[new[k]] = np.asarray(self.merge_long(raw[k]), dtype=self.dtype).tobytes()
 
     def _keep(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         packed, width = flat.astype(self.dtype).tobytes(), self.dtype.itemsize

@@ -10,7 +10,7 @@ and of media that hold for a screen of ``SCREEN``); closed dialogs and the close
 
 Layout: white space collapses but in preformatted text; blocks begin a line, and those with margins are set off by an
 empty line; items have bullets or numbers and are indented; the cells of a table stand in columns padded to the widest
-cell, up to ``MAX_WIDTH``. A row with a wider cell of several lines is written cell after cell. No-break spaces become
+cell, up to ``max_width``. A row with a wider cell of several lines is written cell after cell. No-break spaces become
 spaces.
 
 A null page gives a null text, a page without visible text the empty one. Rows with null or repeated page_id are
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 100
-#: Widest column that cells are padded to, and largest span that is honoured.
+#: Widest column that cells are padded to, if not said otherwise, and largest span that is honoured.
 MAX_WIDTH, MAX_SPAN = 80, 1000
 #: Pixels of the screen that pages are taken to be shown on, and of an em.
 SCREEN, EM = {"width": 1280.0, "height": 800.0}, 16
@@ -456,8 +456,8 @@ class _Flow:
 
 
 class _Renderer:
-    def __init__(self, styles: Styles):
-        self.styles = styles
+    def __init__(self, styles: Styles, max_width: float):
+        self.styles, self.max_width = styles, max_width
 
     def block(self, children: list, shown: bool, pre: bool = False, depth: int = 0) -> list[str]:
         flow = _Flow()
@@ -596,7 +596,7 @@ class _Renderer:
                 lines = self.block(cell.children, seen, pre)
                 if down > 1:
                     reach.update(dict.fromkeys(range(column, column + span), down))
-                if span == 1 and len(lines) < 2 and lines and (width := _width(lines[0])) <= MAX_WIDTH:
+                if span == 1 and len(lines) < 2 and lines and (width := _width(lines[0])) <= self.max_width:
                     widths[column] = max(widths.get(column, 0), width)
                 cells.append((column, span, lines))
                 column += span
@@ -608,7 +608,7 @@ class _Renderer:
 
     def _row(self, cells: list[tuple[int, int, list[str]]], widths: dict[int, int]) -> list[str]:
         height = max((len(lines) for _, _, lines in cells), default=0)
-        if height > 1 and any(_width(x) > MAX_WIDTH for _, _, lines in cells for x in lines):
+        if height > 1 and any(_width(x) > self.max_width for _, _, lines in cells for x in lines):
             return [x for _, _, lines in cells for x in lines]
         out = []
         own = {c: max((_width(x) for x in lines), default=0) for c, span, lines in cells if span == 1}
@@ -632,20 +632,21 @@ class _Renderer:
         return out
 
 
-def visible_text(html: str | None) -> str | None:
-    """The text that a page shows, in lines."""
+def visible_text(html: str | None, max_width: int | None = MAX_WIDTH) -> str | None:
+    """The text that a page shows, in lines. Without a max_width columns are as wide as their widest cell, whatever that
+    makes of the table's size."""
     if html is None:
         return None
     root, sheets = parse(html)
     styles = Styles(sheets)
-    return "\n".join(_Renderer(styles).block([root], True)).replace("\xa0", " ")
+    return "\n".join(_Renderer(styles, float("inf") if max_width is None else max_width).block([root], True)).replace("\xa0", " ")
 
 
-def extract_text(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
+def extract_text(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", max_width: int | None = MAX_WIDTH) -> DataFrame:
     """(page_id, text) of each row of pages (page_id, html)."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([visible_text(x) for x in batch.column(1).to_pylist()], pa.string())], names=[id_column, "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([visible_text(x, max_width) for x in batch.column(1).to_pylist()], pa.string())], names=[id_column, "text"])
 
     return pages.select(F.col(id_column).cast("long").alias(id_column), html_column).mapInArrow(run, f"{id_column} long, text string")
