@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
-from topicloom.llm import ann, embedding_dedup, itq, minhash
+from topicloom.llm import ann, embedding_dedup, hot, itq, minhash
 from topicloom.llm import queries as Q
 from topicloom.llm.ann import nearest
 from topicloom.llm.components import components
@@ -92,9 +92,24 @@ def test_chains_of_near_duplicates(spark, monkeypatch):
     expected = near_by_brute_force(rows, 80)
     assert found_near(minhash.near_duplicates(docs_of(spark, rows), 80).collect()) == expected
     monkeypatch.setattr(minhash, "BLOCK", 3)  # many blocks in each group
+    monkeypatch.setattr(hot, "HOT", 2)
+    assert found_near(minhash.near_duplicates(docs_of(spark, rows), 80, None).collect()) == expected
+    monkeypatch.setattr(minhash, "BLOCK", 512)
+    monkeypatch.setattr(minhash, "ELEMENTS", 300)  # blocks bounded by the size of their sets
+    monkeypatch.setattr(minhash, "_AT_ONCE", 5000)
     assert found_near(minhash.near_duplicates(docs_of(spark, rows), 80).collect()) == expected
 
 
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_join_of_frequent_keys(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(hot, "small", lambda df: df.limit(broadcast) if broadcast else df)
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(400)], "key long, x long")
+    table = spark.createDataFrame([(k, 10 * k, n) for k, n in ((0, 172), (1, 38), (2, 38), (9, 1))], "key long, y long, n long")
+    expected = sorted(map(tuple, rows.join(table.drop("n"), "key").collect()))
+    for limit in (1, 50, 1000):
+        assert sorted(map(tuple, hot.join_hot(rows, table, "key", "n", limit).collect())) == expected
+
+
 def test_near_duplicates_that_stay(spark):
     rows = chained(4) + odd_rows()
     docs = docs_of(spark, rows)

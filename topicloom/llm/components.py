@@ -1,6 +1,6 @@
 """Connected components of links, in rounds of large-star and small-star over DataFrames.
 
-Each round hangs every node's larger neighbours, then its smaller ones, on the least node it knows, until the links are
+A node that many hang on is no hot key: its links are joined by a broadcast (see ``hot``). Each round hangs every node's larger neighbours, then its smaller ones, on the least node it knows, until the links are
 stars. Rounds grow with the logarithm of the longest path. A round's links are written to the shared folder, so the plan
 stays short and lost executors cost one round at most; what reaches the driver is a count.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hot import join_hot
 from .scratch import Scratch
 
 
@@ -23,12 +24,12 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     edges = scratch.stage(edges, f"{name}-0")
     for k in range(1, 60):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = scratch.stage(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), f"{name}-least-{k}")
+        large = join_hot(both, least, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
         edges = scratch.stage(small, f"{name}-{k}")
-        scratch.drop(f"{name}-{k - 1}")
+        scratch.drop(f"{name}-{k - 1}", f"{name}-least-{k}")
         # stars: each node hangs on one, and no node that others hang on hangs itself
         degrees = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1))).groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
         if not degrees.where("up > 1 OR (up > 0 AND down > 0)").limit(1).count():

@@ -4,7 +4,8 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles. Its
 the exponent, to base B, of the least hash of the set under its own hash function, in one byte. Registers merge by
 maximum, and equal ones are the likelier the more two sets share, so groups of ROWS registers serve as band keys. From
 how many registers of two sketches are greater, less and equal, and from the sets' known sizes, the likelihood of a
-similarity follows; pairs for which the wanted similarity is too unlikely (e**-MARGIN of the best) are no candidates.
+similarity follows; pairs for which the wanted similarity is too unlikely (e**-margin of the best) are no candidates; without a margin, all
+pairs that share a band are.
 
 Documents with one set are a class and stand for each other. The work then follows classes:
 
@@ -16,7 +17,7 @@ Documents with one set are a class and stand for each other. The work then follo
 
 So no pairs within a hot band or group are written out, no task holds a whole one, and no link is given up: what a
 hub does not settle is compared with everything in its group. A pair with a similarity at the threshold shares no band
-with a probability of (1 - T**ROWS)**BANDS, which is 1 in 100,000 at T = 0.85, and less above it.
+with a probability of (1 - T**ROWS)**BANDS, which is 1 in 80,000 at T = 0.85, and less above it.
 
 Texts are lower-cased in A to Z; words are what ASCII white space parts. Fewer than five words make one shingle. Null
 and empty texts, and texts without words, have an empty set and link with nothing. Rows without a doc_id link with
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .hot import join_hot
 from .runs import runs
 from .scratch import Scratch
 
@@ -42,8 +44,10 @@ M = BANDS * ROWS
 B = 1.2
 #: Natural logarithm of the likelihood ratio beyond which a pair is given up.
 MARGIN = 12.0
-#: Classes of a block.
-BLOCK = 512
+#: Classes of a block, and elements of the sets in one, about.
+BLOCK, ELEMENTS = 512, 2_000_000
+#: Bytes of sets that are handed on at once.
+_AT_ONCE = 16_000_000
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 1 << 63, M, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -81,8 +85,9 @@ def _p(x: np.ndarray) -> np.ndarray:
     return -np.log1p(-np.clip(x, 0, 1) * (B - 1) / B) / np.log(B)
 
 
-def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether sets of n_a and n_b elements with registers a and b (a row each) may have the threshold's similarity.
+def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float, margin: float | None = MARGIN) -> np.ndarray:
+    """Whether sets of n_a and n_b elements with registers a and b (a row each) may have the threshold's similarity;
+    without a margin, all whose sizes allow it may.
 
     The joint likelihood of the similarity is that of the numbers of greater, less and equal registers.
     """
@@ -92,6 +97,8 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, thres
     u = n_a / (n_a + n_b)
     v = 1 - u
     most = np.minimum(u, v) / np.maximum(u, v)
+    if margin is None:
+        return most >= threshold - 1e-9
     best, wanted = np.full(more.shape, -np.inf), np.full(more.shape, -np.inf)
     for j in np.linspace(0, 1, 41):
         j = np.minimum(j, most)
@@ -100,7 +107,7 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, thres
         score = more * np.log(p + tiny) + less * np.log(q + tiny) + same * np.log(np.maximum(1 - p - q, tiny))
         best = np.maximum(best, score)
         wanted = np.maximum(wanted, np.where(j >= threshold - 1e-9, score, -np.inf))
-    return (most >= threshold - 1e-9) & (wanted >= best - MARGIN)
+    return (most >= threshold - 1e-9) & (wanted >= best - margin)
 
 
 # --- stages ----------------------------------------------------------------------------------------------------------
@@ -118,13 +125,13 @@ def _bytes(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
 
-def _near_hub(threshold: float):
+def _near_hub(threshold: float, margin: float | None):
     """Of pairs (node, hub, n, regs, hub_n, hub_regs): whether they are near."""
 
     def run(batches):
         for batch in batches:
             c = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-            near = likely(_bytes(c["regs"], M), _bytes(c["hub_regs"], M), c["n"].to_numpy(), c["hub_n"].to_numpy(), threshold) if batch.num_rows else []
+            near = likely(_bytes(c["regs"], M), _bytes(c["hub_regs"], M), c["n"].to_numpy(), c["hub_n"].to_numpy(), threshold, margin) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([c["node"], c["hub"], pa.array(near, pa.bool_())], names=["node", "hub", "near"])
 
     return run
@@ -151,8 +158,11 @@ def _block_of(nodes, blocks):
 
 def _blocks(rest: DataFrame, all_: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Each row of rest beside each row of all_ with its key, in blocks (key, i, j) of bounded size: rows of rest carry
-    side 0, those of all_ side 1. Both have key, node and columns."""
-    size = lambda df, n: df.groupBy(key).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias(n))
+    side 0, those of all_ side 1. Both have key, node, n (elements of the set) and columns; blocks hold about BLOCK rows
+    and, if whole sets are among the columns, sets of about ELEMENTS."""
+    blocks = F.ceil(F.count("*") / F.lit(BLOCK))
+    blocks = F.greatest(blocks, F.ceil(F.sum("n") / F.lit(ELEMENTS))) if "found" in columns else blocks
+    size = lambda df, n: df.groupBy(key).agg(blocks.cast("int").alias(n))
     sizes = size(rest, "n_i").join(size(all_, "n_j"), key)
     left = rest.join(sizes, key).select(key, _block_of(F.col("node"), F.col("n_i")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_j") - 1)).alias("j"), F.lit(0).alias("side"), "node", *columns)
     right = all_.join(sizes, key).select(key, F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)).alias("i"), _block_of(F.col("node"), F.col("n_j")).alias("j"), F.lit(1).alias("side"), "node", *columns)
@@ -165,7 +175,7 @@ def _edges(parts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _near_blocks(threshold: float):
+def _near_blocks(threshold: float, margin: float | None):
     def run(batches):
         parts = []
         for table in runs(batches, 3):
@@ -174,7 +184,7 @@ def _near_blocks(threshold: float):
             r, c = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(r) or not len(c):
                 continue
-            adjacent = np.stack([likely(np.broadcast_to(regs[k], (len(c), M)), regs[c], np.full(len(c), n[k]), n[c], threshold) for k in r])
+            adjacent = np.stack([likely(np.broadcast_to(regs[k], (len(c), M)), regs[c], np.full(len(c), n[k]), n[c], threshold, margin) for k in r])
             parts.append(_stars(adjacent, nodes[r], nodes[c]))
             if len(parts) >= 1000:
                 yield _edges(parts)
@@ -185,9 +195,20 @@ def _near_blocks(threshold: float):
 
 
 def _full_sets(batches):
+    def made(rows):
+        columns = list(zip(*rows)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["grp", "node", "n", "found"])
+
     for batch in batches:
-        sets = [shingles(t).tobytes() for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array(sets, pa.binary())], names=["grp", "node", "n", "found"])
+        rows, size = [], 0
+        for grp, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            found = shingles(text.as_py()).tobytes()
+            rows.append((grp, node, len(found) // 8, found))
+            size += len(found)
+            if size > _AT_ONCE:
+                yield made(rows)
+                rows, size = [], 0
+        yield made(rows)
 
 
 def _shared(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
@@ -252,7 +273,7 @@ def _link_blocks(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, margin: float | None = MARGIN) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of docs (doc_id, text).
 
     Documents are linked from a similarity of ``percent`` / 100; component_id is the least doc_id reachable, and the
@@ -267,20 +288,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     own = classes.select("node", "n", "regs")
 
     bands = classes.select("node", F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("regs", b * ROWS + 1, ROWS)) for b in range(BANDS)])).alias("key"))
-    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
-    members = scratch.stage(bands.join(hubs, "key"), "members")
+    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("size")).where("hub < last").select("key", "hub", "size")
+    hubs = scratch.stage(hubs, "hubs")
+    members = scratch.stage(join_hot(bands, hubs, "key", "size").select("key", "node", "hub"), "members")
     pairs = members.where("node <> hub").select("node", "hub").distinct()
     pairs = pairs.join(own, "node").join(own.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("regs").alias("hub_regs")), "hub")
-    met = scratch.stage(pairs.select("node", "hub", "n", "regs", "hub_n", "hub_regs").mapInArrow(_near_hub(threshold), "node long, hub long, near boolean"), "met")
+    met = scratch.stage(pairs.select("node", "hub", "n", "regs", "hub_n", "hub_regs").mapInArrow(_near_hub(threshold, margin), "node long, hub long, near boolean"), "met")
     far = members.join(met.where("NOT near").select("node", "hub"), ["node", "hub"]).select("key", "node")
-    crowd = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 2").select("key")  # of two, the hub is the other
+    crowd = hubs.where("size > 2").select("key")  # of two, the hub is the other
     far = far.join(crowd, "key", "left_semi").join(own, "node").select("key", "node", "n", "regs")
     far = scratch.stage(far, "far")
     beside = members.where("node <> hub").select("key", "node").join(far.select("key").distinct(), "key", "left_semi").join(own, "node").select("key", "node", "n", "regs")
-    late = _blocks(far, beside, "key", ["n", "regs"]).mapInArrow(_near_blocks(threshold), "a long, b long")
+    late = _blocks(far, beside, "key", ["n", "regs"]).mapInArrow(_near_blocks(threshold, margin), "a long, b long")
     groups = components(met.where("near").select(F.col("node").alias("a"), F.col("hub").alias("b")).union(late), scratch, "groups")
     groups = scratch.stage(groups.select(F.col("component").alias("grp"), "node"), "grouped")
-    scratch.drop("members", "far")
+    scratch.drop("hubs", "members", "far")
 
     sets = docs.join(classes.join(groups, "node").select(F.col("node").alias("doc_id"), "grp"), "doc_id").select("grp", F.col("doc_id").alias("node"), "text").mapInArrow(_full_sets, "grp long, node long, n long, found binary")
     sets = scratch.stage(sets, "sets")
@@ -302,8 +324,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, margin: float | None = MARGIN) -> DataFrame:
     """The rows of docs (doc_id, text and any others) that are kept, with all their columns: of each group of linked
     documents that with the least doc_id. Rows of one doc_id stay or go together."""
-    gone = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, percent, margin).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
