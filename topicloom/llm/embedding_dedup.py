@@ -32,8 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.sources.staging import small
+
+from .blocks import paired, spanning, stars
 from .components import components
-from .itq import by_dimension, learn, matrix, sampled, unit, vectors
+from .itq import BITS, by_dimension, learn, matrix, sampled, unit, vectors
 from .runs import runs
 from .scratch import Scratch
 
@@ -69,8 +72,8 @@ def _keys() -> F.Column:
 
 
 def _window(radius: int):
-    """Of (key, node, c0, c1), sorted: links of near classes under keys with at most FEW, and a row (node, null, key) for
-    each class under a key with more. Only the last FEW rows are carried from one batch to the next."""
+    """Of (key, node, c0, c1), sorted: links that join what near classes, up to FEW places apart under a key, join, and a
+    row (node, null, key) for each class under a key with more than FEW. Only the last FEW rows are carried from one batch to the next."""
 
     def run(batches):
         carried = None
@@ -81,9 +84,12 @@ def _window(radius: int):
                 late = np.arange(max(fresh, d), len(key))
                 late = late[key[late] == key[late - d]]
                 late = late[np.bitwise_count(c0[late] ^ c0[late - d]).astype(np.int16) + np.bitwise_count(c1[late] ^ c1[late - d]) <= radius]
-                a.append(node[late])
-                b.append(node[late - d])
-            return np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])
+                a.append(late)
+                b.append(late - d)
+            if not a:
+                return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            at, least = spanning(len(key), np.concatenate(a), np.concatenate(b))
+            return node[at], node[least]
 
         def crowded(key, until):
             """Of the first ``until`` rows: those with a row of the same key FEW places before or after."""
@@ -127,32 +133,6 @@ def _window(radius: int):
     return run
 
 
-def _stars(adjacent: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each node with the least node of its component in a block."""
-    label_r, label_c = rows.copy(), columns.copy()
-    top = np.iinfo(np.int64).max
-    while True:
-        new_c = np.minimum(label_c, np.where(adjacent, label_r[:, None], top).min(axis=0))
-        new_r = np.minimum(label_r, np.where(adjacent, new_c[None, :], top).min(axis=1))
-        if (new_r == label_r).all() and (new_c == label_c).all():
-            break
-        label_r, label_c = new_r, new_c
-    nodes, labels = np.concatenate([rows, columns]), np.concatenate([label_r, label_c])
-    kept = nodes != labels
-    return nodes[kept], labels[kept]
-
-
-def _blocks(rest: DataFrame, all_: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Each row of rest beside each row of all_ with its key, in blocks (key, i, j): rows of rest carry side 0."""
-    size = lambda df, n: df.groupBy(key).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias(n))
-    sizes = size(rest, "n_i").join(size(all_, "n_j"), key)
-    block = lambda n: F.pmod(F.xxhash64("node", F.lit(11)), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rest.join(sizes, key).select(key, block("n_i").alias("i"), each("n_j").alias("j"), F.lit(0).alias("side"), "node", *columns)
-    right = all_.join(sizes, key).select(key, each("n_i").alias("i"), block("n_j").alias("j"), F.lit(1).alias("side"), "node", *columns)
-    return left.union(right).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "side", "node")
-
-
 def _near_blocks(radius: int):
     def run(batches):
         for table in runs(batches, 3):
@@ -160,7 +140,7 @@ def _near_blocks(radius: int):
             c0, c1 = (table.column(k).to_numpy().view(np.uint64) for k in ("c0", "c1"))
             r, c = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             near = np.bitwise_count(c0[r][:, None] ^ c0[c][None, :]).astype(np.int16) + np.bitwise_count(c1[r][:, None] ^ c1[c][None, :]) <= radius
-            a, b = _stars(near, node[r], node[c])
+            a, b = stars(near, node[r], node[c])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
@@ -179,16 +159,17 @@ def _counted(threshold: float, dim: int):
                 continue
             linked = (x[r] @ x[c].T >= threshold) & (node[r][:, None] != node[c][None, :])
             n = linked @ copies[c]
-            a, b = _stars(linked, node[r], node[c])
+            a, b = stars(linked, node[r], node[c])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[r], a]), pa.int64()), pa.array(np.concatenate([n, np.zeros(len(a), np.int64)]), pa.int64()), pa.concat_arrays([pa.nulls(len(r), pa.int64()), pa.array(b, pa.int64())])], names=["node", "links", "b"])
 
     return run
 
 
-def near_duplicates(table: DataFrame, threshold: float = 0.95, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(table: DataFrame, threshold: float = 0.95, radius: int | None = RADIUS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of table (vec_id, embedding): vectors linked directly by a cosine
     of at least threshold, the least vec_id reachable by links, and whether that is the row's own."""
     scratch = Scratch(table.sparkSession, "vectors")
+    radius = ROTATIONS * BITS if radius is None else radius  # without one, all that meet are compared
     sound = scratch.stage(vectors(table), "sound", "none")
     ids = table.select(F.col("vec_id").cast("long").alias("vec_id"))
     parts = [_linked(rows, dim, threshold, radius, Scratch(table.sparkSession, f"vectors-{dim}")) for dim, rows in by_dimension(sound)]
@@ -221,17 +202,18 @@ def _linked(sound: DataFrame, dim: int, threshold: float, radius: int, scratch:
     met = scratch.stage(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_window(radius), "a long, b long, key long"), "met")
     own = classes.select("node", "c0", "c1")
     crowd = met.where("key IS NOT NULL").select("key", F.col("a").alias("node"))
-    hubs = crowd.groupBy("key").agg(F.min("node").alias("hub"))
-    crowd = crowd.join(hubs, "key").where("node <> hub").join(own, "node").join(own.select(F.col("node").alias("hub"), F.col("c0").alias("h0"), F.col("c1").alias("h1")), "hub")
+    hubs = scratch.stage(crowd.groupBy("key").agg(F.min("node").alias("hub")), "hubs")
+    crowd = crowd.join(small(hubs), "key").where("node <> hub").join(own, "node").join(own.select(F.col("node").alias("hub"), F.col("c0").alias("h0"), F.col("c1").alias("h1")), "hub")
     apart = F.expr("bit_count(c0 ^ h0) + bit_count(c1 ^ h1)")
     crowd = scratch.stage(crowd.select("key", "node", "hub", "c0", "c1", (apart <= radius).alias("near")), "crowd")
     far = crowd.where("NOT near").select("key", "node", "c0", "c1")
     beside = crowd.join(far.select("key").distinct(), "key", "left_semi").select("key", "node", "c0", "c1")
-    late = _blocks(far, beside, "key", ["c0", "c1"]).mapInArrow(_near_blocks(radius), "a long, b long")
+    blocks = F.ceil(F.count("*") / F.lit(BLOCK))
+    late = paired(far, beside, "key", ["c0", "c1"], blocks, scratch, "far").mapInArrow(_near_blocks(radius), "a long, b long")
     edges = met.where("key IS NULL").select("a", "b").union(crowd.where("near").select("node", "hub")).union(late)
     groups = components(edges, scratch, "groups").select(F.col("component").alias("grp"), "node")
     groups = scratch.stage(groups.join(classes.select("node", "copies", "vector"), "node").select("grp", "node", "copies", "vector"), "grouped", "none")
-    counts = scratch.stage(_blocks(groups, groups, "grp", ["copies", "vector"]).mapInArrow(_counted(threshold, dim), "node long, links long, b long"), "counts")
+    counts = scratch.stage(paired(groups, groups, "grp", ["copies", "vector"], blocks, scratch, "groups").mapInArrow(_counted(threshold, dim), "node long, links long, b long"), "counts")
     links = counts.where("b IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.join(links, "node", "left").select("same", "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     rows = coded.select("vec_id", "same").join(named, "same").select("vec_id", F.lit(dim).alias("dim"), "links", "node")

@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import paired, stars
 from .components import components
 from .hot import join_hot
 from .runs import runs
@@ -137,38 +138,6 @@ def _near_hub(threshold: float, margin: float | None):
     return run
 
 
-def _stars(adjacent: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each node with the least node of its component in a bipartite block."""
-    label_r, label_c = rows.copy(), columns.copy()
-    top = np.iinfo(np.int64).max
-    while True:
-        new_c = np.minimum(label_c, np.where(adjacent, label_r[:, None], top).min(axis=0))
-        new_r = np.minimum(label_r, np.where(adjacent, new_c[None, :], top).min(axis=1))
-        if (new_r == label_r).all() and (new_c == label_c).all():
-            break
-        label_r, label_c = new_r, new_c
-    nodes, labels = np.concatenate([rows, columns]), np.concatenate([label_r, label_c])
-    kept = nodes != labels
-    return nodes[kept], labels[kept]
-
-
-def _block_of(nodes, blocks):
-    return F.pmod(F.xxhash64(nodes, F.lit(11)), blocks).cast("int")
-
-
-def _blocks(rest: DataFrame, all_: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Each row of rest beside each row of all_ with its key, in blocks (key, i, j) of bounded size: rows of rest carry
-    side 0, those of all_ side 1. Both have key, node, n (elements of the set) and columns; blocks hold about BLOCK rows
-    and, if whole sets are among the columns, sets of about ELEMENTS."""
-    blocks = F.ceil(F.count("*") / F.lit(BLOCK))
-    blocks = F.greatest(blocks, F.ceil(F.sum("n") / F.lit(ELEMENTS))) if "found" in columns else blocks
-    size = lambda df, n: df.groupBy(key).agg(blocks.cast("int").alias(n))
-    sizes = size(rest, "n_i").join(size(all_, "n_j"), key)
-    left = rest.join(sizes, key).select(key, _block_of(F.col("node"), F.col("n_i")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_j") - 1)).alias("j"), F.lit(0).alias("side"), "node", *columns)
-    right = all_.join(sizes, key).select(key, F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)).alias("i"), _block_of(F.col("node"), F.col("n_j")).alias("j"), F.lit(1).alias("side"), "node", *columns)
-    return left.union(right).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "side", "node")
-
-
 def _edges(parts) -> pa.RecordBatch:
     a = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, dtype=np.int64)
     b = np.concatenate([y for _, y in parts]) if parts else np.zeros(0, dtype=np.int64)
@@ -185,7 +154,7 @@ def _near_blocks(threshold: float, margin: float | None):
             if not len(r) or not len(c):
                 continue
             adjacent = np.stack([likely(np.broadcast_to(regs[k], (len(c), M)), regs[c], np.full(len(c), n[k]), n[c], threshold, margin) for k in r])
-            parts.append(_stars(adjacent, nodes[r], nodes[c]))
+            parts.append(stars(adjacent, nodes[r], nodes[c]))
             if len(parts) >= 1000:
                 yield _edges(parts)
                 parts = []
@@ -264,7 +233,7 @@ def _link_blocks(percent: int):
             if not len(r) or not len(c):
                 continue
             shared = _shared([sets[k] for k in r], [sets[k] for k in c])
-            parts.append(_stars(_linked(shared, n[r][:, None], n[c][None, :], percent), nodes[r], nodes[c]))
+            parts.append(stars(_linked(shared, n[r][:, None], n[c][None, :], percent), nodes[r], nodes[c]))
             if len(parts) >= 1000:
                 yield _edges(parts)
                 parts = []
@@ -299,10 +268,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, margin: float | None = M
     far = far.join(crowd, "key", "left_semi").join(own, "node").select("key", "node", "n", "regs")
     far = scratch.stage(far, "far")
     beside = members.where("node <> hub").select("key", "node").join(far.select("key").distinct(), "key", "left_semi").join(own, "node").select("key", "node", "n", "regs")
-    late = _blocks(far, beside, "key", ["n", "regs"]).mapInArrow(_near_blocks(threshold, margin), "a long, b long")
+    late = paired(far, beside, "key", ["n", "regs"], F.ceil(F.count("*") / F.lit(BLOCK)), scratch, "far").mapInArrow(_near_blocks(threshold, margin), "a long, b long")
     groups = components(met.where("near").select(F.col("node").alias("a"), F.col("hub").alias("b")).union(late), scratch, "groups")
     groups = scratch.stage(groups.select(F.col("component").alias("grp"), "node"), "grouped")
-    scratch.drop("hubs", "members", "far")
+    scratch.drop("hubs", "members", "far", "far-sizes")
 
     sets = docs.join(classes.join(groups, "node").select(F.col("node").alias("doc_id"), "grp"), "doc_id").select("grp", F.col("doc_id").alias("node"), "text").mapInArrow(_full_sets, "grp long, node long, n long, found binary")
     sets = scratch.stage(sets, "sets")
@@ -313,10 +282,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, margin: float | None = M
     several = groups.groupBy("grp").agg(F.count("*").alias("size")).where("size > 2").select("grp")
     rest = sets.join(rest.join(several, "grp", "left_semi"), ["grp", "node"], "left_semi").select("grp", "node", "n", "found")
     beside = sets.join(rest.select("grp").distinct(), "grp", "left_semi").where("grp <> node").select("grp", "node", "n", "found")
-    more = _blocks(rest, beside, "grp", ["n", "found"]).mapInArrow(_link_blocks(percent), "a long, b long")
+    of_sets = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(ELEMENTS)))
+    more = paired(rest, beside, "grp", ["n", "found"], of_sets, scratch, "rest").mapInArrow(_link_blocks(percent), "a long, b long")
     linked = judged.where("linked").select(F.col("node").alias("a"), F.col("grp").alias("b")).union(more)
     found = scratch.stage(components(linked, scratch, "links"), "components")
-    scratch.drop("sets", "judged", "met")
+    scratch.drop("sets", "judged", "met", "rest-sizes")
 
     named = classes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
