@@ -27,7 +27,7 @@ _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LOWER}]+|[0-9²³¹¼½¾]|[^\
 #: Chunks and pre-tokens that a worker keeps (about 200 MB); a full map loses the half that came last.
 CACHE_ENTRIES = 1_000_000
 #: Bytes of the texts that are looked up together, and pre-tokens that are given to the library in one text.
-_AT_ONCE, _PIECES_AT_ONCE = 8_000_000, 300
+_AT_ONCE, _PIECES_AT_ONCE = 4_000_000, 300
 _WHOLE = -1
 
 _encoders: dict[str, "CachedEncoder"] = {}

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from .blocks import paired, stars
 from .components import components
 from .hot import join_hot
+from .memory import released
 from .runs import runs
 from .scratch import Scratch
 
@@ -251,7 +252,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, margin: float | None = M
     threshold = percent / 100
     scratch = Scratch(docs.sparkSession, "minhash")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sketches = scratch.stage(docs.mapInArrow(_sketched, "doc_id long, n_shingles long, set_key binary, regs binary"), "sketches")
+    sketches = scratch.stage(docs.mapInArrow(released(_sketched), "doc_id long, n_shingles long, set_key binary, regs binary"), "sketches")
     classes = sketches.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
     classes = scratch.stage(classes, "classes")
     own = classes.select("node", "n", "regs")
@@ -262,28 +263,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, margin: float | None = M
     members = scratch.stage(join_hot(bands, hubs, "key", "size").select("key", "node", "hub"), "members")
     pairs = members.where("node <> hub").select("node", "hub").distinct()
     pairs = pairs.join(own, "node").join(own.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("regs").alias("hub_regs")), "hub")
-    met = scratch.stage(pairs.select("node", "hub", "n", "regs", "hub_n", "hub_regs").mapInArrow(_near_hub(threshold, margin), "node long, hub long, near boolean"), "met")
+    met = scratch.stage(pairs.select("node", "hub", "n", "regs", "hub_n", "hub_regs").mapInArrow(released(_near_hub(threshold, margin)), "node long, hub long, near boolean"), "met")
     far = members.join(met.where("NOT near").select("node", "hub"), ["node", "hub"]).select("key", "node")
     crowd = hubs.where("size > 2").select("key")  # of two, the hub is the other
     far = far.join(crowd, "key", "left_semi").join(own, "node").select("key", "node", "n", "regs")
     far = scratch.stage(far, "far")
     beside = members.where("node <> hub").select("key", "node").join(far.select("key").distinct(), "key", "left_semi").join(own, "node").select("key", "node", "n", "regs")
-    late = paired(far, beside, "key", ["n", "regs"], F.ceil(F.count("*") / F.lit(BLOCK)), scratch, "far").mapInArrow(_near_blocks(threshold, margin), "a long, b long")
+    late = paired(far, beside, "key", ["n", "regs"], F.ceil(F.count("*") / F.lit(BLOCK)), scratch, "far").mapInArrow(released(_near_blocks(threshold, margin)), "a long, b long")
     groups = components(met.where("near").select(F.col("node").alias("a"), F.col("hub").alias("b")).union(late), scratch, "groups")
     groups = scratch.stage(groups.select(F.col("component").alias("grp"), "node"), "grouped")
     scratch.drop("hubs", "members", "far", "far-sizes")
 
-    sets = docs.join(classes.join(groups, "node").select(F.col("node").alias("doc_id"), "grp"), "doc_id").select("grp", F.col("doc_id").alias("node"), "text").mapInArrow(_full_sets, "grp long, node long, n long, found binary")
+    sets = docs.join(classes.join(groups, "node").select(F.col("node").alias("doc_id"), "grp"), "doc_id").select("grp", F.col("doc_id").alias("node"), "text").mapInArrow(released(_full_sets), "grp long, node long, n long, found binary")
     sets = scratch.stage(sets, "sets")
     hub_sets = sets.where("grp = node").select("grp", F.col("n").alias("hub_n"), F.col("found").alias("hub_found"))
-    judged = sets.where("grp <> node").join(hub_sets, "grp").select("grp", "node", "n", "found", "hub_n", "hub_found").mapInArrow(_hub_links(percent), "grp long, node long, linked boolean")
+    judged = sets.where("grp <> node").join(hub_sets, "grp").select("grp", "node", "n", "found", "hub_n", "hub_found").mapInArrow(released(_hub_links(percent)), "grp long, node long, linked boolean")
     judged = scratch.stage(judged, "judged")
     rest = judged.where("NOT linked").select("grp", "node").distinct()
     several = groups.groupBy("grp").agg(F.count("*").alias("size")).where("size > 2").select("grp")
     rest = sets.join(rest.join(several, "grp", "left_semi"), ["grp", "node"], "left_semi").select("grp", "node", "n", "found")
     beside = sets.join(rest.select("grp").distinct(), "grp", "left_semi").where("grp <> node").select("grp", "node", "n", "found")
     of_sets = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(ELEMENTS)))
-    more = paired(rest, beside, "grp", ["n", "found"], of_sets, scratch, "rest").mapInArrow(_link_blocks(percent), "a long, b long")
+    more = paired(rest, beside, "grp", ["n", "found"], of_sets, scratch, "rest").mapInArrow(released(_link_blocks(percent)), "a long, b long")
     linked = judged.where("linked").select(F.col("node").alias("a"), F.col("grp").alias("b")).union(more)
     found = scratch.stage(components(linked, scratch, "links"), "components")
     scratch.drop("sets", "judged", "met", "rest-sizes")

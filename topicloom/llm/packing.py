@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .encoder import encoder
+from .memory import released
 from .scratch import Scratch
 
 #: Pieces that one salted group of a length should hold at most, about.
@@ -154,7 +155,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     """
     schema = _PIECES + (", ids binary" if with_ids else "")
     scratch = Scratch(docs.sparkSession, "packing")
-    pieces = scratch.stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(tokenizer, end_id, capacity, with_ids), schema), "pieces")
+    pieces = scratch.stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(_cut(tokenizer, end_id, capacity, with_ids)), schema), "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     groups = max(1, -(-max(counts.values(), default=0) // per_group), 16 if counts else 1)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))

@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import release
+
 #: Coordinates: 2**BITS.
 BITS = 20
 #: Expected number of labelled rows that are used for training, at most.
@@ -103,6 +105,7 @@ def _featured(bits: int):
         for batch in batches:
             found = [np.unique(features(t, bits)).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "toxic", "found"])
+        _forget()
 
     return run
 
@@ -114,11 +117,19 @@ def _fitted(bits: int, epochs: int, alpha: float, beta: float, l1: float, l2: fl
         rows = [(t, np.frombuffer(f, dtype=np.int32)) for b in batches for t, f in zip(b.column("toxic").to_pylist(), b.column("found").to_pylist())]
         if rows:
             kept, weights, bias = _train(rows, bits, epochs, alpha, beta, l1, l2)
+            rows.clear()
+            release()
             yield pa.RecordBatch.from_arrays([pa.array([kept.tobytes()], pa.binary()), pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["kept", "weights", "bias"])
 
     return run
 
 
+def _forget() -> None:
+    """Empties the map of chunks at a task's end, for later stages run in the same worker."""
+    _chunks.clear()
+    release()
+
+
 def in_training_folds(doc_id) -> F.Column:
     """crc32 of the id as text, modulo 5, is not 0; the rows where it is 0 are held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
@@ -152,6 +163,7 @@ def _scored_ids(model: Model):
         for batch in batches:
             scores = pa.array(model.scores(batch.column(1).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), scores], names=["doc_id", "toxicity_score"])
+        _forget()
 
     return run
 
@@ -163,5 +175,6 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch.column(at).to_pylist()) < threshold))
+        _forget()
 
     return docs.mapInArrow(run, docs.schema)
