@@ -33,6 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.sources.staging import small
+
 from .blocks import paired, stars
 from .components import components
 from .hot import join_hot
@@ -281,13 +283,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, margin: float | None = M
     judged = scratch.stage(judged, "judged")
     rest = judged.where("NOT linked").select("grp", "node").distinct()
     several = groups.groupBy("grp").agg(F.count("*").alias("size")).where("size > 2").select("grp")
-    rest = sets.join(rest.join(several, "grp", "left_semi"), ["grp", "node"], "left_semi").select("grp", "node", "n", "found")
-    beside = sets.join(rest.select("grp").distinct(), "grp", "left_semi").where("grp <> node").select("grp", "node", "n", "found")
+    rest = scratch.stage(rest.join(several, "grp", "left_semi"), "rest")
+    open_groups = small(scratch.stage(rest.select("grp").distinct(), "open-groups"))  # so that sizes are counted before rows are dealt by group
+    beside = sets.join(open_groups, "grp", "left_semi").where("grp <> node").select("grp", "node", "n", "found")
+    rest = sets.join(rest, ["grp", "node"], "left_semi").select("grp", "node", "n", "found")
     of_sets = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(ELEMENTS)))
     more = paired(rest, beside, "grp", ["n", "found"], of_sets, scratch, "rest").mapInArrow(released(_link_blocks(percent)), "a long, b long")
     linked = judged.where("linked").select(F.col("node").alias("a"), F.col("grp").alias("b")).union(more)
     found = scratch.stage(components(linked, scratch, "links"), "components")
-    scratch.drop("sets", "judged", "met", "rest-sizes")
+    scratch.drop("sets", "judged", "met", "rest", "open-groups", "rest-sizes")
 
     named = classes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
