@@ -29,8 +29,8 @@ _SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 
 def clean_ws(c) -> Column:
     """White space runs (Unicode's and U+001C to U+001F) become one space, none at the ends; null becomes empty. Single
-    spaces are no matches, for most texts have nothing else."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf" [{_SPACES}]+|[{_SPACES}&&[^ ]][{_SPACES}]*", " "))
+    spaces are no matches, for most texts have nothing else; visible ASCII is passed over by one comparison."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?![!-~])(?: [{_SPACES}]+|[{_SPACES}&&[^ ]][{_SPACES}]*)", " "))
 
 
 def parse_year(c) -> Column:
@@ -57,13 +57,13 @@ def sanitize(c, entities: bool = True) -> Column:
 def strip_structural(df, column: str, entities: bool = True):
     """df with ``column`` cleaned, and flags had_award and had_boiler.
 
-    A leading award number goes, and only after one a list of names; then each sentence with boilerplate goes. Whether
-    there is any is tested without the sentence around it, which would cost the square of a sentence's length.
+    A leading award number goes, and only after one a list of names; then each sentence with boilerplate goes. Sentences
+    are tried from their start alone: from each of their places, it would cost the square of a sentence's length.
     """
     df = df.withColumn("_a", sanitize(F.col(column), entities)).withColumn("had_award", F.col("_a").rlike(AWARD_PREFIX))
     rest = F.regexp_replace(F.regexp_replace("_a", AWARD_PREFIX, ""), NAMES_PREFIX, "")
     df = df.withColumn("_b", F.when(F.col("had_award"), rest).otherwise(F.col("_a"))).withColumn("had_boiler", F.col("_b").rlike(f"(?i){BOILERPLATE}"))
-    text = F.when(F.col("had_boiler"), F.regexp_replace("_b", rf"(?i)[^.]*(?:{BOILERPLATE})[^.]*(?:\.|$)", " ")).otherwise(F.col("_b"))
+    text = F.when(F.col("had_boiler"), F.regexp_replace("_b", rf"(?i)(?<![^.])[^.]*?(?:{BOILERPLATE})[^.]*(?:\.|$)", " ")).otherwise(F.col("_b"))
     return df.withColumn(column, clean_ws(text)).drop("_a", "_b")
 
 
