@@ -216,6 +216,22 @@ def test_one_tokenisation_and_no_text_in_the_join_of_titles(spark, small):
     assert not any("abstract" in line or "title" in line for line in above)
 
 
+def test_tokens_are_counted_where_they_are_read(spark, small):
+    df = spark.createDataFrame([("a", "Deep deep K\u212ann x-y-z ab deep"), ("b", None), ("c", "İon")], "id string, abstract string")
+    counts = corpus.token_counts(df)
+    assert {(r.id, r.token): r.tf for r in counts.collect()} == {("a", "deep"): 3, ("a", "kknn"): 1, ("a", "x-y-z"): 1}
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    plan = bindings.Run(spark, small)._kept.select("id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS abstract" not in plan
+
+
+def test_least_chars_tell_short_texts(spark):
+    texts = ["x" * 99, "x" * 100, " x" * 60, "\n \t" * 400 + "y" * 99, "\n \t" * 400 + "y" * 100, "z" + " " * 500, "  ", "", None, "ab " * 300]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    found = df.select(corpus.least_chars("t").alias("n"), F.length(T.clean_ws(F.col("t"))).alias("m")).collect()
+    assert all(r.n == r.m if r.m < 100 else 100 <= r.n <= r.m for r in found)
+
+
 def test_ward_nests_and_matches_a_plain_loop():
     x = np.random.default_rng(1).normal(size=(40, 5))
     merges = vectors.ward(x)
