@@ -1,5 +1,6 @@
 """The engine's queries against SQL, and its operators on the edge cases of their inputs."""
 
+import hashlib
 import json
 import os
 import shutil
@@ -232,6 +233,16 @@ def test_least_chars_tell_short_texts(spark):
     assert all(r.n == r.m if r.m < 100 else 100 <= r.n <= r.m for r in found)
 
 
+def test_tree_rows_hold_no_array_of_documents(spark, small):
+    df = spark.createDataFrame([("a", x) for x in ("10", "9", "10", "é")] + [("b", "1"), ("c", "1")], "k string, v string").repartition(3)
+    found = {r.k: (r.n, r.digest) for r in artifact.digests(df, "k", "v").collect()}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert found == {"a": (3, md5("10,9,é")), "b": (1, md5("1")), "c": (1, md5("1"))}
+    for name in ("q_tree", "q_best_covered", "q_review_report"):
+        plan = registry.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_set(id" not in plan and "docs" not in plan.replace("topic_docs", "").replace("sub_docs", "")
+
+
 def test_ward_nests_and_matches_a_plain_loop():
     x = np.random.default_rng(1).normal(size=(40, 5))
     merges = vectors.ward(x)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from topicloom.operators import topics
 from topicloom.sources.files import put_text
@@ -55,22 +58,86 @@ def tree(links: DataFrame, assigned: DataFrame, records: DataFrame, labels: Data
     return whole.select(F.substring("topic_id", 2, 9).cast("int").alias("n"), F.col("topic_id").alias("id"), "label", "llm_label", "terms", "score", "funder_mix", "seed", "doc_count", "subtopics")
 
 
+def digests(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, digest): how many distinct values each key has, and the MD5 of them in their order, joined by commas. Both
+    are strings. Values pass by sorted, so no task holds those of a key."""
+
+    def run(batches):
+        last = seen = md5 = None
+        n = 0
+        for batch in batches:
+            done = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if md5 is None or k != last:
+                    if md5 is not None:
+                        done.append((last, n, md5.hexdigest()))
+                    last, n, md5 = k, 0, hashlib.md5(usedforsecurity=False)
+                elif v == seen:
+                    continue
+                md5.update(f"{',' if n else ''}{v}".encode())
+                seen, n = v, n + 1
+            yield rows(done)
+        if md5 is not None:
+            yield rows([(last, n, md5.hexdigest())])
+
+    def rows(done):
+        k, n, digest = zip(*done) if done else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(n, pa.int64()), pa.array(digest, pa.string())], names=[key, "n", "digest"])
+
+    return df.select(key, value).repartition(key).sortWithinPartitions(key, value).mapInArrow(run, f"{key} string, n long, digest string")
+
+
+def _named(nodes: DataFrame, assigned: DataFrame, found: DataFrame, level: str) -> DataFrame:
+    """nodes with label (of terms; empty without any), funder_mix and doc_count of their level: a row each."""
+    count = found.select(level, "id").distinct().groupBy(level).agg(F.count("*").alias("doc_count"))
+    of = nodes.join(topics.terms(assigned, level).select(F.col("cluster").alias(level), "label"), level, "left")
+    of = of.join(_mix(found, level).withColumnRenamed("cluster", level), level).join(count, level)
+    return of.withColumn("label", F.coalesce("label", F.lit("")))
+
+
+def topic_rows(links: DataFrame, assigned: DataFrame, records: DataFrame) -> DataFrame:
+    """(l1, n, id, label, llm_label, score, funder_mix, doc_count): a row for each topic, as ``tree`` has them, without
+    what is below."""
+    of = _named(topics.nodes(assigned)[0], assigned, topics.node_links(links, assigned, records), "l1")
+    return of.select("l1", F.substring("topic_id", 2, 9).cast("int").alias("n"), F.col("topic_id").alias("id"), "label", F.col("label").alias("llm_label"), F.round("score", 3).alias("score"), "funder_mix", "doc_count")
+
+
+def subtopic_rows(links: DataFrame, assigned: DataFrame, records: DataFrame) -> DataFrame:
+    """(l1, l2, sub_n, id, label, llm_label, score, funder_mix, doc_count): a row for each subtopic."""
+    of = _named(topics.nodes(assigned)[1], assigned, topics.node_links(links, assigned, records), "l2")
+    return of.select("l1", "l2", F.substring_index("sub_id", ".", -1).cast("int").alias("sub_n"), F.col("sub_id").alias("id"), "label", F.col("label").alias("llm_label"), F.round("score", 3).alias("score"), "funder_mix", "doc_count")
+
+
+def tree_rows(links: DataFrame, assigned: DataFrame, records: DataFrame) -> DataFrame:
+    """``tree`` as a row for each keyphrase, with its topic and subtopic; documents are told by ``digests``. No row grows
+    with the documents."""
+    found = topics.node_links(links, assigned, records)
+    top = topic_rows(links, assigned, records).select(F.col("id").alias("topic_id"), F.col("label").alias("topic_label"), F.col("score").alias("topic_score"), F.col("doc_count").alias("topic_docs"), F.col("funder_mix").alias("topic_mix"))
+    sub = subtopic_rows(links, assigned, records).join(digests(found, "l2", "id").select("l2", F.col("digest").alias("sub_digest")), "l2")
+    sub = sub.select(F.col("id").alias("sub_id"), F.col("label").alias("sub_label"), F.col("score").alias("sub_score"), F.col("doc_count").alias("sub_docs"), "sub_digest", F.col("funder_mix").alias("sub_mix"))
+    leaf = topics.ranked_leaves(assigned).select("topic_id", "sub_id", F.col("leaf_rank").alias("place"), "text", F.col("rounded").alias("weight"), "doc_freq")
+    leaf = leaf.join(digests(found, "text", "id").select("text", "digest"), "text").join(topics.dominant_funder(found).withColumnRenamed("funder_code", "funder"), "text")
+    return leaf.join(F.broadcast(top), "topic_id").join(F.broadcast(sub), "sub_id")
+
+
 def best_covered(tree_: DataFrame, k: int = 6) -> DataFrame:
-    """(doc_count, llm_label) of the k topics with the most documents; ties in the order of topics."""
+    """(doc_count, llm_label) of the k topics (of ``tree`` or ``topic_rows``) with the most documents; ties in the order of
+    topics."""
     return tree_.orderBy(F.desc("doc_count"), "n").limit(k).select("doc_count", "llm_label")
 
 
-def review(tree_: DataFrame, k: int = 8, funders: int = 3) -> DataFrame:
-    """A row for each subtopic, as a person reviews them: (place, topic, label, doc_count, n_subtopics, funders, sub_n,
+def review(tops: DataFrame, subs: DataFrame, leaf: DataFrame, k: int = 8, funders: int = 3) -> DataFrame:
+    """A row for each subtopic (of ``topic_rows``, ``subtopic_rows`` and ``topics.ranked_leaves``), as a person reviews them: (place, topic, label, doc_count, n_subtopics, funders, sub_n,
     subtopic, sub_label, sub_doc_count, keywords). Topics go by their documents; funders are the greatest with their
     percentage; keywords are the first k."""
-    first = F.struct(-F.col("doc_count"), "n")
-    place = tree_.select("id", first.alias("o")).groupBy(F.lit(1)).agg(F.array_sort(F.collect_list(F.struct("o", "id"))).alias("all"))  # one row a topic
-    place = place.select(F.posexplode("all").alias("p", "x")).select((F.col("p") + 1).alias("place"), "x.id")
+    below = subs.groupBy("l1").agg(F.count("*").alias("n_subtopics"))
     shown = F.array_join(F.transform(F.slice("funder_mix", 1, funders), lambda m: F.concat(m["funder_code"], F.lit(" "), F.round(m["share"] * 100).cast("int").cast("string"), F.lit("%"))), ", ")
-    rows = tree_.join(place, "id").select("place", F.col("llm_label").alias("topic"), "label", "doc_count", F.size("subtopics").alias("n_subtopics"), shown.alias("funders"), F.posexplode("subtopics").alias("sub_n", "s"))
-    words = F.array_join(F.transform(F.slice("s.keywords", 1, k), lambda x: x["text"]), ", ")
-    return rows.select("place", "topic", "label", "doc_count", "n_subtopics", "funders", (F.col("sub_n") + 1).alias("sub_n"), F.col("s.llm_label").alias("subtopic"), F.col("s.label").alias("sub_label"), F.col("s.doc_count").alias("sub_doc_count"), words.alias("keywords"))
+    place = F.row_number().over(Window.orderBy(F.desc("doc_count"), "n"))  # a row a topic
+    top = tops.join(below, "l1").select("l1", place.alias("place"), F.col("llm_label").alias("topic"), "label", "doc_count", "n_subtopics", shown.alias("funders"))
+    first = leaf.where(F.col("leaf_rank") <= k).groupBy(F.col("sub_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("leaf_rank", "text"))).alias("all"))
+    words = first.select("id", F.array_join(F.transform("all", lambda x: x["text"]), ", ").alias("keywords"))
+    sub = subs.select("l1", "id", "sub_n", F.col("llm_label").alias("subtopic"), F.col("label").alias("sub_label"), F.col("doc_count").alias("sub_doc_count"))
+    return sub.join(F.broadcast(top), "l1").join(words, "id").select("place", "topic", "label", "doc_count", "n_subtopics", "funders", "sub_n", "subtopic", "sub_label", "sub_doc_count", "keywords")
 
 
 def write_artifact(path: str, meta: DataFrame, tree_: DataFrame, index: DataFrame, limit: int = 200_000) -> dict:
