@@ -243,6 +243,18 @@ def test_tree_rows_hold_no_array_of_documents(spark, small):
         assert "collect_set(id" not in plan and "docs" not in plan.replace("topic_docs", "").replace("sub_docs", "")
 
 
+def test_hashed_vectors_are_those_of_single_texts():
+    texts = ["graph neural networks", "", "é", "ab", "aaaa", "Größe und Maß", "x" * 300, "日本語 text", "\U0001f600 a"] + [f"w{k} of {k * k}" for k in range(500)]
+    found = vectors.hashed_vectors(texts)
+    assert (found == np.stack([vectors.hashed_vector(t) for t in texts])).all()
+    began = time.time()
+    vectors.hashed_vectors(["graph neural networks"] * 20_000)
+    many = time.time() - began
+    began = time.time()
+    [vectors.hashed_vector("graph neural networks") for _ in range(20_000)]
+    assert many < time.time() - began
+
+
 def test_ward_nests_and_matches_a_plain_loop():
     x = np.random.default_rng(1).normal(size=(40, 5))
     merges = vectors.ward(x)

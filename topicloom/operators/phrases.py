@@ -10,7 +10,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.operators.vectors import hashed_vector
+from topicloom.operators.vectors import hashed_vector, hashed_vectors
 
 TOP, DIVERSITY, WORDS = 15, 0.5, 4
 _PART = re.compile(r"[^\w\s'\-]+")
@@ -58,6 +58,7 @@ def marginal_keyphrases(records: DataFrame, stop: list[str], k: int = TOP, diver
     """(id, pos, text, score) of each record (id, abstract): its k keyphrases by ``marginal``, their nearness to the
     abstract as score. A null or empty abstract, or one of stop words alone, has none."""
     words = frozenset(stop)
+    all_of = hashed_vectors if embed is hashed_vector else lambda texts: np.stack([embed(t) for t in texts])
 
     def run(batches):
         for batch in batches:
@@ -66,7 +67,8 @@ def marginal_keyphrases(records: DataFrame, stop: list[str], k: int = TOP, diver
                 found = candidates(text or "", words)
                 if not found:
                     continue
-                own, each = embed(text), np.stack([embed(c) for c in found])
+                vectors = all_of([text, *found])
+                own, each = vectors[0], vectors[1:]
                 near = each @ own
                 for place, at in enumerate(marginal(own, each, k, diversity), 1):
                     ids.append(i)
