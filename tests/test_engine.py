@@ -11,6 +11,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +227,46 @@ def test_tokens_are_counted_where_they_are_read(spark, small):
     assert "AS abstract" not in plan
 
 
+def test_keyphrases_come_from_chunks_of_documents(spark, small, monkeypatch):
+    texts = {"a": "beta alpha beta -gamma-- --", "b": "alpha K\u212ann", "c": None, "d": "delta " * 9 + "Beta", "e": "-- ab a-", "f": "zeta eta theta iota kappa alpha"}
+    docs = spark.createDataFrame(list(texts.items()), "id string, abstract string").coalesce(1)
+    counts = {(r.id, r.token): r.tf for r in corpus.token_counts(docs).collect()}
+    df = {r.token: r.df for r in corpus.token_df(docs).collect()}
+    stop = spark.createDataFrame([("delta",)], "token string")
+    parts = corpus._parts
+    for size in (corpus.CHUNK, 40):
+        monkeypatch.setattr(corpus, "_parts", lambda batch, size=size, parts=parts: parts(batch, size))
+        chunks = bindings.Scratch(spark, "test").stage(corpus.token_chunks(docs), "chunks")
+        assert {r.token: r.df for r in corpus.chunks_df(chunks).collect()} == df
+        raw = corpus.statistical_keyphrases(chunks, corpus.chunks_df(chunks), stop, len(texts), 3)
+        plan = raw._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and plan.count("Join Inner") == plan.count("strategy=merge") == 2
+        expected = set()
+        for i in texts:
+            weighed = sorted((-round(n * np.log(1 + len(texts) / df[t]), 9), t) for (j, t), n in counts.items() if j == i and t != "delta")
+            expected |= {(i, k + 1, t, 5 - k * 5 // 3) for k, (_, t) in enumerate(weighed[:3])}
+        assert {tuple(r) for r in raw.select("id", "pos", "text", "salience").collect()} == expected
+    monkeypatch.undo()
+    run = bindings.Run(spark, small)
+    assert 0 < run.chunks.count() < run.meta.count() / 10
+
+
+def test_weights_that_round_alike_are_all_taken():
+    tokens = ["aaa", "bbb", "ccc", "ddd", "zzz"]
+    known = [{"pos": p, "idf": x} for p, x in ((1, 1.0), (2, 1.0), (3, 0.5), (4, 1.0000000001))]
+    packed = {c: pa.array([np.array(x, "<i4").tobytes()], pa.binary()) for c, x in (("ends", [5, 5, 6]), ("codes", [0, 1, 2, 3, 4, 3]), ("tf", [9, 1, 1, 1, 1, 2]))}
+    batch = pa.RecordBatch.from_pydict({"ids": [["x", "y", "z"]], "tokens": [tokens], "known": [known], **packed})
+    found = [(r["id"], [t["token"] for t in r["top"]]) for b in corpus._heaviest(1)([batch]) for r in b.to_pylist()]
+    assert found == [("x", ["zzz", "bbb"]), ("y", []), ("z", ["ddd"])]
+
+
+def test_texts_are_read_for_heads_and_tokens_alone(spark, small):
+    run = bindings.Run(spark, small)
+    for df in (run.judged, run.meta):
+        assert "documents.parquet" not in df._jdf.queryExecution().optimizedPlan().toString() and "text" not in df.columns
+    assert run.judged.count() == run.all.count()
+
+
 def test_least_chars_tell_short_texts(spark):
     texts = ["x" * 99, "x" * 100, " x" * 60, "\n \t" * 400 + "y" * 99, "\n \t" * 400 + "y" * 100, "z" + " " * 500, "  ", "", None, "ab " * 300]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")

@@ -46,8 +46,18 @@ class Run:
         self.all = records(spark, sf_dir)
 
     @cached_property
+    def heads(self) -> DataFrame:
+        """The records without their texts: what is asked of texts' beginnings is read from them once."""
+        return self.scratch.stage(self.all.drop("abstract", "text"), "heads")
+
+    @cached_property
+    def later(self) -> DataFrame:
+        return self.scratch.stage(corpus.repeated_titles(self.heads), "later")
+
+    @property
     def judged(self) -> DataFrame:
-        return corpus.with_reason(self.all)
+        """The records without their texts, with their reason."""
+        return corpus.with_reason(self.heads, later=self.later)
 
     @property
     def kept(self) -> DataFrame:
@@ -55,18 +65,18 @@ class Run:
 
     @property
     def _kept(self) -> DataFrame:
-        return self.judged.where("reason = 'kept'").drop("reason")
+        return corpus.with_reason(self.all, later=self.later).where("reason = 'kept'").drop("reason")
 
     @cached_property
-    def counts(self) -> DataFrame:
-        """(id, token, tf): texts are cut into tokens for this table alone. White space is in no token, so the raw texts
-        have the same."""
-        return self.scratch.stage(corpus.token_counts(self._kept, "text"), "counts")
+    def chunks(self) -> DataFrame:
+        """Counted tokens: texts are cut into tokens for this table alone. White space is in no token, so the raw texts have
+        the same."""
+        return self.scratch.stage(corpus.token_chunks(self._kept, "text"), "chunks")
 
     @cached_property
     def meta(self) -> DataFrame:
         """The kept records without their abstracts."""
-        return self.scratch.stage(self.kept.drop("abstract"), "meta")
+        return self.scratch.stage(self.judged.where("reason = 'kept'").drop("reason", "chars"), "meta")
 
     @cached_property
     def n(self) -> int:
@@ -74,7 +84,7 @@ class Run:
 
     @cached_property
     def df(self) -> DataFrame:
-        return self.scratch.stage(corpus.counts_df(self.counts), "df")
+        return self.scratch.stage(corpus.chunks_df(self.chunks), "df")
 
     @cached_property
     def stop(self) -> DataFrame:
@@ -82,7 +92,7 @@ class Run:
 
     @cached_property
     def raw(self) -> DataFrame:
-        return self.scratch.stage(corpus.statistical_keyphrases(self.counts, self.df, self.stop, self.n), "raw")
+        return self.scratch.stage(corpus.statistical_keyphrases(self.chunks, self.df, self.stop, self.n), "raw")
 
     @cached_property
     def links(self) -> DataFrame:
