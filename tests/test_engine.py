@@ -267,6 +267,15 @@ def test_texts_are_read_for_heads_and_tokens_alone(spark, small):
     assert run.judged.count() == run.all.count()
 
 
+def test_whole_texts_are_cleaned_as_their_beginnings(spark):
+    spaces = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and chr(c).isspace())
+    texts = [None, "", " ", spaces, f"a{spaces}b  c\u200bd\u180ee ", "x\n\ny", " é\u3000日本 "]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    assert all(r.a == r.b for r in df.select(T.clean_long(F.col("t")).alias("a"), T.clean_ws(F.col("t")).alias("b")).collect())
+    plan = bindings.Run(spark, "/root/testdata/sf0.001").kept.select("id", "abstract")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(coalesce(text" not in plan.replace("length(trim(regexp_replace(coalesce(text", "")
+
+
 def test_least_chars_tell_short_texts(spark):
     texts = ["x" * 99, "x" * 100, " x" * 60, "\n \t" * 400 + "y" * 99, "\n \t" * 400 + "y" * 100, "z" + " " * 500, "  ", "", None, "ab " * 300]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.functions.text import clean_ws
+from topicloom.functions.text import clean_long, clean_ws
 from topicloom.operators import corpus, topics
 from topicloom.sources.staging import Scratch
 
@@ -27,7 +27,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of ``documents``, with their raw text and its ``chars``: what needs no cleaned abstract makes none."""
     d = spread(table(spark, sf_dir, "documents"), "doc_id")
     year = (F.lit(1995) + F.col("doc_id") % 32).cast("int")
-    return d.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("ord"), clean_ws(F.substring("text", 1, 80)).alias("title"), clean_ws(F.col("text")).alias("abstract"), F.col("source").alias("funder"), F.upper("source").alias("funder_code"), year.alias("year"), "text", corpus.least_chars("text").alias("chars"))
+    return d.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("ord"), clean_ws(F.substring("text", 1, 80)).alias("title"), clean_long(F.col("text")).alias("abstract"), F.col("source").alias("funder"), F.upper("source").alias("funder_code"), year.alias("year"), "text", corpus.least_chars("text").alias("chars"))
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
