@@ -297,6 +297,23 @@ def test_runs_across_blocks_and_texts(monkeypatch):
             assert each == expected[first:] and found.to_pylist() == sorted(set().union(*each, []))
 
 
+def test_links_are_counted_and_ranked_without_being_told_apart_again(spark, small):
+    run = bindings.Run(spark, small)
+    unique = run.links.groupBy("id", "text").agg(F.count("*").alias("n")).where("n > 1")
+    assert unique.isEmpty()
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert "Aggregate" not in corpus.leaves(run.links, run.vocab)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in registry.queries()["q_kw_drilldown"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    counts = topics.year_counts(run.linked, run.meta, [2020])
+    assert exchanges(counts) <= 3 and "sequence(" not in registry.queries()["q_hist_max"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    links = spark.createDataFrame([("1", "a"), ("2", "a"), ("3", "b"), (None, "b"), ("4", "a")], "id string, text string")
+    records = spark.createDataFrame([("1", 2019), ("2", 2020), ("3", None), ("4", 0)], "id string, year int")
+    assert {tuple(r) for r in topics.year_counts(links, records, [2020]).collect()} == {("a", 2019, 1)}
+    assert {tuple(r) for r in topics.year_histogram(links, records, [2020]).collect()} == {("a", 2019, 1), ("b", 2019, 0)}
+    vocab = corpus.vocabulary(links.withColumn("score", F.lit(0.5)), 1)
+    assert {(r.vocab_idx, r.text, r.weight, r.doc_freq) for r in vocab.collect()} == {(0, "a", 1.5, 3), (1, "b", 1.0, 1)}
+
+
 def test_weights_that_round_alike_are_all_taken():
     tokens = ["aaa", "bbb", "ccc", "ddd", "zzz"]
     known = [{"pos": p, "idf": x} for p, x in ((1, 1.0), (2, 1.0), (3, 0.5), (4, 1.0000000001))]

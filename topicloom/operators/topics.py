@@ -1,7 +1,7 @@
 """Operators on clustered keyphrases: labels, tree, coverage, mixes, and what is shown of them.
 
 ``assigned`` is (vocab_idx, text, weight, doc_freq, l1, l2): a vocabulary with its clusters of both levels. ``links`` is
-(id, text, score, pos).
+(id, text, score, pos), one row for each id and text.
 """
 
 from __future__ import annotations
@@ -126,14 +126,24 @@ def unlabelled(node_terms: DataFrame, labels: DataFrame) -> int:
 # --- exploration ---
 
 
-def year_histogram(found: DataFrame, records: DataFrame, excluded: list[int]) -> DataFrame:
-    """(text, year, n): documents of each keyphrase in each year from the first to the last, but excluded ones. Years of
-    all records make the spine; null and zero years count nowhere."""
-    dated = records.where("year IS NOT NULL AND year <> 0").select("id", "year")
-    spine = dated.agg(F.min("year").alias("a"), F.max("year").alias("b")).where("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("year"))
+def _dated(records: DataFrame) -> DataFrame:
+    return records.where("year IS NOT NULL AND year <> 0").select("id", "year")
+
+
+def year_counts(links: DataFrame, records: DataFrame, excluded: list[int]) -> DataFrame:
+    """(text, year, n): documents of each keyphrase of links in each year that it has some in, but excluded ones; null and
+    zero years count nowhere."""
+    dated = _dated(records)
+    dated = dated.where(~F.col("year").isin(excluded)) if excluded else dated
+    return links.select("text", "id").join(dated, "id").groupBy("text", "year").agg(F.count("*").alias("n"))
+
+
+def year_histogram(links: DataFrame, records: DataFrame, excluded: list[int]) -> DataFrame:
+    """(text, year, n): ``year_counts`` with zeros, in each year from the first to the last of all records."""
+    spine = _dated(records).agg(F.min("year").alias("a"), F.max("year").alias("b")).where("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("year"))
     spine = spine.where(~F.col("year").isin(excluded)) if excluded else spine
-    n = found.select("text", "id").distinct().join(dated, "id").groupBy("text", "year").agg(F.count("*").alias("n"))
-    every = found.select("text").distinct().crossJoin(F.broadcast(spine))  # a row for each keyphrase and year is the result
+    every = links.select("text").distinct().crossJoin(F.broadcast(spine))  # a row for each keyphrase and year is the result
+    n = year_counts(links, records, excluded)
     return every.join(n, ["text", "year"], "left").select("text", "year", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -156,9 +166,9 @@ def page_of(paged: DataFrame, number: int, page: int = PAGE) -> DataFrame:
     return rows.withColumn("pager", F.when(F.col("pages") > 1, F.format_string("%d–%d of %d", (F.col("page") - 1) * page + 1, last, "total"))).drop("total")
 
 
-def drill_down(found: DataFrame, records: DataFrame, n: int = DRILL) -> DataFrame:
-    """(text, rank, id, year, title): the newest n documents of each keyphrase; those without a year last."""
-    docs = found.select("text", "id").distinct().join(records.select("id", "year", "title"), "id")
+def drill_down(links: DataFrame, records: DataFrame, n: int = DRILL) -> DataFrame:
+    """(text, rank, id, year, title): the newest n documents of each keyphrase of links; those without a year last."""
+    docs = links.select("text", "id").join(records.select("id", "year", "title"), "id")
     rank = F.row_number().over(Window.partitionBy("text").orderBy(F.coalesce("year", F.lit(0)).desc(), "id"))
     return docs.withColumn("rank", rank).where(F.col("rank") <= n).select("text", "rank", "id", "year", "title")
 

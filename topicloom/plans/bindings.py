@@ -102,6 +102,11 @@ class Run:
     def vocab(self) -> DataFrame:
         return self.scratch.stage(corpus.vocabulary(self.links), "vocab")
 
+    @property
+    def linked(self) -> DataFrame:
+        """The links of the vocabulary's texts, one for each id and text."""
+        return self.links.join(self.vocab.select("text"), "text", "left_semi")
+
     @property
     def assigned(self) -> DataFrame:
         """The vocabulary in clusters by its first letters."""
