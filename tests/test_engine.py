@@ -314,6 +314,11 @@ def test_links_are_counted_and_ranked_without_being_told_apart_again(spark, smal
     assert {(r.vocab_idx, r.text, r.weight, r.doc_freq) for r in vocab.collect()} == {(0, "a", 1.5, 3), (1, "b", 1.0, 1)}
 
 
+def test_files_of_large_rows_have_few(spark):
+    staged = bindings.Scratch(spark, "test").stage(spark.range(9, numPartitions=1), "few", rows=2)
+    assert staged.count() == 9 and staged.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] == 2
+
+
 def test_weights_that_round_alike_are_all_taken():
     tokens = ["aaa", "bbb", "ccc", "ddd", "zzz"]
     known = [{"pos": p, "idf": x} for p, x in ((1, 1.0), (2, 1.0), (3, 0.5), (4, 1.0000000001))]

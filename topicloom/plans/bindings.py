@@ -71,7 +71,7 @@ class Run:
     def chunks(self) -> DataFrame:
         """Counted tokens: texts are cut into tokens for this table alone. White space is in no token, so the raw texts have
         the same."""
-        return self.scratch.stage(corpus.token_chunks(self._kept, "text"), "chunks")
+        return self.scratch.stage(corpus.token_chunks(self._kept, "text"), "chunks", rows=2)
 
     @cached_property
     def meta(self) -> DataFrame:

@@ -58,9 +58,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def stage(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        """Writes df and reads it again."""
-        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+    def stage(self, df: DataFrame, name: str, compression: str = "zstd", rows: int = 0) -> DataFrame:
+        """Writes df and reads it again. Of large rows a file may have so many (0: any number), for readers hold a file's
+        rows at once, up to some thousands."""
+        df.write.mode("overwrite").option("compression", compression).option("maxRecordsPerFile", rows).parquet(self.path(name))
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame | None = None) -> DataFrame:
